@@ -1,8 +1,10 @@
-"""Queries of the llm subpackage."""
+"""All queries of the llm subpackage, by name, with their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
-_MODULES = ()
+from tessella.llm import encoding_queries, proportions_queries, stable_sample_queries
+
+_MODULES = (proportions_queries, stable_sample_queries, encoding_queries)
 
 
 def queries() -> dict:
