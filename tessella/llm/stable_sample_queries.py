@@ -3,9 +3,8 @@
 Targets are drawn per repo and language under the plan's sampling_seed, lean
 declarations per repo under its v2a_seed. The key of a target is its identity
 (JSON without blanks), of a declaration its module and name without blanks
-and ``_root_.``; neither changes between deliveries. The rate of a plan is
-RATE_PER_REQUESTED millionths per requested row, between RATE_LEAST and
-RATE_MOST: it is fixed by the plan, not by how many rows have come in.
+and ``_root_.``; neither changes between deliveries. The rates are fixed per
+stratum and do not look at how much has come in.
 """
 
 from __future__ import annotations
@@ -17,12 +16,8 @@ from tessella.joins import lookup_join
 from tessella.llm.stable_sample import stable_sample
 from tessella.sources.tables import table
 
-RATE_PER_REQUESTED, RATE_LEAST, RATE_MOST = 400, 30_000, 400_000
-
-
-def _plans(spark: SparkSession, d: str) -> DataFrame:
-    rate = F.least(F.greatest(F.col("n_requested").cast("bigint") * RATE_PER_REQUESTED, F.lit(RATE_LEAST)), F.lit(RATE_MOST))
-    return table(spark, d, "sample_plans").select("repo", "sampling_seed", "v2a_seed", rate.alias("rate_ppm"))
+#: Picked per million, by stratum.
+RATES = {"lean": 80_000, "python": 100_000, "declaration": 50_000}
 
 
 def _json_key(seed: str, *fields: str) -> F.Column:
@@ -31,7 +26,8 @@ def _json_key(seed: str, *fields: str) -> F.Column:
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     """Picked targets and lean declarations with stratum, hash and rate."""
-    plans = _plans(spark, d)
+    plans = table(spark, d, "sample_plans")
+    rates = spark.createDataFrame(list(RATES.items()), "stratum string, rate_ppm bigint")
     seeds = plans.groupBy("repo").agg(F.min("sampling_seed").alias("sampling_seed"), F.min("v2a_seed").alias("v2a_seed"))
     compact = F.regexp_replace("identity", r'("(?:[^"\\]|\\.)*")|\s+', "$1")
     seen = lookup_join(
@@ -45,7 +41,7 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
         ["repo"],
         "inner",
     )
-    picked = stable_sample(seen, ["repo", "lang"], _json_key("sampling_seed", "identity"), plans.select("repo", F.explode(F.array(F.lit("lean"), F.lit("python"))).alias("lang"), "rate_ppm"))
+    picked = stable_sample(seen.withColumnRenamed("lang", "stratum"), ["stratum"], _json_key("sampling_seed", "identity"), rates)
     name = lambda c: F.trim(F.regexp_replace(F.trim(c), r"^_root_\.", ""))
     decls = lookup_join(
         table(spark, d, "definition_parents")
@@ -58,21 +54,21 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
         ["repo"],
         "inner",
     )
-    kept = stable_sample(decls, ["repo"], _json_key("v2a_seed", "module_name", "decl"), plans.select("repo", "rate_ppm"))
-    return picked.select(F.lit("target").alias("record_kind"), F.col("target_id").alias("record_id"), "repo", F.col("lang").alias("stratum"), "key_hash", "rate_ppm").unionByName(
-        kept.select(F.lit("decl").alias("record_kind"), F.col("decl_id").alias("record_id"), "repo", F.lit("lean").alias("stratum"), "key_hash", "rate_ppm")
+    kept = stable_sample(decls.withColumn("stratum", F.lit("declaration")), ["stratum"], _json_key("v2a_seed", "module_name", "decl"), rates)
+    return picked.select(F.lit("target").alias("record_kind"), F.col("target_id").alias("record_id"), "repo", "stratum", "key_hash", "rate_ppm").unionByName(
+        kept.select(F.lit("decl").alias("record_kind"), F.col("decl_id").alias("record_id"), "repo", "stratum", "key_hash", "rate_ppm")
     )
 
 
 QUERIES = {"p5_sample": p5_sample}
 
 ORACLE = {
-    "p5_sample": rf"""WITH pl AS (SELECT repo, min(sampling_seed) AS s, min(v2a_seed) AS v,
-        max(least(greatest(n_requested * {RATE_PER_REQUESTED}, {RATE_LEAST}), {RATE_MOST})) AS rate FROM sample_plans GROUP BY repo),
+    "p5_sample": rf"""WITH pl AS (SELECT repo, min(sampling_seed) AS s, min(v2a_seed) AS v FROM sample_plans GROUP BY repo),
     c AS (SELECT target_id, min(repo) AS repo, min(lang) AS lang, min(regexp_replace(identity, '("(?:[^"\\]|\\.)*")|\s+', '\1', 'g')) AS identity FROM candidates GROUP BY target_id),
     e AS (SELECT decl_id, min(repo) AS repo, min(trim(module_name)) AS m, min(trim(regexp_replace(trim(decl), '^_root_\.', ''))) AS n FROM definition_parents GROUP BY decl_id),
-    u AS (SELECT 'target' AS record_kind, target_id AS record_id, c.repo, lang AS stratum, sha256(to_json([pl.s, c.repo, identity])) AS h, rate FROM c JOIN pl ON c.repo = pl.repo
-      UNION ALL SELECT 'decl', decl_id, e.repo, 'lean', sha256(to_json([pl.v, e.repo, m, n])), rate FROM e JOIN pl ON e.repo = pl.repo)
-    SELECT record_kind, record_id, repo, stratum, substr(h, 1, 16) AS key_hash, cast(rate AS BIGINT) AS rate_ppm FROM u
+    u AS (SELECT 'target' AS record_kind, target_id AS record_id, c.repo, lang AS stratum, sha256(to_json([pl.s, c.repo, identity])) AS h FROM c JOIN pl ON c.repo = pl.repo
+      UNION ALL SELECT 'decl', decl_id, e.repo, 'declaration', sha256(to_json([pl.v, e.repo, m, n])) FROM e JOIN pl ON e.repo = pl.repo),
+    r AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in RATES.items())}) AS r(stratum, rate))
+    SELECT record_kind, record_id, repo, stratum, substr(h, 1, 16) AS key_hash, cast(rate AS BIGINT) AS rate_ppm FROM u JOIN r USING (stratum)
     WHERE cast('0x' || substr(h, 1, 8) AS BIGINT) * 1000000 < cast(rate AS BIGINT) * 4294967296""",
 }
