@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import encoding_queries, near_duplicates_queries, personal_info_queries, proportions_queries, stable_sample_queries
+from tessella.llm import encoding_queries, near_duplicates_queries, personal_info_queries, proportions_queries, source_origin_queries, stable_sample_queries
 
-_MODULES = (proportions_queries, near_duplicates_queries, stable_sample_queries, encoding_queries, personal_info_queries)
+_MODULES = (proportions_queries, near_duplicates_queries, source_origin_queries, stable_sample_queries, encoding_queries, personal_info_queries)
 
 
 def queries() -> dict:
