@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessella.plans import hierarchy
+from tessella.plans import curves, hierarchy
 
-_MODULES = (hierarchy,)
-FLAGSHIP = hierarchy.p4_tree
+_MODULES = (curves, hierarchy)
+FLAGSHIP = curves.bin_table
 
 
 def queries() -> dict:
