@@ -139,10 +139,9 @@ def origins(files: DataFrame, commits: DataFrame) -> DataFrame:
     )
     limits = scratch.cut(tuned(measured), "limits")
     own = limits.where(F.col("files") >= LEAST_FILES).drop("files")
-    rest = limits.where("lang = '*'").select(*[F.col(c).alias(f"r_{c}") for c in limits.columns if c.startswith("t_")], F.lit(1).alias("one"))
-    held = lookup_join(measured.withColumn("one", F.lit(1)), own, ["lang"])
-    held = held.join(F.broadcast(rest), "one", "left")  # a single row
-    t = {c: F.coalesce(f"t_{c}", f"r_t_{c}") for c in ("mean_line", "max_line", "numeric", "space")}
+    rest = limits.where("lang = '*'").first()
+    held = lookup_join(measured, own, ["lang"])
+    t = {c: F.coalesce(F.col(f"t_{c}"), F.lit(rest[f"t_{c}"] if rest else LOOSEST[c])) for c in ("mean_line", "max_line", "numeric", "space")}
     minified = (F.col("mean_line") > t["mean_line"]) & (F.col("max_line") > t["max_line"])
     data = (F.col("numeric") > t["numeric"]) | (F.col("encoded") > LOOSEST["encoded"]) | ((F.col("space") < t["space"]) & (F.col("alnum") > LOOSEST["alnum"]))
     told = (
