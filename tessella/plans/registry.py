@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import curves, hierarchy
+from tessella.plans import curves, graph, hierarchy, selection, similarity
 
-_MODULES = (curves, hierarchy)
+_MODULES = (curves, selection, hierarchy, graph, similarity)
 FLAGSHIP = curves.bin_table
 
 
