@@ -40,15 +40,15 @@ def variance_components(deltas: DataFrame, family: list[str], module: str, value
     part cut at 0.
     """
     x = F.col(value).cast("decimal(28,12)")
-    per = deltas.where(F.col(value).isNotNull()).groupBy(*family, module).agg(F.count(F.lit(1)).alias("m"), F.sum(x).cast("double").alias("s"), F.sum((F.col(value) * F.col(value)).cast("decimal(28,12)")).cast("double").alias("ss"))
     d = lambda c: c.cast("decimal(28,12)")
+    per = deltas.where(F.col(value).isNotNull()).groupBy(*family, module).agg(F.count(F.lit(1)).alias("__m"), F.sum(x).cast("double").alias("__x"), F.sum(d(F.col(value) * F.col(value))).cast("double").alias("__xx"))
     tot = per.groupBy(*family).agg(
-        F.sum("m").alias("n"),
+        F.sum("__m").alias("n"),
         F.count(F.lit(1)).alias("modules"),
-        F.sum(d(F.col("s"))).cast("double").alias("sum"),
-        F.sum(d(F.col("ss"))).cast("double").alias("sumsq"),
-        F.sum(d(F.col("s") * F.col("s") / F.col("m"))).cast("double").alias("between"),
-        F.sum(F.col("m") * F.col("m")).alias("m2"),
+        F.sum(d(F.col("__x"))).cast("double").alias("sum"),
+        F.sum(d(F.col("__xx"))).cast("double").alias("sumsq"),
+        F.sum(d(F.col("__x") * F.col("__x") / F.col("__m"))).cast("double").alias("between"),
+        F.sum(F.col("__m") * F.col("__m")).alias("m2"),
     )
     n, g = F.col("n"), F.col("modules")
     ssw = F.greatest(F.col("sumsq") - F.col("between"), F.lit(0.0))

@@ -106,6 +106,11 @@ def group_windows(tokens: DataFrame, key: str, pos: str, grp: str, size: int, mi
         state = None  # key, number of tokens, start, last group, starts of groups inside the window, windows
 
         def close(s):
+            while s["n"] - s["start"] > size and s["opens"]:
+                inside = [o for o in s["opens"] if o <= s["start"] + size]
+                end = inside[-1] if inside else s["opens"][0]
+                s["out"].append((s["start"], end))
+                s["start"], s["opens"] = end, [o for o in s["opens"] if o > end]
             if s["n"] > s["start"]:
                 s["out"].append((s["start"], s["n"]))
             if len(s["out"]) > 1 and s["out"][-1][1] - s["out"][-1][0] < min_tail:
@@ -122,8 +127,8 @@ def group_windows(tokens: DataFrame, key: str, pos: str, grp: str, size: int, mi
                 i = state["n"]
                 if g != state["grp"]:
                     while i - state["start"] >= size:  # the window is full and a group begins here
-                        inside = [o for o in state["opens"] if o - state["start"] <= size]
-                        end = i if i - state["start"] == size or not inside else inside[-1]
+                        inside = [o for o in [*state["opens"], i] if o - state["start"] <= size]
+                        end = inside[-1] if inside else [*state["opens"], i][0]
                         state["out"].append((state["start"], end))
                         state["start"] = end
                         state["opens"] = [o for o in state["opens"] if o > end]
@@ -133,12 +138,6 @@ def group_windows(tokens: DataFrame, key: str, pos: str, grp: str, size: int, mi
                 state["n"] += 1
             yield _windows(done, batch.schema.types[0])
         if state is not None:
-            while state["n"] - state["start"] > size and [o for o in state["opens"] if state["start"] < o]:
-                inside = [o for o in state["opens"] if state["start"] < o <= state["start"] + size]
-                end = inside[-1] if inside else state["opens"][0]
-                state["out"].append((state["start"], end))
-                state["start"] = end
-                state["opens"] = [o for o in state["opens"] if o > end]
             yield _windows(close(state), pa.string() if kind == "string" else None)
 
     return rows.mapInArrow(run, f"key {kind}, win_start bigint, win_end bigint").withColumnRenamed("key", key)
