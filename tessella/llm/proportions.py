@@ -101,13 +101,15 @@ def draw(members: DataFrame, plan: DataFrame, group: str, cell: str, margins: li
     number ``u``; rows whose group and cell are not in the plan are not drawn.
     ``plan``: one row per group and cell with ``share_bp`` (1/10,000),
     ``min_rows``, ``n_requested`` and the ``margins`` columns. A null share or
-    minimum counts as 0. Sample: the members' columns. Report: the plan's
-    columns with ``available, needed, fitted, weight, first_drawn, drawn,
+    minimum counts as 0. Other columns are ignored. Sample: ``group, cell,
+    member, u``. Report: the named columns of the plan with ``available, needed, fitted, weight, first_drawn, drawn,
     gap``; ``gap`` is what the cell lacks. An empty plan gives empty results;
     empty members give a report of gaps only.
     """
     spark = plan.sparkSession
     scratch = Scratch(spark)
+    members = members.select(group, cell, member, u)
+    plan = plan.select(group, cell, "share_bp", "min_rows", "n_requested", *margins)
     counts = members.groupBy(group, cell).agg(F.count(F.lit(1)).alias("available"))
     frame = (
         plan.withColumns({"share_bp": F.coalesce("share_bp", F.lit(0)), "min_rows": F.coalesce("min_rows", F.lit(0))})

@@ -31,9 +31,10 @@ def stable_sample(records: DataFrame, strata: list[str], salted_key: F.Column, r
     Adds ``key_hash`` (the first 16 hex digits of the sha256 of
     ``salted_key``) and ``rate_ppm``. Records with a null key or stratum, or
     of a stratum without a rate, are not picked. Equal keys are picked or left
-    together. An empty input gives an empty sample.
+    together. Columns of these two names are replaced, others stay. An empty
+    input gives an empty sample.
     """
-    hashed = records.withColumn("key_hash", F.substring(F.sha2(salted_key, 256), 1, 16)).where("key_hash is not null")
+    hashed = records.drop("rate_ppm").withColumn("key_hash", F.substring(F.sha2(salted_key, 256), 1, 16)).where("key_hash is not null")
     placed = lookup_join(hashed, raised(rates, strata), strata, "inner")
     head = F.conv(F.substring("key_hash", 1, 8), 16, 10).cast("bigint")
     return placed.where(head * PPM < F.col("rate_ppm") * F.lit(2**32))
