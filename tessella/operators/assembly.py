@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import chunk
+from tessella.operators.prefix import running
 from tessella.operators.selection import priority
 
 # Byte budgets and the grid of arms.
@@ -20,6 +21,12 @@ def random_order(pairs: DataFrame, seed: int) -> DataFrame:
     return pairs.withColumn("h", h).withColumn("position", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("h"), F.desc("unit"))))
 
 
+def nearest_random(pairs: DataFrame, seed: int, k: int) -> DataFrame:
+    """The last k units of the random order, the nearest first; each task keeps its best k before the shuffle."""
+    w = Window.partitionBy("target").orderBy("h", "unit")
+    return pairs.withColumn("h", priority(f"k5:{seed}", "target", "unit")).withColumn("nearest", F.row_number().over(w)).where(F.col("nearest") <= k)
+
+
 def ranked_order(scored: DataFrame) -> DataFrame:
     """Units by ascending score, ties by descending hash, then unit: the best stands last."""
     h = priority("k6tie", "target", "unit")
@@ -29,12 +36,12 @@ def ranked_order(scored: DataFrame) -> DataFrame:
 def rendered(units: DataFrame, target: str, order: list, payload: str, path: str, lang: str) -> DataFrame:
     """Byte spans of the chunks of a target laid end to end; a line feed follows each chunk and belongs to it.
 
-    Rows whose chunk is null (other languages, null payloads) are left out.
+    Rows whose chunk is null (other languages, null payloads) are left out; the
+    payload itself is not carried along.
     """
     size = F.octet_length(chunk(payload, path, lang)) + 1
-    w = Window.partitionBy(target).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = units.withColumn("size", size.cast("bigint")).where("size is not null")
-    return rows.withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size"))
+    rows = units.withColumn("size", size.cast("bigint")).where("size is not null").drop(payload)
+    return running(rows, [target], order, {"end": F.col("size")}).withColumn("start", F.col("end") - F.col("size"))
 
 
 def universe(units: DataFrame, targets: DataFrame, scope: str, removed: list[DataFrame]) -> DataFrame:

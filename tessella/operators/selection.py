@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.joins import lookup_join
+from tessella.operators.prefix import running
+
 
 def priority(seed, *fields) -> F.Column:
     """sha256 of the seed and fields joined by colons, as hex; the same for a row whatever else there is."""
@@ -17,8 +20,7 @@ def priority(seed, *fields) -> F.Column:
 
 def running_spans(files: DataFrame, group: list[str], order: list, size: str) -> DataFrame:
     """Half-open byte spans [start, end) of files laid end to end in the given order."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("end", F.sum(size).over(w)).withColumn("start", F.col("end") - F.col(size))
+    return running(files, group, order, {"end": F.col(size).cast("bigint")}).withColumn("start", F.col("end") - F.col(size))
 
 
 def greedy_fill(files: DataFrame, stream: str, key: str, size: str, order: str, cap: str, base: str | None = None) -> DataFrame:
@@ -65,20 +67,21 @@ def exact_dedup(files: DataFrame, text: str, order: list) -> DataFrame:
 
 def holdout(files: DataFrame, group: list[str], order: list) -> DataFrame:
     """Every tenth file (number 7 of each ten, from 0) is held out."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return files.withColumn("position", n).withColumn("held_out", F.pmod("position", F.lit(10)) == 7)
+    rows = running(files, group, order, {"position": F.lit(1)})
+    return rows.withColumn("position", F.col("position") - 1).withColumn("held_out", F.pmod("position", F.lit(10)) == 7)
 
 
 def stride_thin(files: DataFrame, group: list[str], order: list, size: str, cap: int) -> DataFrame:
     """Beyond the cap every step-th file is kept while the sum of the kept before it is below the cap."""
-    w = Window.partitionBy(*group)
-    n = F.row_number().over(w.orderBy(*order)) - 1
-    rows = files.withColumns({"position": n, "total": F.sum(size).over(w)})
+    totals = files.groupBy(*group).agg(F.sum(size).alias("total"))
+    rows = lookup_join(running(files, group, order, {"position": F.lit(1)}), totals, group, "inner").withColumn("position", F.col("position") - 1)
     step = F.greatest(F.lit(1), F.rint(F.col("total") / cap)).cast("bigint")
     rows = rows.withColumn("step", F.when(F.col("total") > cap, step).otherwise(F.lit(1).cast("bigint")))
     nominal = F.pmod("position", F.col("step")) == 0
-    before = F.coalesce(F.sum(F.when(nominal, F.col(size))).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("kept", nominal & ((F.col("total") <= cap) | (before < cap)))
+    mine = F.when(nominal, F.col(size)).otherwise(F.lit(0)).cast("bigint")
+    summed = running(rows, group, order, {"upto": mine})
+    before = F.col("upto") - F.when(nominal, F.col(size)).otherwise(F.lit(0))
+    return summed.withColumn("kept", nominal & ((F.col("total") <= cap) | (before < cap))).drop("upto")
 
 
 def tercile_cutpoints(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -108,10 +111,15 @@ def hamilton(populations: DataFrame, group: list[str], label: str, population: s
     return rows.withColumn("quota", (F.col("floor") + (place <= left).cast("bigint")).cast("bigint")).drop("floor", "rem")
 
 
-def top_by_quota(rows: DataFrame, quotas: DataFrame, cell: list[str], order: list) -> DataFrame:
-    """The first ``quota`` rows of each cell in the given order."""
+def top_by_quota(rows: DataFrame, quotas: DataFrame, cell: list[str], order: list, most: int) -> DataFrame:
+    """The first ``quota`` rows of each cell in the given order; no quota is above ``most``.
+
+    The bound lets each task keep its first ``most`` rows of a cell before
+    anything is shuffled.
+    """
     r = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-    return rows.join(quotas.select(*cell, "quota"), cell).withColumn("r", r).where("r <= quota").drop("quota")
+    few = rows.withColumn("r", r).where(F.col("r") <= most)
+    return few.join(quotas.select(*cell, "quota"), cell).where("r <= quota").drop("quota")
 
 
 def round_robin(rows: DataFrame, cell: list[str], turn: str, order: list, cap: int) -> DataFrame:

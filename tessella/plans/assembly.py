@@ -46,11 +46,7 @@ def _pool(spark, d) -> DataFrame:
 
 def random_arm(spark, d):
     """The 50 units nearest to each target in the random arm."""
-    o = A.random_order(_pool(spark, d), 0)
-    from pyspark.sql import Window
-
-    back = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("position")))
-    return o.withColumn("nearest", back).where("nearest <= 50").select("target", "unit", "nearest")
+    return A.nearest_random(_pool(spark, d), 0, 50).select("target", "unit", "nearest")
 
 
 def ranked_arm(spark, d):

@@ -52,7 +52,7 @@ def budget_suffix_units(spark, d):
 
 
 def _manifest(spark, d):
-    return selection.running_spans(_files(spark, d), ["repo"], ["rel", "file_id"], "bytes").select("repo", F.col("file_id").alias("id"), "start", "end")
+    return selection.running_spans(_files(spark, d).drop("text"), ["repo"], ["rel", "file_id"], "bytes").select("repo", F.col("file_id").alias("id"), "start", "end")
 
 
 def doc_of_position(spark, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import assembly, curves, governance, graph, hierarchy, selection, similarity
+from tessella.plans import assembly, curves, governance, graph, hierarchy, provenance, selection, similarity
 
-_MODULES = (curves, selection, hierarchy, graph, similarity, governance, assembly)
+_MODULES = (curves, selection, hierarchy, graph, similarity, governance, assembly, provenance)
 FLAGSHIP = curves.bin_table
 
 

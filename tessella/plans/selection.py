@@ -55,7 +55,7 @@ def xl_nested_fill(spark, d):
 
 def stream_manifest_offsets(spark, d):
     """Spans of the files of each repo laid end to end in path order."""
-    return S.running_spans(_files(spark, d), ["repo"], ["rel", "file_id"], "bytes").select("repo", "file_id", "start", "end")
+    return S.running_spans(_files(spark, d).drop("text"), ["repo"], ["rel", "file_id"], "bytes").select("repo", "file_id", "start", "end")
 
 
 def manifest_contiguity(spark, d):
@@ -78,11 +78,11 @@ def exact_dedup_pool(spark, d):
 
 
 def holdout_split(spark, d):
-    return S.holdout(_files(spark, d), ["ext"], ["prio", "file_id"]).select("ext", "file_id", "position", "held_out")
+    return S.holdout(_files(spark, d).drop("text"), ["ext"], ["prio", "file_id"]).select("ext", "file_id", "position", "held_out")
 
 
 def stride_thinning(spark, d):
-    return S.stride_thin(_files(spark, d), ["ext"], ["prio", "file_id"], "bytes", 20_000).where("kept").select("ext", "file_id", "position", "step")
+    return S.stride_thin(_files(spark, d).drop("text"), ["ext"], ["prio", "file_id"], "bytes", 20_000).where("kept").select("ext", "file_id", "position", "step")
 
 
 def clean_leakage(spark, d):
@@ -137,7 +137,7 @@ def hamilton_quotas(spark, d):
 
 
 def stratified_sample_plan(spark, d):
-    return S.top_by_quota(_celled(spark, d), _quotas(spark, d), ["repo", "cell"], ["prio", "target_id"]).select("repo", "cell", "target_id", "prio")
+    return S.top_by_quota(_celled(spark, d), _quotas(spark, d), ["repo", "cell"], ["prio", "target_id"], 60).select("repo", "cell", "target_id", "prio")
 
 
 def sample_shortfalls(spark, d):
