@@ -16,7 +16,6 @@ GAZETTEER words of counts over all documents.
 
 from __future__ import annotations
 
-import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -36,9 +35,11 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 #: Words in each corpus gazetteer at most.
 GAZETTEER = 20_000
-#: Candidates the classifier is trained on at most, and those a task offers.
-SAMPLE, SAMPLE_TASK = 20_000, 3_000
+#: Candidates the classifier is trained on at most.
+SAMPLE = 20_000
 DIMENSIONS = 1 << 14
+#: Features of a candidate: six votes, shape, two contexts before, one after, one constant.
+FEATURES = 11
 
 # Common given names of several languages.
 GIVEN = frozenset(
@@ -270,7 +271,7 @@ def features(text: str, s: Span) -> list[int]:
     shape = re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in value[:24]))
     before = re.findall(r"[^\W\d_]+|[^\w\s]", text[max(0, s.start - 40) : s.start])[-2:]
     after = re.findall(r"[^\W\d_]+|[^\w\s]", text[s.end : s.end + 24])[:1]
-    names = [f"v{i}={v}" for i, v in enumerate(s.votes)]
+    names = [f"v{i}={v}" for i, v in enumerate((*s.votes, 0, 0, 0, 0, 0, 0)[:6])]
     names += [f"s={shape}", f"b={before[-1].lower() if before else ''}", f"bb={' '.join(before).lower()}", f"a={after[0].lower() if after else ''}", "1"]
     return [xxhash.xxh32_intdigest(f"{s.kind}:{x}") % DIMENSIONS for x in names]
 
@@ -362,39 +363,43 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gazetteers(texts: DataFrame) -> Gazetteers:
     """From the counts of all texts (columns key, text)."""
-    words = texts.mapInArrow(_count_words, "kind string, word string, n bigint").groupBy("word").pivot("kind", ["lower", "seen", "after"]).agg(F.sum("n"))
-    words = words.na.fill(0)
+    rows = texts.mapInArrow(_count_words, "kind string, word string, n bigint")
+    total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
+    counts = rows.groupBy("word").agg(total("lower"), total("seen"), total("after")).where("lower >= 3 or after >= 2")
+    words = Scratch(texts.sparkSession).cut(counts, "words")
     sur = words.where("after >= 2 and after * 5 >= seen").orderBy(F.desc("after"), "word").limit(GAZETTEER).select("word").collect()
     low = words.where("lower >= 3").orderBy(F.desc("lower"), "word").limit(GAZETTEER).select("word").collect()
     return Gazetteers(frozenset(r["word"] for r in sur), frozenset(r["word"] for r in low))
 
 
+#: A document's candidates: parallel lists, features flat with FEATURES each.
+_CANDIDATES = "kind array<string>, start array<bigint>, `end` array<bigint>, votes array<string>, hash array<double>, features array<int>"
+
+
 def _survey(known) -> Callable:
-    """Rows: counts of vote patterns (n > 0), and sampled candidates (n = 0) with a hash and features."""
+    """One row per document with candidates: the spans, their votes, a hash for sampling and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = known.value
-        tally: Counter = Counter()
-        heap: list[tuple] = []
         for batch in batches:
+            rows = []
             for key, text in _texts(batch):
-                for s in candidates(text, g):
-                    pattern = f"{s.kind}:{','.join(map(str, s.votes))}"
-                    tally[pattern] += 1
-                    rank = -xxhash.xxh64_intdigest(f"{key}:{s.kind}:{s.start}") / 2**64
-                    if len(heap) < SAMPLE_TASK or rank > heap[0][0]:
-                        item = (rank, pattern, features(text, s))
-                        (heapq.heappush if len(heap) < SAMPLE_TASK else heapq.heapreplace)(heap, item)
-        keys = list(tally)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys + [p for _, p, _ in heap], pa.string()),
-                pa.array([tally[k] for k in keys] + [0] * len(heap), pa.int64()),
-                pa.array([0.0] * len(keys) + [-r for r, _, _ in heap], pa.float64()),
-                pa.array([None] * len(keys) + [f for _, _, f in heap], pa.list_(pa.int32())),
-            ],
-            names=["pattern", "n", "rank", "features"],
-        )
+                found = candidates(text, g)
+                if found:
+                    rows.append(
+                        (
+                            key,
+                            [s.kind for s in found],
+                            [s.start for s in found],
+                            [s.end for s in found],
+                            [f"{s.kind}:{','.join(map(str, s.votes))}" for s in found],
+                            [xxhash.xxh64_intdigest(f"{key}:{s.kind}:{s.start}") / 2**64 for s in found],
+                            [f for s in found for f in features(text, s)],
+                        )
+                    )
+            columns = list(zip(*rows)) if rows else [()] * 7
+            types = [batch.schema.types[0], pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["key", "kind", "start", "end", "votes", "hash", "features"])
 
     return run
 
@@ -411,45 +416,77 @@ class Model:
         self.g, self.weights = g, weights
 
     def spans(self, text: str) -> list[Span]:
-        """Accepted spans in order; of overlapping ones the likelier stays."""
-        scored = []
-        for s in candidates(text, self.g):
-            score = self.weights[features(text, s)].sum()
-            if score > 0:
-                scored.append((score, s))
-        out: list[Span] = []
-        for _, s in sorted(scored, key=lambda x: (-x[0], x[1].start)):
-            if all(s.end <= o.start or s.start >= o.end for o in out):
-                out.append(s)
-        return sorted(out, key=lambda s: s.start)
+        """Accepted spans in order."""
+        found = candidates(text, self.g)
+        return settled(found, [float(self.weights[features(text, s)].sum()) for s in found])
 
 
-def fit(documents: DataFrame, key_col: str, text_col: str) -> Model:
-    """Gazetteers, reliabilities and classifier from all documents."""
+def settled(found: list[Span], scores: list[float]) -> list[Span]:
+    """Spans with a positive score; of overlapping ones the likelier stays."""
+    out: list[Span] = []
+    for _, s in sorted(((c, s) for c, s in zip(scores, found) if c > 0), key=lambda x: (-x[0], x[1].start)):
+        if all(s.end <= o.start or s.start >= o.end for o in out):
+            out.append(s)
+    return sorted(out, key=lambda s: s.start)
+
+
+def fitted(documents: DataFrame, key_col: str, text_col: str) -> tuple[Model, DataFrame]:
+    """The model from all documents, and the candidates of each."""
     sc = documents.sparkSession.sparkContext
     texts = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     g = gazetteers(texts)
-    survey = Scratch(documents.sparkSession).cut(texts.mapInArrow(_survey(sc.broadcast(g)), "pattern string, n bigint, rank double, features array<int>"), "votes")
+    kind = documents.schema[key_col].dataType.simpleString()
+    survey = Scratch(documents.sparkSession).cut(texts.mapInArrow(_survey(sc.broadcast(g)), f"key {kind}, {_CANDIDATES}"), "candidates")
     counts: dict[str, dict] = {k: {} for k in KINDS}
-    for r in survey.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).collect():  # at most 3 ** labelers a kind
+    for r in survey.select(F.explode("votes").alias("pattern")).groupBy("pattern").count().collect():  # at most 3 ** labelers a kind
         kind, votes = _parse(r["pattern"])
-        counts[kind][votes] = r["n"]
+        counts[kind][votes] = r["count"]
     likely = {k: reliabilities(c) for k, c in counts.items() if c}
+    one = F.expr(f"explode(transform(sequence(0, size(hash) - 1), i -> struct(hash[i] as rank, votes[i] as pattern, slice(features, i * {FEATURES} + 1, {FEATURES}) as features)))")
+    picked = survey.select(one.alias("c")).select("c.*").orderBy("rank", "features").limit(SAMPLE)
     rows, goal = [], []
-    for r in survey.where("n = 0").orderBy("rank").limit(SAMPLE).collect():
+    for r in picked.collect():
         kind, votes = _parse(r["pattern"])
         rows.append(list(r["features"]))
         goal.append(likely[kind][votes])
-    return Model(g, train(rows, np.array(goal)))
+    return Model(g, train(rows, np.array(goal))), survey
+
+
+def fit(documents: DataFrame, key_col: str, text_col: str) -> Model:
+    """Gazetteers, reliabilities and classifier from all documents."""
+    return fitted(documents, key_col, text_col)[0]
+
+
+_FOUND = "kind string, start_char bigint, end_char bigint"
+
+
+def _places(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    k, name, start, end = zip(*rows) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(k, kind), pa.array(name, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["key", "kind", "start_char", "end_char"])
+
+
+def _decide(weights) -> Callable:
+    """Places from the candidates of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        for batch in batches:
+            rows = []
+            keys, kinds, starts, ends, flat = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4))
+            for key, kind, start, end, f in zip(keys, kinds, starts, ends, flat):
+                scores = w[np.array(f).reshape(-1, FEATURES)].sum(1).tolist()
+                found = [Span(k, a, b, ()) for k, a, b in zip(kind, start, end)]
+                rows += [(key, s.kind, s.start, s.end) for s in settled(found, scores)]
+            yield _places(rows, batch.schema.types[0])
+
+    return run
 
 
 def _find(model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            rows = [(key, s.kind, s.start, s.end) for key, text in _texts(batch) for s in m.spans(text)]
-            k, kind, start, end = zip(*rows) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(k, batch.schema.types[0]), pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["key", "kind", "start_char", "end_char"])
+            yield _places([(key, s.kind, s.start, s.end) for key, text in _texts(batch) for s in m.spans(text)], batch.schema.types[0])
 
     return run
 
@@ -457,13 +494,19 @@ def _find(model) -> Callable:
 def find(documents: DataFrame, key_col: str, text_col: str = "text", model: Model | None = None) -> DataFrame:
     """Places of personal information: ``key_col, kind, start_char, end_char`` in code points.
 
-    Null and empty texts have none; documents with a null key are left out.
-    Repeated rows give repeated places. Other columns are ignored.
+    Without a model one is fitted to the documents; their candidates are then
+    decided on without reading the texts again. Null and empty texts have no
+    places; documents with a null key are left out. Repeated rows give
+    repeated places. Other columns are ignored.
     """
-    model = model or fit(documents, key_col, text_col)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sc = documents.sparkSession.sparkContext
     kind = documents.schema[key_col].dataType.simpleString()
-    out = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_find(sent), f"key {kind}, kind string, start_char bigint, end_char bigint")
+    if model is None:
+        model, survey = fitted(documents, key_col, text_col)
+        out = survey.select("key", "kind", "start", "end", "features").mapInArrow(_decide(sc.broadcast(model.weights)), f"key {kind}, {_FOUND}")
+    else:
+        texts = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
+        out = texts.mapInArrow(_find(sc.broadcast(model)), f"key {kind}, {_FOUND}")
     return out.withColumnRenamed("key", key_col)
 
 
