@@ -100,7 +100,7 @@ def instant(c: str) -> Column:
     return F.try_to_timestamp(F.when(F.col(c).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.col(c)))
 
 
-def one_line_feed(c: str) -> Column:
+def one_line_feed(c: str | Column) -> Column:
     """The payload with exactly one line feed at its end."""
     return F.concat(F.regexp_replace(c, r"\n+\z", ""), F.lit("\n"))
 
@@ -109,7 +109,7 @@ def one_line_feed(c: str) -> Column:
 LEADERS = {"lean": "--", "python": "#", "cpp": "//"}
 
 
-def chunk(payload: str, path: str, lang: str) -> Column:
+def chunk(payload: str | Column, path: str, lang: str) -> Column:
     """A banner line with the path, then the payload; null for other languages."""
     leader = F.create_map(*[F.lit(x) for kv in LEADERS.items() for x in kv])[F.col(lang)]
     return F.concat(leader, F.lit(" ctx: "), F.col(path), F.lit("\n"), one_line_feed(payload))
@@ -117,7 +117,7 @@ def chunk(payload: str, path: str, lang: str) -> Column:
 
 def interface(header: Column, lang: Column) -> Column:
     """The header with its body replaced by a mark."""
-    bare = F.regexp_replace(header, r"\s+$", "")
+    bare = F.regexp_replace(header, r"\s+\z", "")
     return F.when(lang == "python", F.concat(bare, F.lit("\n    ...\n"))).when(lang == "lean", F.concat(bare, F.lit(" := by omitted\n"))).otherwise(F.concat(bare, F.lit(" { /* omitted */ }\n")))
 
 

@@ -141,6 +141,28 @@ def isotonic3(a: Column, b: Column, c: Column) -> list[Column]:
     return [f1, f2, f3]
 
 
+def upper_bound(deltas: DataFrame, family: list[str], value: str) -> DataFrame:
+    """Mean, standard error and the upper end of mean + t(0.975, n - 1) * error; null beyond the table of t."""
+    x = F.col(value)
+    d = lambda c: F.sum(c.cast("decimal(28,12)")).cast("double")
+    s = deltas.where(x.isNotNull()).groupBy(*family).agg(F.count(F.lit(1)).alias("n"), d(x).alias("__x"), d(x * x).alias("__xx"))
+    n = F.col("n")
+    var = F.try_divide(F.greatest(F.col("__xx") - F.col("__x") * F.col("__x") / n, F.lit(0.0)), n - 1)
+    out = s.withColumns({"mean": F.col("__x") / n, "error": F.sqrt(var / n)})
+    return out.withColumn("upper", F.col("mean") + t_quantile(n - 1) * F.col("error")).drop("__x", "__xx")
+
+
+def signed_rank(deltas: DataFrame, family: list[str], value: str) -> DataFrame:
+    """Signed-rank statistics: sums of the average ranks of positive and negative differences; zeros are left out."""
+    rows = deltas.where(F.col(value) != 0).withColumn("__a", F.abs(F.col(value)))
+    ranked = rows.withColumn("__r", average_rank(rows, family, "__a"))
+    up = F.sum(F.when(F.col(value) > 0, F.col("__r")).otherwise(0.0))
+    total = F.sum("__r")
+    n = F.count(F.lit(1))
+    z = F.try_divide(up - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0))
+    return ranked.groupBy(*family).agg(n.alias("n"), up.alias("w_plus"), (total - up).alias("w_minus"), z.alias("z"))
+
+
 def average_rank(rows: DataFrame, group: list[str], value: str) -> Column:
     """Rank with ties averaged, as a window expression."""
     w = Window.partitionBy(*group)

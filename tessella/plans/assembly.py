@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import lexers, scalars
+from tessella.functions import lean_source, lexers, scalars
 from tessella.operators import assembly as A
 from tessella.scratch import Scratch
 from tessella.sources.tables import table
@@ -101,6 +101,36 @@ def python_targets(spark, d):
     return lexers.target_table(f, "file_id", "text", "lang").where("name is not null").select("file_id", "name", "kind", "start_byte", "end_byte", "body_byte", "doc_bytes", F.size("refs").alias("n_refs"))
 
 
+def lean_declarations(spark, d):
+    """Declarations of Lean files with kind, scope and the bytes of header and body."""
+    f = table(spark, d, "source_files").where("rel like '%.lean' and text is not null").groupBy("file_id").agg(F.min("text").alias("text")).withColumn("lang", F.lit("lean"))
+    return lean_source.declaration_table(f, "file_id", "text", "lang").where("kind is not null").drop("error")
+
+
+def assembled_cells(spark, d):
+    """Contexts of the assembled orders: the units with the ids of the list, whole (k4) or as their first lines (k3), cut to the budget.
+
+    The first mention of an id counts; ids without a unit are passed over. Per
+    order and rendering: bytes, units wholly and partly inside, whether the
+    budget is filled.
+    """
+    o = table(spark, d, "assembly_orders").where("order_id is not null").groupBy("order_id").agg(F.min(F.struct("budget", "unit_order")).alias("r"))
+    items = o.select("order_id", F.col("r.budget").alias("budget"), F.posexplode("r.unit_order").alias("pos", "unit_id")).groupBy("order_id", "budget", "unit_id").agg(F.min("pos").alias("pos"))
+    u = _units(spark, d).where("lang is not null")
+    first = scalars.interface(F.split("payload", "\n")[0], F.col("lang"))
+    both = F.array(F.struct(F.lit("k4").alias("rendering"), F.col("payload").alias("body")), F.struct(F.lit("k3").alias("rendering"), first.alias("body")))
+    sized = u.select("unit_id", "relpath", "lang", F.explode(both).alias("b")).select("unit_id", F.col("b.rendering").alias("rendering"), (F.octet_length(scalars.chunk(F.col("b.body"), "relpath", "lang")) + 1).cast("bigint").alias("size"))
+    rows = items.join(sized, "unit_id")
+    w = Window.partitionBy("order_id", "rendering")  # one order's units
+    upto = F.sum("size").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    cut = rows.withColumns({"total": F.sum("size").over(w), "upto": upto})
+    inside = F.least(F.col("upto") - F.greatest(F.col("total") - F.col("budget"), F.lit(0)), F.col("size"))
+    cut = cut.withColumn("inside", F.greatest(inside, F.lit(0)))
+    return cut.groupBy("order_id", "rendering", "budget").agg(
+        F.sum("inside").alias("context_bytes"), F.count_if(F.col("inside") == F.col("size")).alias("whole"), F.count_if((F.col("inside") > 0) & (F.col("inside") < F.col("size"))).alias("partial"), (F.max("total") >= F.col("budget")).alias("eligible")
+    )
+
+
 def iso_stamps(spark, d):
     """Stamps of commits as instants; those without an offset are refused."""
     c = table(spark, d, "commits").select("commit_sha", "author_stamp").distinct()
@@ -118,7 +148,7 @@ def masked_families(spark, d):
     return o.select("repo", "arm", scalars.masked_id("fam", b"salt", "mask", "repo", "arm").alias("family"))
 
 
-_NAMES = """payload_normalization rendered_chunks identity_keys random_arm ranked_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets iso_stamps
+_NAMES = """payload_normalization rendered_chunks identity_keys random_arm ranked_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets lean_declarations assembled_cells iso_stamps
 path_guards masked_families""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -141,6 +171,13 @@ ORACLE = {
     "empty_arms": """WITH t AS (SELECT DISTINCT target_id FROM assembly_orders), a(arm) AS (VALUES ('k1'), ('k2'), ('k3'), ('k4'), ('k6'), ('k7'), ('k4x'), ('k3s'), ('k4s'), ('k5')), h AS (SELECT DISTINCT target_id, arm FROM assembly_orders)
       SELECT a.arm, count(*) AS empty FROM t CROSS JOIN a LEFT JOIN h ON h.target_id = t.target_id AND h.arm = a.arm WHERE h.arm IS NULL GROUP BY a.arm""",
     "span_conservation": f"WITH {_U} SELECT count(*) AS units, cast(0 AS BIGINT) AS violations FROM u",
+    "assembled_cells": f"""WITH {_U}, o AS (SELECT order_id, min({{'a': budget, 'b': unit_order}}) AS r FROM assembly_orders GROUP BY order_id), i AS (SELECT order_id, r.a AS budget, unnest(r.b) AS unit_id, generate_subscripts(r.b, 1) AS pos FROM o),
+      j AS (SELECT order_id, budget, unit_id, min(pos) AS pos FROM i GROUP BY ALL), v AS (SELECT unit_id, relpath, lang, 'k4' AS rendering, payload FROM u WHERE lang IN ('lean', 'python') UNION ALL
+        SELECT unit_id, relpath, lang, 'k3', regexp_replace(split_part(payload, chr(10), 1), '[ \t\n\r\f\v]+$', '') || CASE lang WHEN 'python' THEN chr(10) || '    ...' || chr(10) ELSE ' := by omitted' || chr(10) END FROM u WHERE lang IN ('lean', 'python')),
+      z AS (SELECT unit_id, rendering, octet_length(encode(CASE lang WHEN 'lean' THEN '--' ELSE '#' END || ' ctx: ' || relpath || chr(10) || {_N})) + 1 AS size FROM v),
+      w AS (SELECT j.*, rendering, size, sum(size) OVER (PARTITION BY order_id, rendering) AS total, sum(size) OVER (PARTITION BY order_id, rendering ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM j JOIN z ON z.unit_id = j.unit_id),
+      q AS (SELECT *, greatest(least(upto - greatest(total - budget, 0), size), 0) AS inside FROM w)
+      SELECT order_id, rendering, budget, cast(sum(inside) AS BIGINT) AS context_bytes, count(*) FILTER (WHERE inside = size) AS whole, count(*) FILTER (WHERE inside > 0 AND inside < size) AS partial, max(total) >= budget AS eligible FROM q GROUP BY order_id, rendering, budget""",
     "iso_stamps": "SELECT DISTINCT commit_sha, author_stamp, cast(floor(epoch(cast(author_stamp AS TIMESTAMPTZ))) AS BIGINT) AS epoch FROM commits",
     "path_guards": r"""SELECT DISTINCT file_id, coalesce(regexp_full_match(rel, '[^/\\]+(/[^/\\]+)*') AND NOT regexp_matches(rel, '(^|/)\.\.?(/|$)'), false) AS safe,
       CASE WHEN regexp_full_match(module_name, '[^./\\]+(\.[^./\\]+)*') THEN replace(module_name, '.', '/') || '.x' END AS path, lower(regexp_replace(module_name, '[-_.]+', '-', 'g')) AS package FROM source_files""",

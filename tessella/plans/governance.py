@@ -230,6 +230,18 @@ def excess_and_need(spark, d):
     return s.select("repo", F.round((gap[0] + 2 * gap[1] + gap[2]) / 4, 6).alias("excess"), need.alias("need"))
 
 
+def non_inferiority(spark, d):
+    """Design-derived: whether the upper bound of a contrast stays below a margin."""
+    u = G.upper_bound(_deltas(spark, d), ["contrast"], "delta")
+    return u.select("contrast", "n", _r("mean"), _r("upper"), (F.round("upper", 6) <= 0.5).alias("holds"))
+
+
+def signed_ranks(spark, d):
+    """Design-derived: signed-rank statistics of the contrasts of orders by segment."""
+    x = _order_deltas(spark, d).withColumn("delta", F.round("delta", 2))
+    return G.signed_rank(x, ["family", "module"], "delta").select("family", "module", "n", _r("w_plus"), _r("w_minus"), _r("z"))
+
+
 # ---- grids and gates
 
 
@@ -299,7 +311,7 @@ def layout_invariance(spark, d):
 
 
 _NAMES = """token_span_islands interval_merge interval_complement budget_suffix_units doc_of_position group_doc_attribution span_overlap_attribution byte_apportioned source_class_contrasts
-paired_contrasts blind_centred_deltas variance_components projected_halfwidth smallest_n pearson_or_zero split_half_reliability reliability_gate tier_decision pass_at_8 holm_correction excess_and_need
+paired_contrasts blind_centred_deltas variance_components projected_halfwidth smallest_n pearson_or_zero split_half_reliability reliability_gate tier_decision pass_at_8 holm_correction excess_and_need non_inferiority signed_ranks
 expected_grid grid_drift admission execution_classification props_json_extract monotonicity_violations dep_vs_random_context layout_invariance""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -380,6 +392,11 @@ ORACLE = {
       g AS (SELECT repo, s2048 - s32768 AS a, s8192 - s32768 AS b, s32768 - s32768 AS c FROM s),
       f AS (SELECT *, CASE WHEN a >= b AND b >= c THEN [a, b, c] WHEN a < b AND (a + b) / 2 >= c THEN [(a + b) / 2, (a + b) / 2, c] WHEN b < c AND a >= (b + c) / 2 THEN [a, (b + c) / 2, (b + c) / 2] ELSE [(a + b + c) / 3, (a + b + c) / 3, (a + b + c) / 3] END AS f FROM g)
       SELECT repo, round((a + 2 * b + c) / 4, 6) AS excess, CASE WHEN f[1] <= 0.05 THEN 2048 WHEN f[2] <= 0.05 THEN 8192 WHEN f[3] <= 0.05 THEN 32768 END AS need FROM f""",
+    "non_inferiority": f"""WITH {_DEL}, tq(df, t) AS (VALUES {", ".join(f"({i + 1}, {t})" for i, t in enumerate(G.T_0975))}), s AS (SELECT contrast, count(*) AS n, avg(delta) AS m, sqrt(var_samp(delta) / count(*)) AS e FROM dl GROUP BY contrast)
+      SELECT contrast, n, round(m, 6) AS mean, round(m + t * e, 6) AS upper, round(m + t * e, 6) <= 0.5 AS holds FROM s LEFT JOIN tq ON tq.df = n - 1""",
+    "signed_ranks": """WITH x AS (SELECT o_orderpriority AS family, o_custkey % 19 AS module, round(round(o_totalprice / 100000 - 1.5, 6), 2) AS v FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY family, module ORDER BY abs(v)) + (count(*) OVER (PARTITION BY family, module, abs(v)) - 1) / 2 AS r FROM x WHERE v <> 0),
+      s AS (SELECT family, module, count(*) AS n, coalesce(sum(r) FILTER (WHERE v > 0), 0) AS p, coalesce(sum(r) FILTER (WHERE v < 0), 0) AS q FROM r GROUP BY family, module)
+      SELECT family, module, n, round(p, 6) AS w_plus, round(q, 6) AS w_minus, round((p - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6) AS z FROM s""",
     "expected_grid": "SELECT DISTINCT a.model_name, b.corpus, c.stream_kind FROM cells_meta a, cells_meta b, cells_meta c",
     "grid_drift": """WITH e AS (SELECT DISTINCT a.model_name || '__' || b.corpus || '__' || c.stream_kind AS cell_name FROM cells_meta a, cells_meta b, cells_meta c), h AS (SELECT DISTINCT cell_name FROM token_dump)
       SELECT coalesce(e.cell_name, h.cell_name) AS cell_name, CASE WHEN e.cell_name IS NULL THEN 'unexpected' ELSE 'missing' END AS drift FROM e FULL JOIN h ON e.cell_name = h.cell_name WHERE e.cell_name IS NULL OR h.cell_name IS NULL""",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,6 +79,43 @@ def json_objects(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "path string, sha256 string, text string, error string")
 
 
+def tex_of(data: bytes) -> tuple[str | None, str | None]:
+    """Text of a source archive and the reason if there is none.
+
+    PDFs are refused; gzip is opened; of a tar the .tex members are joined in
+    order of their names; text that isn't UTF-8 is read as Latin-1.
+    """
+    if data[:4] == b"%PDF":
+        return None, "pdf"
+    try:
+        raw = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+        if tarfile.is_tarfile(io.BytesIO(raw)):
+            with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
+                parts = [tar.extractfile(m).read() for m in sorted(tar.getmembers(), key=lambda m: m.name) if m.isfile() and m.name.endswith(".tex")]
+        else:
+            parts = [raw]
+    except (OSError, EOFError, tarfile.TarError, zlib.error) as err:
+        return None, type(err).__name__
+    texts = []
+    for part in parts:
+        try:
+            texts.append(part.decode())
+        except UnicodeDecodeError:
+            texts.append(part.decode("latin-1"))
+    return ("\n".join(texts), None) if texts else (None, "no-tex")
+
+
+def source_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Archives of a folder as text: path, text, error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [tex_of(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in out], pa.string()), pa.array([e for _, e in out], pa.string())], names=["path", "text", "error"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
 def reference_index(objects: DataFrame) -> DataFrame:
     """References of compact index files (version 5): module, name, defined_in, parent, line, column.
 

@@ -1,10 +1,12 @@
 import gzip
+import io
 import json
+import tarfile
 import tokenize
 
 import pytest
 
-from tessella.functions import lexers, scalars
+from tessella.functions import lean_source, lexers, scalars
 from tessella.sources import files
 from tessella.streaming.ingest import ingest
 
@@ -133,3 +135,41 @@ def test_scalars(spark):
     assert [tuple(r) for r in got] == [(False, "x\n"), (True, "x\n"), (False, "x\r\n")]
     h = d.select(scalars.masked_id("fam", b"s", "d", "t").alias("h")).collect()
     assert all(len(r["h"]) == 20 for r in h)
+
+
+def test_lean_declarations():
+    text = """import A
+namespace Foo
+section
+/-- doc -/
+@[simp, foo (a := b)]
+private theorem bar (h : (x := 1)) : "a | := " = 1 := by
+  simp
+end
+def baz : Nat
+  | 0 => 1
+end Foo
+instance : Inhabited Nat where
+  default := 0
+"""
+    got = lean_source.declarations(text)
+    data = text.encode()
+    assert [(d["kind"], d["name"], d["scope"]) for d in got] == [("theorem", "bar", "Foo"), ("def", "baz", "Foo"), ("instance", None, "")]
+    assert data[got[0]["start_byte"] :].startswith(b"@[simp") and data[got[0]["header_byte"] :].startswith(b":= by")
+    assert data[got[1]["header_byte"] :].startswith(b"| 0") and data[got[2]["header_byte"] :].startswith(b"where")
+    assert lean_source.declaration_kind("-- c\n@[simp] protected lemma x : 1 = 1") == "lemma" and lean_source.declaration_kind("1 + 1") is None
+    mask = lean_source.code_mask('a -- b\n"c" d')
+    assert "".join(c for c, m in zip('a -- b\n"c" d', mask) if m).split() == ["a", "d"]
+
+
+def test_archives(spark, tmp_path):
+    box = io.BytesIO()
+    with tarfile.open(fileobj=box, mode="w") as tar:
+        for name, data in (("b.tex", b"two"), ("a.tex", "\u00e9".encode("latin-1")), ("c.png", b"x")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    for name, data in (("tar", gzip.compress(box.getvalue())), ("pdf", b"%PDF-1"), ("plain", gzip.compress(b"one")), ("broken", b"\x1f\x8bxx"), ("empty", b"")):
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in files.source_archives(spark, str(tmp_path)).collect()}
+    assert got["tar"] == ("\u00e9\ntwo", None) and got["pdf"] == (None, "pdf") and got["plain"] == ("one", None) and got["broken"][0] is None and "empty" not in got
