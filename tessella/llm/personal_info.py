@@ -71,7 +71,8 @@ HIDDEN = re.compile(
     r"|(?<![\w.+@-])[A-Za-z0-9][\w.+-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+|\.[A-Za-z]{2,}\b)+",
     re.I,
 )
-AT = re.compile(r"\bat\b", re.I)
+#: What any disguised address holds.
+AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\sat\s+[a-z0-9-]+(?:\s+dot\s|\.[a-z]{2,}\b)", re.I)
 MAIL_BEFORE = re.compile(r"(?:<|mailto:|contact\"?:? \"?|user=|;|\(|write to|oder|unter|reported.{0,40}|escribir a|cc:?|\")\s*$", re.I)
 NOT_MAIL = re.compile(r"(?:pip install|clone|ssh|scp|npm|upstairs|install)\s*[\w./:@-]{0,40}$", re.I)
 
@@ -97,6 +98,8 @@ ID_LABEL = re.compile(
     r"|numéro de sécurité sociale|carte d'identité|passeport|pasaporte)\.?\s*:?\s*(?:no\.?|nr\.?|n°|is)?\s*(?P<v>(?=[A-Z\d -]*\d{3}|[A-Z\d -]*\d \d)[A-Z]{0,3}[ -]?\d[A-Z\d]*(?:[ -]?[A-Z\d]*\d[A-Z\d]*)*(?:[ -]?[A-Z]\b)?)",
     re.I,
 )
+#: One of these is in every label.
+ID_WORDS = ("ssn", "security", "national", "nino", "ni number", "passport", "card", "identity", "tax id", "licen", "dni", "nie", "nif", "curp", "ausweis", "reisepass", "steuer", "sozialvers", "nir", "sécurité", "carte", "passeport", "pasaporte")
 ID_BARE = re.compile(r"(?<![\w.+/\-])(?P<v>\d{3}-\d{2}-\d{4}|\d{6}-\d{4}|QQ ?\d\d ?\d\d ?\d\d ?[A-D]|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|QQ\w{6,14})(?![\w-])")
 ID_FORM = re.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{6}-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]|[A-Z]{1,2}-?\d{6,9}|L\dX\d{5,7}|\d{2} ?\d{3} ?\d{3} ?\d{3}|\d ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d")
 NOT_ID = re.compile(r"(?:checksum|hash|shape|tok|grp|build|commit|version|rows?|range|wrong,)\s*\S{0,10}$", re.I)
@@ -155,18 +158,19 @@ def _sign(good: bool, bad: bool) -> int:
 
 
 def _emails(text: str, g: Gazetteers) -> Iterator[Span]:
-    for m in [*EMAIL.finditer(text), *HIDDEN.finditer(text)]:
+    plain = EMAIL.finditer(text) if "@" in text else ()
+    for m in [*plain, *(HIDDEN.finditer(text) if AT.search(text) else ())]:
         before, after = text[max(0, m.start() - 45) : m.start()], text[m.end() : m.end() + 12]
         word = re.split(r"@|\s?[\[({<]\s?at\b|\s+at\s+", m.group(), flags=re.I)
         local, host = word[0], word[-1]
         parts = [_bare(p.rstrip("0123456789")) for p in re.split(r"[._+-]", local) if p]
         person = any(p in _GIVEN_BARE or p in g.bare or p[1:] in g.bare for p in parts)
-        plain = all(p in g.ordinary for p in parts)
+        ordinary = all(p in g.ordinary for p in parts)
         labels = re.split(r"\.|\bdot\b", host, flags=re.I)
         top = labels[-1].strip(" ])}>([{<").lower()
         named = len(labels) > 1 and (top in TOP or "@" in m.group() and top.isalpha())
         remote = bool(NOT_MAIL.search(before)) or after[:1] == ":" and after[1:2] not in ("", " ", "\n")
-        yield Span("email", m.start(), m.end(), (_sign(named, not named), _sign(person, plain), _sign(bool(MAIL_BEFORE.search(before)), remote), _sign(local.lower() not in ("git", "runner", "root"), local.lower() in ("git", "runner", "root", "noreply", "bot"))))
+        yield Span("email", m.start(), m.end(), (_sign(named, not named), _sign(person, ordinary), _sign(bool(MAIL_BEFORE.search(before)), remote), _sign(local.lower() not in ("git", "runner", "root"), local.lower() in ("git", "runner", "root", "noreply", "bot"))))
 
 
 def _phones(text: str) -> Iterator[Span]:
@@ -188,7 +192,9 @@ def _phones(text: str) -> Iterator[Span]:
 
 def _ids(text: str) -> Iterator[Span]:
     seen = set()
-    for labelled, pattern in ((True, ID_LABEL), (False, ID_BARE)):
+    low = text.lower()
+    patterns = [(True, ID_LABEL)] if any(w in low for w in ID_WORDS) else []
+    for labelled, pattern in (*patterns, (False, ID_BARE)):
         for m in pattern.finditer(text):
             start, end = m.span("v")
             if start in seen:
@@ -256,7 +262,7 @@ def _names(text: str, g: Gazetteers, locals_: str) -> Iterator[Span]:
 
 
 def candidates(text: str, g: Gazetteers) -> list[Span]:
-    mails = list(_emails(text, g)) if "@" in text or AT.search(text) else []
+    mails = list(_emails(text, g))
     out = [*mails, *_ids(text), *_phones(text), *_addresses(text, g)]
     locals_ = " ".join(_bare(text[m.start : m.end].split("@")[0]) for m in mails)
     for s in _names(text, g, locals_):
