@@ -65,8 +65,9 @@ def variance_components(deltas: DataFrame, family: list[str], module: str, value
 
 
 def t_quantile(df: Column) -> Column:
-    """t at 0.975; null beyond the table."""
-    return F.try_element_at(F.array(*map(F.lit, T_0975)), df.cast("int"))
+    """t at 0.975; null outside of the table."""
+    inside = df.between(1, len(T_0975))
+    return F.when(inside, F.try_element_at(F.array(*map(F.lit, T_0975)), F.when(inside, df).otherwise(F.lit(1)).cast("int")))
 
 
 def half_width(between: Column, within: Column, m2: Column, n: Column, df: Column) -> Column:

@@ -162,7 +162,7 @@ ORACLE = {
     "rendered_chunks": f"""WITH {_U}, c AS (SELECT repo || '/' || lang AS scope, unit_id, relpath, octet_length(encode(CASE lang WHEN 'lean' THEN '--' WHEN 'python' THEN '#' END || ' ctx: ' || relpath || chr(10) || {_N})) + 1 AS size FROM u WHERE repo IS NOT NULL AND lang IN ('lean', 'python')),
       s AS (SELECT *, cast(sum(size) OVER (PARTITION BY scope ORDER BY relpath, unit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM c) SELECT scope, unit_id, e - size AS start, e AS "end" FROM s""",
     "identity_keys": r"""WITH c AS (SELECT unit_id, regexp_replace(identity, '("(?:[^"\\]|\\.)*")|\s+', '\1', 'g') AS i FROM units) SELECT unit_id, min(i) AS identity, count(DISTINCT i) AS spellings FROM c GROUP BY unit_id""",
-    "random_arm": f"WITH {_POOL}, o AS (SELECT target, unit, row_number() OVER (PARTITION BY target ORDER BY sha256('k5:0:' || target || ':' || unit), unit) AS nearest FROM pl) SELECT * FROM o WHERE nearest <= 50",
+    "random_arm": f"WITH {_POOL}, o AS (SELECT target, unit, row_number() OVER (PARTITION BY target ORDER BY sha256('k5:0:' || target || ':' || unit), unit) AS nearest FROM pl) SELECT target, unit, cast(nearest AS INT) AS nearest FROM o WHERE nearest <= 50",
     "ranked_arm": f"WITH {_POOL} SELECT target, unit, size % 7 AS score, cast(row_number() OVER (PARTITION BY target ORDER BY size % 7, sha256('k6tie:' || target || ':' || unit) DESC, unit) AS INT) AS position FROM pl",
     "removed_mass": f"""WITH {_U}, w AS (SELECT unit_id AS unit, repo, relpath, octet_length(encode(payload)) AS size FROM u WHERE repo IS NOT NULL), q AS (SELECT t.unit AS target, w.unit, w.size, w.relpath = t.relpath AS f, w.size = t.size AS z FROM w t JOIN w ON t.repo = w.repo AND t.unit % 100 = 0 AND w.unit <> t.unit)
       SELECT 'same_file' AS reason, count(*) AS pairs, cast(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE f AND z) AS shared FROM q WHERE f HAVING count(*) > 0 UNION ALL SELECT 'same_size', count(*), cast(sum(size) AS BIGINT), count(*) FILTER (WHERE f AND z) FROM q WHERE z HAVING count(*) > 0""",

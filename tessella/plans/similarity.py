@@ -149,7 +149,7 @@ _SETS = f"""{_U}, s AS (SELECT unit_id, list_sort(list_distinct(list_transform(r
   j AS (SELECT a, b, cast(i AS INT) AS n_inter, cast(t - i AS INT) AS n_union, CASE WHEN 100 * i >= 90 * (t - i) THEN 'B5' WHEN 100 * i >= 85 * (t - i) THEN 'B4' WHEN 100 * i >= 80 * (t - i) THEN 'B3' WHEN 100 * i >= 75 * (t - i) THEN 'B2' ELSE 'B1' END AS bin FROM jp)"""
 _COL = "co AS (SELECT norm, count(*) AS members, count(DISTINCT verb) AS verbatims, max(n_records) AS n_records FROM h GROUP BY norm HAVING count(DISTINCT verb) >= 2)"
 _PACK = f"""{_SETS}, pr AS (SELECT j.*, u.repo, sha256('pack:v1:' || a || ':' || b) AS hh FROM j JOIN u ON u.unit_id = j.a), n1 AS (SELECT *, row_number() OVER (PARTITION BY bin, repo ORDER BY hh) AS nth FROM pr),
-  n2 AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY nth, repo) AS slot FROM n1), pk AS (SELECT bin, slot, a, b, sha256('show:v1:' || a || ':' || b) AS shown FROM n2 WHERE slot <= 8)"""
+  n2 AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY nth, repo) AS slot FROM n1), pk AS (SELECT bin, cast(slot AS INT) AS slot, a, b, sha256('show:v1:' || a || ':' || b) AS shown FROM n2 WHERE slot <= 8)"""
 
 ORACLE = {
     "lexical_records": f"""WITH {_U}, t AS (SELECT unit_id, unnest(tokens) AS t FROM u) SELECT unit_id, CASE WHEN regexp_matches(t, '^[A-Za-z_]') THEN 'WORD' WHEN regexp_matches(t, '^[0-9]') THEN 'NUM' ELSE 'OP' END AS kind,
@@ -179,5 +179,5 @@ ORACLE = {
       q AS (SELECT id AS query, term, tf AS qtf FROM ps WHERE id % 50 = 0), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term),
       sc AS (SELECT query, ps.id, cast(sum(cast(round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / av)), 9) AS DECIMAL(28,9))) AS DOUBLE) AS score
       FROM q JOIN df ON q.term = df.term JOIN ps ON ps.term = q.term JOIN sz ON sz.id = ps.id, st WHERE ps.id <> query GROUP BY query, ps.id),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM sc) SELECT query, id, place, round(score, 5) AS score FROM r WHERE place <= 10""",
+      r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM sc) SELECT query, id, cast(place AS INT) AS place, round(score, 5) AS score FROM r WHERE place <= 10""",
 }
