@@ -22,5 +22,7 @@ def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "l
     if n <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = big.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys][:4] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
+    # from all values and the task, so that equal rows spread too; the same again if a task is retried
+    values = [F.col(f.name) for f in big.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    spread = big.withColumn("__salt", F.pmod(F.xxhash64(F.spark_partition_id(), *values), F.lit(SALTS)).cast("int"))
     return spread.join(salted, [*keys, "__salt"], how).drop("__salt")

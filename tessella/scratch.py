@@ -54,7 +54,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
+        fs, target = _fs(spark, self.root)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)  # should the session be gone before this process ends
         atexit.register(self._close)
 
     def path(self, name: str) -> str:
@@ -64,7 +66,6 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._tessella_path = path
         return out
 

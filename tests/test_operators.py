@@ -4,7 +4,32 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import assembly, governance, graph, selection, similarity, spans
+from tessella import joins
+from tessella.operators import assembly, governance, graph, prefix, selection, similarity, spans
+
+
+@pytest.mark.parametrize("limit", [1, 100])
+def test_lookup_join_of_either_kind(spark, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    big = spark.createDataFrame([("hot", i % 3, {"a": i}) for i in range(90)] + [("b", 1, None), (None, 1, None), ("z", 1, None)], "k string, v int, m map<string,int>")
+    small = spark.createDataFrame([("hot", 7), ("b", 8), (None, 9)], "k string, w int")
+    got = sorted((r["k"] or "", r["w"] or 0) for r in joins.lookup_join(big, small, ["k"]).collect())
+    assert got == sorted([("hot", 7)] * 90 + [("b", 8), ("", 0), ("z", 0)])
+    assert joins.lookup_join(big, small, ["k"], "inner").count() == 91
+
+
+def test_running_sums_cross_tasks(spark):
+    rows = [("a" if i % 3 else None, (i * 7919) % 500, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = {(r["g"], r["o"]): (r["s"], r["n"]) for r in prefix.running(df, ["g"], ["o"], {"s": F.col("v"), "n": F.lit(1)}).collect()}
+    want = {}
+    for g in ("a", None):
+        s = 0
+        for n, (_, o, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), 1):
+            s += v
+            want[g, o] = (s, n)
+    assert got == want
+    assert prefix.running(df.limit(0), ["g"], ["o"], {"s": F.col("v")}).count() == 0
 
 
 def test_greedy_fill_passes_over_what_does_not_fit(spark):
