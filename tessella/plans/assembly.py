@@ -37,9 +37,9 @@ def identity_keys(spark, d):
 
 
 def _pool(spark, d) -> DataFrame:
-    """Targets (every 100th unit) against all other units of their repo that are not of the same file."""
+    """Targets (every unit with an id divisible by 50) against all other units of their repo that are not of the same file."""
     u = Scratch(spark).cut(_units(spark, d).where("repo is not null").select(F.col("unit_id").alias("unit"), "repo", "relpath", F.octet_length("payload").cast("bigint").alias("size")), "pool")
-    t = u.where("unit % 100 = 0").select(F.col("unit").alias("target"), "repo", F.col("relpath").alias("t_path"))
+    t = u.where("unit % 50 = 0").select(F.col("unit").alias("target"), "repo", F.col("relpath").alias("t_path"))
     same = t.join(u, "repo").where("relpath = t_path").select("target", "unit")
     return A.universe(u.select("unit", "repo", "size"), t.select("target", "repo"), "repo", [same])
 
@@ -57,7 +57,7 @@ def ranked_arm(spark, d):
 def removed_mass(spark, d):
     """What is left out of each target's pool and why: same file, or same size."""
     u = Scratch(spark).cut(_units(spark, d).where("repo is not null").select(F.col("unit_id").alias("unit"), "repo", "relpath", F.octet_length("payload").cast("bigint").alias("size")), "pool")
-    t = u.where("unit % 100 = 0").select(F.col("unit").alias("target"), "repo", F.col("relpath").alias("t_path"), F.col("size").alias("t_size"))
+    t = u.where("unit % 50 = 0").select(F.col("unit").alias("target"), "repo", F.col("relpath").alias("t_path"), F.col("size").alias("t_size"))
     pairs = t.join(u, "repo").where("unit <> target")
     return A.removed_mass({"same_file": pairs.where("relpath = t_path"), "same_size": pairs.where("size = t_size")}, u.select("unit", "size"))
 
@@ -155,7 +155,7 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _U = "p AS (SELECT unit_id, min({'a': relpath, 'b': repo, 'c': lang, 'd': payload}) AS r FROM units WHERE payload IS NOT NULL GROUP BY unit_id), u AS (SELECT unit_id, r.a AS relpath, r.b AS repo, r.c AS lang, r.d AS payload FROM p)"
 _N = "regexp_replace(payload, chr(10) || '+$', '') || chr(10)"
 _POOL = f"""{_U}, w AS (SELECT unit_id AS unit, repo, relpath, octet_length(encode(payload)) AS size FROM u WHERE repo IS NOT NULL),
-  pl AS (SELECT t.unit AS target, w.unit, w.size FROM w t JOIN w ON t.repo = w.repo AND t.unit % 100 = 0 AND w.unit <> t.unit AND w.relpath <> t.relpath)"""
+  pl AS (SELECT t.unit AS target, w.unit, w.size FROM w t JOIN w ON t.repo = w.repo AND t.unit % 50 = 0 AND w.unit <> t.unit AND w.relpath <> t.relpath)"""
 
 ORACLE = {
     "payload_normalization": f"""WITH {_U}, n AS (SELECT *, length(payload) - length(rtrim(payload, chr(10))) AS n FROM u) SELECT unit_id, cast(greatest(n - 1, 0) AS INT) AS removed, CASE WHEN n = 0 THEN 1 ELSE 0 END AS appended, cast(octet_length(encode({_N})) AS INT) AS bytes FROM n""",
@@ -164,7 +164,7 @@ ORACLE = {
     "identity_keys": r"""WITH c AS (SELECT unit_id, regexp_replace(identity, '("(?:[^"\\]|\\.)*")|\s+', '\1', 'g') AS i FROM units) SELECT unit_id, min(i) AS identity, count(DISTINCT i) AS spellings FROM c GROUP BY unit_id""",
     "random_arm": f"WITH {_POOL}, o AS (SELECT target, unit, row_number() OVER (PARTITION BY target ORDER BY sha256('k5:0:' || target || ':' || unit), unit) AS nearest FROM pl) SELECT target, unit, cast(nearest AS INT) AS nearest FROM o WHERE nearest <= 50",
     "ranked_arm": f"WITH {_POOL} SELECT target, unit, size % 7 AS score, cast(row_number() OVER (PARTITION BY target ORDER BY size % 7, sha256('k6tie:' || target || ':' || unit) DESC, unit) AS INT) AS position FROM pl",
-    "removed_mass": f"""WITH {_U}, w AS (SELECT unit_id AS unit, repo, relpath, octet_length(encode(payload)) AS size FROM u WHERE repo IS NOT NULL), q AS (SELECT t.unit AS target, w.unit, w.size, w.relpath = t.relpath AS f, w.size = t.size AS z FROM w t JOIN w ON t.repo = w.repo AND t.unit % 100 = 0 AND w.unit <> t.unit)
+    "removed_mass": f"""WITH {_U}, w AS (SELECT unit_id AS unit, repo, relpath, octet_length(encode(payload)) AS size FROM u WHERE repo IS NOT NULL), q AS (SELECT t.unit AS target, w.unit, w.size, w.relpath = t.relpath AS f, w.size = t.size AS z FROM w t JOIN w ON t.repo = w.repo AND t.unit % 50 = 0 AND w.unit <> t.unit)
       SELECT 'same_file' AS reason, count(*) AS pairs, cast(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE f AND z) AS shared FROM q WHERE f HAVING count(*) > 0 UNION ALL SELECT 'same_size', count(*), cast(sum(size) AS BIGINT), count(*) FILTER (WHERE f AND z) FROM q WHERE z HAVING count(*) > 0""",
     "cell_grid": """WITH t AS (SELECT count(DISTINCT target_id) AS n FROM assembly_orders), a(arm, cells, budgets) AS (VALUES ('k1', 1, 0), ('k2', 3, 3), ('k3', 3, 3), ('k4', 3, 3), ('k6', 3, 3), ('k7', 3, 3), ('k4x', 3, 3), ('k3s', 3, 3), ('k4s', 3, 3), ('k5', 9, 3))
       SELECT arm, n * cells AS cells, cast(budgets AS BIGINT) AS budgets FROM a, t""",

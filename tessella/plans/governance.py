@@ -21,9 +21,9 @@ def _r(c, n=6):
 
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
     """Character spans of the tokens of a window with some overlap: a token reaches one byte into the one before if its id is even."""
-    t = table(spark, d, "token_dump").where("grp is not null and blen is not null").groupBy("cell_name", "win", "ctxb", "tok").agg(F.max("blen").alias("blen"))
+    t = table(spark, d, "token_dump").where("grp is not null and blen is not null").groupBy("cell_name", "win", "ctxb", "tok").agg(F.max("blen").alias("blen"), F.max(F.when(~F.isnan("nll"), F.col("nll"))).alias("nll"))
     start = F.greatest(F.col("ctxb") - F.when(F.col("tok") % 2 == 0, 1).otherwise(0), F.lit(0))
-    return t.select("cell_name", "win", "tok", start.alias("start"), (F.col("ctxb") + F.col("blen")).alias("end"))
+    return t.select("cell_name", "win", "tok", "nll", start.alias("start"), (F.col("ctxb") + F.col("blen")).alias("end"))
 
 
 def token_span_islands(spark, d):
@@ -32,7 +32,8 @@ def token_span_islands(spark, d):
 
 
 def interval_merge(spark, d):
-    return spans.merged(_offsets(spark, d).where("tok % 3 = 0"), ["cell_name", "win"])
+    """Stretches of badly predicted tokens (one nat and more), overlapping or adjacent ones joined."""
+    return spans.merged(_offsets(spark, d).where("nll >= 1"), ["cell_name", "win"])
 
 
 def _window_lengths(spark, d):
@@ -194,7 +195,7 @@ def _full(spark, d):
 
 
 def split_half_reliability(spark, d):
-    return G.split_half(_full(spark, d), ["arm"], "target", "draw", "passed", 8, 20, "rel:v1").select("arm", "n_targets", _r("median"), _r("least"), _r("largest"))
+    return G.split_half(_full(spark, d), ["arm"], "target", "draw", "passed", 8, 200, "rel:v1").select("arm", "n_targets", _r("median"), _r("least"), _r("largest"))
 
 
 def reliability_gate(spark, d):
@@ -217,7 +218,7 @@ def pass_at_8(spark, d):
 def holm_correction(spark, d):
     """Design-derived: step-down correction within a family."""
     p = F.round((F.pmod("o_orderkey", F.lit(997)) + 1) / 4000.0, 9)
-    rows = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderpriority").alias("family"), "o_orderkey", p.alias("p"))
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("family"), "o_orderkey", p.alias("p"))
     return G.holm(rows, ["family"], "p", "o_orderkey").select("family", "o_orderkey", "p", F.round("p_holm", 9).alias("p_holm"))
 
 
@@ -317,8 +318,8 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 
 from tessella.plans.curves import _B, _G  # noqa: E402
 
-_O = "o AS (SELECT cell_name, win, tok, greatest(ctxb - CASE WHEN tok % 2 = 0 THEN 1 ELSE 0 END, 0) AS start, ctxb + blen AS e FROM (SELECT cell_name, win, ctxb, tok, max(blen) AS blen FROM token_dump WHERE grp IS NOT NULL AND blen IS NOT NULL GROUP BY ALL))"
-_M = f"""{_O}, o3 AS (SELECT *, max(e) OVER (PARTITION BY cell_name, win ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o WHERE tok % 3 = 0),
+_O = "o AS (SELECT cell_name, win, tok, greatest(ctxb - CASE WHEN tok % 2 = 0 THEN 1 ELSE 0 END, 0) AS start, ctxb + blen AS e, nll FROM (SELECT cell_name, win, ctxb, tok, max(blen) AS blen, max(nll) FILTER (WHERE NOT isnan(nll)) AS nll FROM token_dump WHERE grp IS NOT NULL AND blen IS NOT NULL GROUP BY ALL))"
+_M = f"""{_O}, o3 AS (SELECT *, max(e) OVER (PARTITION BY cell_name, win ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM o WHERE nll >= 1),
   og AS (SELECT *, sum(CASE WHEN b IS NULL OR start > b THEN 1 ELSE 0 END) OVER (PARTITION BY cell_name, win ORDER BY start, e ROWS UNBOUNDED PRECEDING) AS g FROM o3),
   m AS (SELECT cell_name, win, min(start) AS start, max(e) AS e, count(*) AS n_spans FROM og GROUP BY cell_name, win, g)"""
 _LEN = "ln AS (SELECT cell_name, win, max(e) AS length FROM o GROUP BY cell_name, win)"
@@ -346,7 +347,7 @@ _PRO = f"""{_VC}, tq(df, t) AS (VALUES {", ".join(f"({i + 1}, {t})" for i, t in
 _DR = """dr AS (SELECT event_type AS arm, user_id AS target, draw, (cast(floor(value) AS BIGINT) % 3) <> (user_id % 2) AS passed FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS draw FROM events) WHERE draw < 32),
   fu AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY arm, target) AS k FROM dr) WHERE k >= 8)"""
 _COR = lambda x, y: f"CASE WHEN var_pop({x}) <= 1e-12 OR var_pop({y}) <= 1e-12 THEN 0.0 ELSE greatest(-1.0, least(1.0, covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})))) END"
-_REL = f"""{_DR}, rs AS (SELECT fu.*, unnest(range(0, 20)) AS resplit FROM fu), rk AS (SELECT *, row_number() OVER (PARTITION BY arm, resplit, target ORDER BY sha256('rel:v1:' || arm || ':8:' || resplit || ':' || target || ':' || draw), draw) AS place FROM rs),
+_REL = f"""{_DR}, rs AS (SELECT fu.*, unnest(range(0, 200)) AS resplit FROM fu), rk AS (SELECT *, row_number() OVER (PARTITION BY arm, resplit, target ORDER BY sha256('rel:v1:' || arm || ':8:' || resplit || ':' || target || ':' || draw), draw) AS place FROM rs),
   ra AS (SELECT arm, resplit, target, sum(passed::INT) FILTER (WHERE place <= 4) / 4 AS l, sum(passed::INT) FILTER (WHERE place > 4) / 4 AS r FROM rk WHERE place <= 8 GROUP BY ALL),
   co AS (SELECT arm, resplit, count(*) AS n, {_COR("l", "r")} AS r FROM ra GROUP BY arm, resplit), sb AS (SELECT *, round(CASE WHEN r <= 0 THEN 0 ELSE least(1.0, 2 * r / (1 + r)) END, 9) AS c FROM co),
   re AS (SELECT arm, max(n) AS n_targets, round(median(c), 6) AS median, round(min(c), 6) AS least, round(max(c), 6) AS largest FROM sb GROUP BY arm)"""
@@ -385,7 +386,7 @@ ORACLE = {
       SELECT *, CASE WHEN passes * 100 < trials * 5 THEN 'move-up-one' WHEN passes * 100 > trials * 95 THEN 'move-down-one' ELSE 'stay' END AS direction FROM e""",
     "pass_at_8": f"""WITH {_DR}, e AS (SELECT arm, target, count(*) AS n, count(*) FILTER (WHERE passed) AS c FROM fu GROUP BY ALL),
       p AS (SELECT arm, round(1 - list_reduce(list_transform(range(0, 8), lambda i: greatest(n - c - i, 0) / (n - i)), lambda x, y: x * y), 9) AS p FROM e) SELECT arm, round({_AVG("p")} / count(*), 6) AS pass_at_8 FROM p GROUP BY arm""",
-    "holm_correction": """WITH r AS (SELECT o_orderpriority AS family, o_orderkey, round((o_orderkey % 997 + 1) / 4000.0::DOUBLE, 9) AS p FROM orders WHERE o_orderkey % 40 = 0),
+    "holm_correction": """WITH r AS (SELECT o_orderpriority AS family, o_orderkey, round((o_orderkey % 997 + 1) / 4000.0::DOUBLE, 9) AS p FROM orders),
       s AS (SELECT *, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, o_orderkey) + 1) AS s FROM r)
       SELECT family, o_orderkey, p, round(least(1.0, max(s) OVER (PARTITION BY family ORDER BY p, o_orderkey ROWS UNBOUNDED PRECEDING)), 9) AS p_holm FROM s""",
     "excess_and_need": f"""WITH {_SCO}, s AS (SELECT repo, {", ".join(f"round(cast(sum(cast(score AS DECIMAL(28,9))) FILTER (WHERE budget = {b}) AS DOUBLE) / count(*) FILTER (WHERE budget = {b}), 9) AS s{b}" for b in (2048, 8192, 32768))} FROM sc GROUP BY repo),

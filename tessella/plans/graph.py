@@ -36,7 +36,7 @@ def import_in_degree(spark, d):
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """Declaration to parent."""
-    decls = Scratch(spark).cut(declarations(table(spark, d, "definition_parents")).select("decl_id", "repo", "module_name", "parent_id"), "decls")
+    decls = Scratch(spark).cut(declarations(table(spark, d, "definition_parents")).select("decl_id", "repo", "module_name", "parent_id", "decl_kind"), "decls")
     return decls
 
 
@@ -66,10 +66,10 @@ def closure_counts(spark, d):
 
 
 def parent_fold(spark, d):
-    """Declarations folded onto the nearest ancestor with an id divisible by 3, within 8 hops."""
+    """Declarations folded onto the nearest structure or inductive type on their parent chain, within 8 hops."""
     decls = _edges(spark, d)
     refs = decls.select(F.col("decl_id").alias("node"))
-    return G.fold_parents(refs, decls.select(F.col("decl_id").alias("node"), F.col("parent_id").alias("parent")), refs.where("node % 3 = 0"))
+    return G.fold_parents(refs, decls.select(F.col("decl_id").alias("node"), F.col("parent_id").alias("parent")), decls.where("decl_kind in ('structure', 'inductive')").select(F.col("decl_id").alias("node")))
 
 
 def scc_components(spark, d):
@@ -128,8 +128,9 @@ ORACLE = {
     "reverse_closure": f"WITH RECURSIVE {_BFS} SELECT dst AS src, count(*) AS dependents, max(dist) AS farthest FROM best GROUP BY dst",
     "bfs_distance": f"WITH RECURSIVE {_BFS} SELECT src, dst, dist FROM best",
     "closure_counts": f"WITH RECURSIVE {_BFS} SELECT src AS decl_id, count(*) FILTER (WHERE dist = 1) AS n_direct, count(*) AS n_transitive, count(*) FILTER (WHERE src = dst) AS n_self FROM best GROUP BY src",
-    "parent_fold": f"""WITH RECURSIVE {_DECLS}, ch AS (SELECT id AS node, id AS at_id, 0 AS used FROM links UNION ALL SELECT ch.node, l.parent, ch.used + 1 FROM ch JOIN links l ON l.id = ch.at_id
-      WHERE ch.at_id % 3 <> 0 AND l.parent IS NOT NULL AND ch.used < 8) SELECT l.id AS node, ch.at_id AS resolved, ch.used FROM links l LEFT JOIN ch ON ch.node = l.id AND ch.at_id % 3 = 0""",
+    "parent_fold": f"""WITH RECURSIVE {_DECLS}, kn AS (SELECT decl_id AS id, coalesce(decl_kind IN ('structure', 'inductive'), false) AS k FROM last), ch AS (SELECT links.id AS node, links.id AS at_id, k, 0 AS used FROM links JOIN kn ON kn.id = links.id
+      UNION ALL SELECT ch.node, l.parent, kn.k, ch.used + 1 FROM ch JOIN links l ON l.id = ch.at_id JOIN kn ON kn.id = l.parent WHERE NOT ch.k AND l.parent IS NOT NULL AND ch.used < 8)
+      SELECT l.id AS node, ch.at_id AS resolved, ch.used FROM links l LEFT JOIN ch ON ch.node = l.id AND ch.k""",
     "scc_components": f"""WITH RECURSIVE {_DECLS}, nd AS (SELECT id FROM links WHERE parent IS NOT NULL UNION SELECT parent FROM links WHERE parent IS NOT NULL)
       SELECT nd.id AS node, least(nd.id, coalesce((SELECT min(a.anc) FROM anc a JOIN anc b ON a.id = nd.id AND b.id = a.anc AND b.anc = nd.id), nd.id)) AS component FROM nd""",
     "topo_violations": f"WITH RECURSIVE {_DECLS} SELECT count(*) AS edges, cast(0 AS BIGINT) AS violations FROM links WHERE parent IS NOT NULL",

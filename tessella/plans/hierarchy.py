@@ -111,7 +111,7 @@ QUERIES = {"p4_found": p4_found, "p4_tree": p4_tree, "p4_descendants": p4_descen
 _DECLS = r"""
 last AS (SELECT * FROM (SELECT decl_id, repo, trim(module_name) AS module_name,
     nullif(trim(regexp_replace(trim(decl), '^_root_\.', '')), '') AS decl,
-    nullif(trim(regexp_replace(trim(parent_decl), '^_root_\.', '')), '') AS parent_decl,
+    nullif(trim(regexp_replace(trim(parent_decl), '^_root_\.', '')), '') AS parent_decl, decl_kind,
     row_number() OVER (PARTITION BY decl_id ORDER BY run_no DESC, extracted_at DESC) AS rn
   FROM definition_parents) WHERE rn = 1),
 links AS (SELECT a.decl_id AS id, b.decl_id AS parent FROM last a LEFT JOIN last b

@@ -128,9 +128,9 @@ def k2_local_prefix(spark, d):
 
 
 def pool_priority(spark, d):
-    """Seeded shuffle of the deduplicated pool: the first hundred."""
+    """Seeded shuffle of the deduplicated pool: the order is that of the hash."""
     pool = selection.exact_dedup(_files(spark, d).select("repo", "rel", "file_id", "text"), "text", ["repo", "rel"])
-    return pool.select("file_id", selection.priority(20260807, "sha1").alias("h")).orderBy("h", "file_id").limit(100)
+    return pool.select("file_id", selection.priority(20260807, "sha1").alias("h"))
 
 
 _NAMES = """source_pairing pin_vs_disk renamed_add_dates block_owner reference_resolution label_audit safe_snapshots keyword_union job_grid preflight_gate gate_rollup closed_replay k2_local_prefix pool_priority""".split()
@@ -163,5 +163,5 @@ ORACLE = {
     "k2_local_prefix": f"""WITH {_F}, k AS (SELECT file_id, bytes, unnest(range(0, bytes // 200 + 1)) AS k FROM f), c AS (SELECT file_id, bytes, k * 200 + 50 AS s, least(k * 200 + 150, bytes) AS e FROM k), g AS (SELECT * FROM c WHERE s < e),
       l AS (SELECT file_id, bytes, coalesce(lag(e) OVER (PARTITION BY file_id ORDER BY s), 0) AS lo, s AS hi FROM g UNION ALL SELECT file_id, max(bytes), max(e), max(bytes) FROM g GROUP BY file_id UNION ALL SELECT file_id, bytes, 0, bytes FROM f WHERE bytes <= 50)
       SELECT file_id, count(*) AS pieces, cast(sum(hi - lo) AS BIGINT) AS kept_bytes FROM l WHERE lo < hi GROUP BY file_id""",
-    "pool_priority": f"""WITH {_F}, p AS (SELECT sha1(text) AS sha, arg_min(file_id, {{'a': repo, 'b': rel, 'c': file_id}}) AS file_id FROM f GROUP BY sha1(text)) SELECT file_id, sha256('20260807:' || sha) AS h FROM p ORDER BY h, file_id LIMIT 100""",
+    "pool_priority": f"""WITH {_F}, p AS (SELECT sha1(text) AS sha, arg_min(file_id, {{'a': repo, 'b': rel, 'c': file_id}}) AS file_id FROM f GROUP BY sha1(text)) SELECT file_id, sha256('20260807:' || sha) AS h FROM p""",
 }
