@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.joins import lookup_join
 from tessella.operators.prefix import running
+from tessella.scratch import Scratch
 
 
 def priority(seed, *fields) -> F.Column:
@@ -27,36 +25,44 @@ def greedy_fill(files: DataFrame, stream: str, key: str, size: str, order: str,
     """Files in hash order, each taken if it still fits; others are passed over, not stopped at.
 
     ``cap`` names a column with the budget of the stream. Rows whose ``base``
-    column is true are taken first, whatever their size. The decision on a
-    file depends on all decisions before it, so each stream is folded by one
-    task; rows pass through it in sorted order and only the running sum is
-    held. Adds ``taken`` and ``used`` (the sum after the row). Rows without
-    size, stream or cap are left out.
+    column is true are taken first, whatever their size. One row per taken
+    file: ``stream, key, size`` and ``used``, the sum after it. Rows without
+    size, stream or cap are left out; sizes must not be negative.
+
+    In rounds instead of row by row: what fits in one go is a prefix by the
+    running sum. The file behind it doesn't fit, so what room is left is
+    smaller than that file, and only later files that are no larger than the
+    room can still be taken. The room shrinks about by half each round, and no
+    task ever holds a whole stream.
     """
+    scratch = Scratch(files.sparkSession)
     first = F.coalesce(F.col(base), F.lit(False)) if base else F.lit(False)
     rows = files.where(F.col(size).isNotNull() & F.col(stream).isNotNull() & F.col(cap).isNotNull()).select(
         F.col(stream).alias("stream"), F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"), F.col(cap).cast("bigint").alias("cap"), first.alias("base"), F.col(order).alias("rank")
     )
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("stream", "key")}
-    sorted_rows = rows.repartition("stream").sortWithinPartitions("stream", F.desc("base"), "rank", "key")
-    out = sorted_rows.mapInArrow(_fold, f"stream {kinds['stream']}, key {kinds['key']}, size bigint, taken boolean, used bigint")
+    rows = scratch.cut(rows, "files")
+    rooms = rows.groupBy("stream").agg(F.coalesce(F.sum(F.when(F.col("base"), F.col("size"))), F.lit(0)).alias("spent"), F.max("cap").alias("cap"))
+    rooms = scratch.cut(rooms.select("stream", "spent", (F.col("cap") - F.col("spent")).alias("room")), "rooms")
+    taken = [running(rows.where("base"), ["stream"], ["rank", "key"], {"used": F.col("size")}).select("stream", "key", "size", "used")]
+    left = lookup_join(rows.where("not base").drop("cap", "base"), rooms, ["stream"], "inner").where("size <= room")
+    while True:
+        summed = scratch.cut(running(left, ["stream"], ["rank", "key"], {"upto": F.col("size")}), "fill")
+        fits = F.col("upto") <= F.col("room")
+        taken.append(summed.where(fits).select("stream", "key", "size", (F.col("spent") + F.col("upto")).alias("used")))
+        # the first file that doesn't fit, and what was taken before it
+        edge = F.min(F.when(~fits, F.struct("rank", "key")))
+        ends = summed.groupBy("stream").agg(edge.alias("edge"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("got")).where("edge is not null")
+        rest = lookup_join(summed.where(~fits), scratch.cut(ends, "ends"), ["stream"], "inner").where(F.struct("rank", "key") > F.col("edge"))
+        rest = rest.withColumns({"spent": F.col("spent") + F.col("got"), "room": F.col("room") - F.col("got")}).where("size <= room")
+        left = scratch.cut(rest.select("stream", "key", "size", "rank", "spent", "room"), "left")
+        if not left.limit(1).count():
+            break
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
     return out.withColumnsRenamed({"stream": stream, "key": key, "size": size})
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    current, used = object(), 0
-    for batch in batches:
-        taken, sums = [], []
-        for stream, size, cap, base in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
-            if stream != current:
-                current, used = stream, 0
-            take = base or used + size <= cap
-            used += size if take else 0
-            taken.append(take)
-            sums.append(used)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(taken, pa.bool_()), pa.array(sums, pa.int64())], names=["stream", "key", "size", "taken", "used"])
-
-
 def exact_dedup(files: DataFrame, text: str, order: list) -> DataFrame:
     """One file per content, the first in the given order; null contents are left out."""
     names = files.columns

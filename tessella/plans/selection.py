@@ -39,18 +39,18 @@ def doc_priority_order(spark, d):
 
 
 def _fill(spark, d, cap=CAP, base=None):
-    f = _files(spark, d).withColumn("cap", F.lit(cap))
+    f = _files(spark, d).select("file_id", "repo", "bytes", "prio").withColumn("cap", F.lit(cap))
     return S.greedy_fill(f if base is None else f.join(base, "file_id", "left"), "repo", "file_id", "bytes", "prio", "cap", None if base is None else "base")
 
 
 def greedy_budget_fill(spark, d):
-    return _fill(spark, d).where("taken").select("repo", "file_id", "bytes", "used")
+    return _fill(spark, d).select("repo", "file_id", "bytes", "used")
 
 
 def xl_nested_fill(spark, d):
     """A small stream first, then the larger one that holds all of it."""
-    base = _fill(spark, d, BASE_CAP).where("taken").select("file_id", F.lit(True).alias("base"))
-    return _fill(spark, d, CAP, base).where("taken").select("repo", "file_id", "bytes", "used")
+    base = _fill(spark, d, BASE_CAP).select("file_id", F.lit(True).alias("base"))
+    return _fill(spark, d, CAP, base).select("repo", "file_id", "bytes", "used")
 
 
 def stream_manifest_offsets(spark, d):
@@ -93,7 +93,7 @@ def clean_leakage(spark, d):
 
 def byte_match_tolerance(spark, d):
     """Per language: how far the chosen streams lie from the target and from each other."""
-    got = _fill(spark, d).where("taken").groupBy("repo").agg(F.max("used").alias("got"))
+    got = _fill(spark, d).groupBy("repo").agg(F.max("used").alias("got"))
     a = got.agg(F.count(F.lit(1)).alias("cells"), F.round(F.max(F.abs(F.col("got") - CAP)) / CAP, 6).alias("worst"), F.round((F.max("got") - F.min("got")) / CAP, 6).alias("spread"))
     return a.withColumn("passed", (F.col("cells") >= 2) & (F.col("worst") <= 0.1) & (F.col("spread") <= 0.1))
 

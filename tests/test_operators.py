@@ -32,14 +32,33 @@ def test_running_sums_cross_tasks(spark):
     assert prefix.running(df.limit(0), ["g"], ["o"], {"s": F.col("v")}).count() == 0
 
 
+def fold(rows, cap):
+    out, used = set(), 0
+    for i, size, _, base in sorted(rows, key=lambda r: (not r[3], r[2], r[0])):
+        if base or used + size <= cap:
+            used += size
+            out.add((i, used))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_greedy_fill_is_the_fold_over_rows(spark, seed):
+    rnd = random.Random(seed)
+    caps = {"a": 1000, "b": 37, "c": 0, "d": 10**6}
+    rows = {s: [(i, rnd.choice([0, 1, 7, 30, 400, 900, rnd.randrange(500)]), f"{rnd.randrange(30):02d}", rnd.random() < 0.1 * (seed - 1)) for i in range(60)] for s in caps}
+    flat = [(s, *r, caps[s]) for s, rs in rows.items() for r in rs] + [("a", 900, None, "00", None, 5), (None, 901, 1, "00", None, 5), ("e", 902, 1, "00", None, None)]
+    df = spark.createDataFrame(flat, "s string, i int, n int, h string, b boolean, c int")
+    got = {}
+    for r in selection.greedy_fill(df, "s", "i", "n", "h", "c", "b").collect():
+        got.setdefault(r["s"], set()).add((r["i"], r["used"]))
+    assert got == {s: f for s, rs in rows.items() if (f := fold(rs, caps[s]))}
+
+
 def test_greedy_fill_passes_over_what_does_not_fit(spark):
-    rows = [("s", i, b, f"{i:02d}", 1000) for i, b in enumerate([300, 800, 300, 300, 200])] + [("t", 9, 5, "0", 3), ("t", 10, None, "1", 3)]
+    rows = [("s", i, b, f"{i:02d}", 1000) for i, b in enumerate([300, 800, 300, 300, 200])]
     f = spark.createDataFrame(rows, "stream string, id bigint, bytes bigint, h string, cap bigint")
-    got = {r["id"] for r in selection.greedy_fill(f, "stream", "id", "bytes", "h", "cap").where("taken").collect()}
-    assert got == {0, 2, 3}
-    base = f.withColumn("b", F.col("id") == 1)
-    got = {r["id"] for r in selection.greedy_fill(base, "stream", "id", "bytes", "h", "cap", "b").where("taken").collect()}
-    assert got == {1, 4}
+    assert {r["id"] for r in selection.greedy_fill(f, "stream", "id", "bytes", "h", "cap").collect()} == {0, 2, 3}
+    assert selection.greedy_fill(f.limit(0), "stream", "id", "bytes", "h", "cap").count() == 0
 
 
 def test_hamilton_gives_all_seats_and_breaks_ties_by_label(spark):
