@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import lean_source, lexers, scalars
+from tessella.functions import generated, lean_source, lexers, scalars
 from tessella.operators import assembly as A
 from tessella.scratch import Scratch
 from tessella.sources.tables import table
@@ -107,6 +107,11 @@ def lean_declarations(spark, d):
     return lean_source.declaration_table(f, "file_id", "text", "lang").where("kind is not null").drop("error")
 
 
+def generated_bodies(spark, d):
+    """First complete suites of Python units, their text behind the header taken as generated."""
+    return generated.suite_table(_units(spark, d).where("lang = 'python'"), "unit_id", "payload")
+
+
 def assembled_cells(spark, d):
     """Contexts of the assembled orders: the units with the ids of the list, whole (k4) or as their first lines (k3), cut to the budget.
 
@@ -148,7 +153,7 @@ def masked_families(spark, d):
     return o.select("repo", "arm", scalars.masked_id("fam", b"salt", "mask", "repo", "arm").alias("family"))
 
 
-_NAMES = """payload_normalization rendered_chunks identity_keys random_arm ranked_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets lean_declarations assembled_cells iso_stamps
+_NAMES = """payload_normalization rendered_chunks identity_keys random_arm ranked_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets lean_declarations generated_bodies assembled_cells iso_stamps
 path_guards masked_families""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

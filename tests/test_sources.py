@@ -6,7 +6,7 @@ import tokenize
 
 import pytest
 
-from tessella.functions import lean_source, lexers, scalars
+from tessella.functions import generated, lean_source, lexers, scalars
 from tessella.sources import files
 from tessella.streaming.ingest import ingest
 
@@ -173,3 +173,33 @@ def test_archives(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in files.source_archives(spark, str(tmp_path)).collect()}
     assert got["tar"] == ("\u00e9\ntwo", None) and got["pdf"] == (None, "pdf") and got["plain"] == ("one", None) and got["broken"][0] is None and "empty" not in got
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("\n    return 1\n\nprint(2)\n", (None, "block", "\n    return 1\n\n")),
+        (" return 1\nx = 2\n", (None, "line", " return 1\n")),
+        ("\n  if a:\n    b()\n  c()\nd()", (None, "block", "\n  if a:\n    b()\n  c()\n")),
+        ("", ("empty", None, None)),
+        ("\nreturn 1\n", ("block-not-indented", None, None)),
+        (" return 1", ("line-not-ended", None, None)),
+        ("\n    x = (1\n", ("does-not-tokenize", None, None)),
+        ("\n    x = = 1\ny\n", ("does-not-parse", None, None)),
+        ("\r\n  pass\n", ("carriage-return", None, None)),
+        ("# only a comment\n", ("block-not-indented", None, None)),
+    ],
+)
+def test_first_suite(text, want):
+    r = generated.first_suite("def f(a):", text, name="f")
+    assert (r["reason"], r["form"], r["body"]) == want
+    with pytest.raises(ValueError):
+        generated.first_suite("class f:", text, name="f")
+
+
+def test_type_trees():
+    ok = ["forall", ["sort", ["succ", ["zero"]]], ["app", ["const", ["str", ["anonymous"], "f"], [["zero"], ["max", ["zero"], ["zero"]]]], ["bvar", 0]], "default"]
+    assert generated.tree_nodes(json.dumps(ok)) == 14
+    for bad in (["bvar", -1], ["bvar", True], ["app", ["bvar", 0]], ["lam", ["bvar", 0], ["bvar", 0], "odd"], {"a": 1}, ["const", ["anonymous"], ["zero"]], []):
+        assert generated.tree_nodes(json.dumps(bad)) is None
+    assert generated.tree_nodes(json.dumps(ok), 5) is None and generated.tree_nodes("no") is None
