@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +92,7 @@ class Encoder:
         out = [self.split(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = list({w for ws in out for w in ws if w not in self.known})
+        new = list(set().union(*out).difference(self.known))
         raw = [w.encode() for w in new]
         ranks = self.lexicon.look_up(raw).tolist() if self.lexicon else [-1] * len(raw)
         for word, data, rank in zip(new, raw, ranks):
@@ -177,17 +179,17 @@ def _send(spark: SparkSession, path: str) -> None:
         spark.sparkContext.addFile(path)
 
 
-def _id_batches(ranks_file: str, lexicon_file: str, key_type: pa.DataType) -> Callable:
+def _id_batches(ranks_file: str, lexicon_file: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(ranks_file, lexicon_file)
         for batch in batches:
             for start, texts in _chunks(batch.column(1)):
-                flat, sizes = [], []
+                values, sizes = array("i"), []
                 for words in coder.words(texts):
-                    ids = [i for w in words for i in coder.known[w]]
-                    sizes.append(len(ids))
-                    flat.append(np.array(ids, np.int32))
-                values = np.concatenate(flat) if flat else np.empty(0, np.int32)
+                    before = len(values)
+                    values.extend(chain.from_iterable(map(coder.known.__getitem__, words)))
+                    sizes.append(len(values) - before)
+                values = np.frombuffer(values, np.int32) if values else np.empty(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), lists], names=["key", "ids"])
@@ -204,7 +206,7 @@ def encode(documents: DataFrame, key_col: str, text_col: str = "text", ranks_pat
     """
     names = build_lexicon(documents, text_col, ranks_path)
     kind = documents.schema[key_col].dataType.simpleString()
-    out = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_id_batches(*names, None), f"key {kind}, ids array<int>")
+    out = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(_id_batches(*names), f"key {kind}, ids array<int>")
     return out.select(F.col("key").alias(key_col), "ids")
 
 
@@ -213,7 +215,7 @@ def _counts(ranks_file: str, lexicon_file: str) -> Callable:
         coder = _encoder(ranks_file, lexicon_file)
         for batch in batches:
             for start, texts in _chunks(batch.column(0)):
-                sizes = [sum(len(coder.known[w]) for w in words) for words in coder.words(texts)]
+                sizes = [sum(map(len, map(coder.known.__getitem__, words))) for words in coder.words(texts)]
                 rest = [batch.column(i).slice(start, len(texts)) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), *rest], names=["n_tokens", *batch.schema.names[1:]])
 
