@@ -83,7 +83,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tally.update(hashes.tolist())
             total += 1
             rows.append((0, key, _set_key(hashes, text), len(hashes)))
-        if len(tally) > 2_000_000:
+        if len(tally) > 500_000:
             tally = Counter({w: n for w, n in tally.items() if n > 1 and n >= FREQUENT * total / 2})
         yield _survey_rows(rows)
     least = max(3, FREQUENT * total)
