@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.curves import exact_sum
+from tessella.scratch import Scratch
 
 # T quantiles at 0.975 for 1 to 19 degrees of freedom.
 T_0975 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830, 2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040, 2.093024054)
@@ -75,9 +76,14 @@ def half_width(between: Column, within: Column, m2: Column, n: Column, df: Colum
 
 
 def pearson_or_zero(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    """Correlation within -1..1; 0 if either side doesn't vary; from moments, so a constant never fails."""
-    d = lambda c: c.cast("decimal(30,12)")
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    """Correlation within -1..1; 0 if either side doesn't vary; from moments, so a constant never fails.
+
+    Moments are exact: whole numbers for integral columns, decimals otherwise.
+    """
+    whole = all(rows.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for c in (x, y))
+    kind = "bigint" if whole else "double"
+    d = (lambda c: c) if whole else (lambda c: c.cast("decimal(30,12)"))
+    a, b = F.col(x).cast(kind), F.col(y).cast(kind)
     s = rows.where(a.isNotNull() & b.isNotNull()).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(d(v)).cast("double").alias(k) for k, v in (("a", a), ("b", b), ("aa", a * a), ("bb", b * b), ("ab", a * b))]
     )
@@ -95,16 +101,23 @@ def split_half(draws: DataFrame, group: list[str], target: str, draw: str, passe
     """Per group the median, least and largest corrected half-split reliability over seeded resplits.
 
     Of each target the n draws of lowest seeded hash are taken, the first half
-    against the second.
+    against the second. A target has a few dozen draws by protocol; they stay
+    in one row, so resplits multiply targets, not draws, and nothing but the
+    rates is shuffled.
     """
-    rows = draws.withColumn("resplit", F.explode(F.sequence(F.lit(0), F.lit(resplits - 1))))
-    rank_hash = F.sha2(F.concat_ws(":", F.lit(seed), *group, F.lit(str(n)), "resplit", target, draw), 256)
-    place = F.row_number().over(Window.partitionBy(*group, "resplit", target).orderBy("h", draw))
-    taken = rows.withColumn("h", rank_hash).withColumn("place", place).where(F.col("place") <= n)
-    hit = F.col(passed).cast("int")
-    rate = taken.groupBy(*group, "resplit", target).agg(
-        (F.sum(F.when(F.col("place") <= n // 2, hit)) / (n // 2)).alias("left"), (F.sum(F.when(F.col("place") > n // 2, hit)) / (n // 2)).alias("right")
-    )
+    parts = int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = draws.groupBy(*group, target).agg(F.collect_list(F.struct(F.col(draw).alias("d"), F.col(passed).cast("int").alias("p"))).alias("draws")).repartition(parts, *group, target)
+    # what is hashed before the draw is made once per resplit
+    salts = F.transform(F.sequence(F.lit(0), F.lit(resplits - 1)), lambda k: F.struct(k.alias("k"), F.concat_ws(":", F.lit(seed), *group, F.lit(str(n)), k.cast("string"), F.col(target).cast("string"), F.lit("")).alias("head")))
+    rows = own.withColumn("__s", F.explode(salts)).withColumn("resplit", F.col("__s.k"))
+    ranked = F.sort_array(F.transform("draws", lambda x: F.struct(F.sha2(F.concat(F.col("__s.head"), x["d"].cast("string")), 256).alias("h"), x["d"].alias("d"), x["p"].alias("p"))))
+    half = n // 2
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("l"), F.lit(0).alias("r"))
+    step = lambda acc, x: F.struct((acc["i"] + 1).alias("i"), (acc["l"] + F.when(acc["i"] < half, x["p"]).otherwise(0)).alias("l"), (acc["r"] + F.when(acc["i"] >= half, x["p"]).otherwise(0)).alias("r"))
+    sums = F.aggregate(F.slice(ranked, 1, n), start, step)  # one pass, so that the ranks are made once
+    # passes instead of rates: the correlation is the same
+    rate = rows.select(*group, "resplit", target, sums.alias("s")).select(*group, "resplit", target, F.col("s.l").alias("left"), F.col("s.r").alias("right"))
+    rate = Scratch(draws.sparkSession).cut(rate, "halves")  # else each moment ranks the draws again
     rel = pearson_or_zero(rate, [*group, "resplit"], "left", "right").withColumn("c", F.round(spearman_brown(F.col("r")), 9))
     return rel.groupBy(*group).agg(F.max("n").alias("n_targets"), F.median("c").alias("median"), F.min("c").alias("least"), F.max("c").alias("largest"))
 

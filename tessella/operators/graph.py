@@ -51,14 +51,28 @@ def prefix_resolve(imports: DataFrame, modules: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
     """Pairs (src, dst, dist) with dst reachable from src in one step or more; the shortest distance.
 
-    From ``roots`` (column src) or from every node. Breadth first; each round
-    joins only the pairs found in the last one. On a cycle a node reaches
+    From every node, or from ``roots`` (column src). On a cycle a node reaches
     itself. The pairs are the result, so its size is theirs.
+
+    From every node the reach doubles each round: a shortest way of 2**k + 1
+    to 2**(k+1) steps is one of exactly 2**k steps and one of at most as many.
+    From roots it is breadth first, joining only what the last round found,
+    since the pairs of other nodes are not wanted.
     """
     scratch = Scratch(edges.sparkSession)
-    e = scratch.cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "edges")
-    new = e if roots is None else e.join(roots.select("src").distinct(), "src", "left_semi")
-    found = scratch.cut(new.withColumn("dist", F.lit(1)), "reach")
+    e = scratch.cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct().withColumn("dist", F.lit(1)), "edges")
+    if roots is None:
+        known, reach = e, 1
+        while True:
+            a, b = known.where(F.col("dist") == reach).alias("a"), known.alias("b")
+            step = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("b.dist") + reach).alias("dist"))
+            new = scratch.cut(step.groupBy("src", "dst").agg(F.min("dist").alias("dist")).join(known, ["src", "dst"], "left_anti"), "reach")
+            if not new.limit(1).count():
+                return known
+            known = scratch.cut(known.unionByName(new), "known")
+            reach *= 2
+    e = e.select("src", "dst")
+    found = scratch.cut(e.join(roots.select("src").distinct(), "src", "left_semi").withColumn("dist", F.lit(1)), "reach")
     frontier, parts, k = found, [found], 1
     while k < max_rounds:
         k += 1
@@ -71,8 +85,7 @@ def reachable(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int
             break
         parts.append(frontier)
         if len(parts) > 8:  # keep the union short
-            whole = scratch.cut(known.unionByName(frontier), "reach")
-            parts = [whole]
+            parts = [scratch.cut(known.unionByName(frontier), "reach")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
