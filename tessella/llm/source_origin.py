@@ -56,6 +56,8 @@ LEAST_SPREAD = 0.15
 LEAST_FILES = 30
 #: No threshold is drawn tighter than this.
 LOOSEST = {"mean_line": 110.0, "max_line": 250.0, "numeric": 0.07, "encoded": 0.30, "space": 0.06, "alnum": 0.90}
+#: No upper limit is drawn wider than this, and files beyond it don't count for the quartiles.
+WIDEST = {"mean_line": 300.0, "max_line": 600.0, "numeric": 0.10}
 
 STATS = ("n_chars", "max_line", "mean_line", "space", "alnum", "numeric", "encoded")
 _UPPER = ("mean_line", "max_line", "numeric")
@@ -98,18 +100,23 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tuned(measured: DataFrame) -> DataFrame:
-    """Thresholds of each language from the quartiles of its files; one row each, plus one for all ('*').
+    """Thresholds of each language from the quartiles of its distinct texts; one row each, plus one for all ('*').
 
     Upper limits for line lengths and numeric density, a lower one for white
-    space; the limits of encoded runs and alphanumerics are fixed.
+    space; the limits of encoded runs and alphanumerics are fixed. Bad files
+    lie high, so the reach of the upper limits is the distance from the lower
+    quartile to the median, of the files within WIDEST.
     """
     names = [*_UPPER, "space"]
-    quart = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in names]
-    both = measured.where("n_chars > 0").select("lang", *names).withColumn("lang", F.explode(F.array("lang", F.lit("*"))))
+    lines = (F.col("mean_line") <= WIDEST["mean_line"]) | (F.col("max_line") <= WIDEST["max_line"])
+    within = {"mean_line": lines, "max_line": lines, "numeric": F.col("numeric") <= WIDEST["numeric"], "space": F.lit(True)}
+    quart = [F.percentile_approx(F.when(within[c], F.col(c)), [0.25, 0.5], 1000).alias(c) for c in names]
+    once = measured.where("n_chars > 0").select("lang", "text_key", *names).dropDuplicates(["lang", "text_key"])
+    both = once.withColumn("lang", F.explode(F.array("lang", F.lit("*"))))
     q = both.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), *quart)
-    far = lambda c, a, b: F.greatest(F.col(c)[b] - F.col(c)[a], F.col(c)[1] * LEAST_SPREAD) * REACH
-    upper = [F.greatest(F.col(c)[1] + far(c, 1, 2), F.lit(LOOSEST[c])).alias(f"t_{c}") for c in _UPPER]
-    lower = F.least(F.greatest(F.col("space")[1] - far("space", 0, 1), F.lit(0.045)), F.lit(LOOSEST["space"])).alias("t_space")
+    far = lambda c: F.greatest(F.col(c)[1] - F.col(c)[0], F.col(c)[1] * LEAST_SPREAD) * REACH
+    upper = [F.least(F.greatest(F.col(c)[1] + far(c), F.lit(LOOSEST[c])), F.lit(WIDEST[c])).alias(f"t_{c}") for c in _UPPER]
+    lower = F.least(F.greatest(F.col("space")[1] - far("space"), F.lit(0.045)), F.lit(LOOSEST["space"])).alias("t_space")
     return q.select("lang", "files", *upper, lower)
 
 
@@ -132,10 +139,10 @@ def origins(files: DataFrame, commits: DataFrame) -> DataFrame:
     folders = F.slice(segments, F.lit(1), F.greatest(F.size(segments) - 1, F.lit(0)))
     vendor_path = F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_PATH_SEGMENTS)))
     kind = files.schema["file_id"].dataType.simpleString()
-    rows = files.where("file_id is not null").select("file_id", "text", lang.alias("lang"), "first_commit", F.coalesce(vendor_path, F.lit(False)).alias("vendor_path"))
+    rows = files.where("file_id is not null").select("file_id", "text", lang.alias("lang"), "first_commit", F.coalesce(vendor_path, F.lit(False)).alias("vendor_path"), F.xxhash64("text").alias("text_key"))
     fields = ", ".join(f"{c} double" for c in STATS)
     measured = scratch.cut(
-        rows.mapInArrow(_measure, f"file_id {kind}, lang string, first_commit string, vendor_path boolean, {fields}, says_generated boolean, says_copied boolean"), "layout"
+        rows.mapInArrow(_measure, f"file_id {kind}, lang string, first_commit string, vendor_path boolean, text_key bigint, {fields}, says_generated boolean, says_copied boolean"), "layout"
     )
     limits = scratch.cut(tuned(measured), "limits")
     own = limits.where(F.col("files") >= LEAST_FILES).drop("files")

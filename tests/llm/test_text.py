@@ -132,6 +132,21 @@ def test_hand_written_files_remain(spark):
     assert origins(files.limit(0), told.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.4, 0.7])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_many_bad_files_do_not_move_the_limits(spark, share, repeated):
+    good, n = 60, round(60 * share / (1 - share))
+    body = "".join(f"var a{i}=b.c(d,{i});function e{i}(f){{return f?g(f):h}};" for i in range(60))
+    data = "X = [\n" + "".join(f"  {i}.{i}3, -{i}.5, {i * 7}.25,\n" for i in range(80)) + "]\n"
+    rows = [(k, f"src/a{k}.{lang}", HAND * (3 + k % 4) + f"# {lang} {k}\n", None) for k, lang in enumerate(["js", "py"] * good)]
+    rows += [(10_000 + k, f"src/m{k}.js", body * (1 if repeated else 1 + k % 3) + ("" if repeated else f"var z={k};"), None) for k in range(n)]
+    rows += [(20_000 + k, f"src/d{k}.py", data + ("" if repeated else f"Y = {k}\n"), None) for k in range(n)]
+    files = spark.createDataFrame(rows, "file_id bigint, rel string, text string, first_commit string")
+    told = spark.createDataFrame([], "commit_sha string, subject string, n_files_added int")
+    got = {r["file_id"] for r in origins(files, told).where("minified or data").collect()}
+    assert got == {r[0] for r in rows if r[0] >= 10_000}
+
+
 def test_layout_of_odd_texts():
     assert layout("") == (0, 0, 0, 0, 0, 0, 0) and layout(" \r\n ")[1] == 0
     assert layout("ab\r\ncd\rxyz\n")[1:3] == (3, 7 / 3)
