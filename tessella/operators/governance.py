@@ -12,6 +12,7 @@ from tessella.scratch import Scratch
 
 # T quantiles at 0.975 for 1 to 19 degrees of freedom.
 T_0975 = (12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.200985160, 2.178812830, 2.160368656, 2.144786688, 2.131449546, 2.119905299, 2.109815578, 2.100922040, 2.093024054)
+Z_0975 = 1.959963984540054
 N_MIN, N_MAX, HALF_WIDTH = 200, 400, 0.02
 
 
@@ -66,11 +67,26 @@ def variance_components(deltas: DataFrame, family: list[str], module: str, value
 
 
 def t_quantile(df: Column) -> Column:
-    """t at 0.975; null outside of the table."""
+    """t at 0.975 for a pilot of at most 20 targets; null outside of the table."""
     inside = df.between(1, len(T_0975))
     return F.when(inside, F.try_element_at(F.array(*map(F.lit, T_0975)), F.when(inside, df).otherwise(F.lit(1)).cast("int")))
 
 
+def t_quantile_any(df: Column) -> Column:
+    """t at 0.975 for any whole df from 1: the table, beyond it the expansion in 1 / df about the normal quantile (within 1e-6 there); null below 1."""
+    z = Z_0975
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    beyond = F.lit(z)
+    for i, c in enumerate(terms, 1):
+        beyond = beyond + F.try_divide(F.lit(c), F.pow(df.cast("double"), F.lit(float(i))))
+    return F.when(df > len(T_0975), beyond).otherwise(t_quantile(df))
+
+
 def half_width(between: Column, within: Column, m2: Column, n: Column, df: Column) -> Column:
     return t_quantile(df) * F.sqrt(between * m2 / (n * n) + within / n)
 
@@ -156,14 +172,14 @@ def isotonic3(a: Column, b: Column, c: Column) -> list[Column]:
 
 
 def upper_bound(deltas: DataFrame, family: list[str], value: str) -> DataFrame:
-    """Mean, standard error and the upper end of mean + t(0.975, n - 1) * error; null beyond the table of t."""
+    """Mean, standard error and the upper end of mean + t(0.975, n - 1) * error; null below two values."""
     x = F.col(value)
     d = lambda c: F.sum(c.cast("decimal(28,12)")).cast("double")
     s = deltas.where(x.isNotNull()).groupBy(*family).agg(F.count(F.lit(1)).alias("n"), d(x).alias("__x"), d(x * x).alias("__xx"))
     n = F.col("n")
     var = F.try_divide(F.greatest(F.col("__xx") - F.col("__x") * F.col("__x") / n, F.lit(0.0)), n - 1)
     out = s.withColumns({"mean": F.col("__x") / n, "error": F.sqrt(var / n)})
-    return out.withColumn("upper", F.col("mean") + t_quantile(n - 1) * F.col("error")).drop("__x", "__xx")
+    return out.withColumn("upper", F.col("mean") + t_quantile_any(n - 1) * F.col("error")).drop("__x", "__xx")
 
 
 def signed_rank(deltas: DataFrame, family: list[str], value: str) -> DataFrame:

@@ -226,6 +226,17 @@ def test_variance_components_by_hand(spark):
     assert r["o"]["mode"] == "insufficient-clusters" and r["o"]["sigma_b2"] is None
 
 
+def test_upper_bound_has_no_largest_sample(spark):
+    known = {20: 2.085963447, 21: 2.079613845, 30: 2.042272456, 60: 2.000297822, 120: 1.979930405}
+    df = spark.createDataFrame([(n,) for n in (0, 1, 19, *known, 10**7)], "df bigint").select("df", governance.t_quantile_any(F.col("df")).alias("t"), governance.t_quantile(F.col("df")).alias("pilot"))
+    got = {r["df"]: (r["t"], r["pilot"]) for r in df.collect()}
+    assert got[0] == (None, None) and got[1] == (12.706204736,) * 2 and got[19] == (2.093024054,) * 2
+    assert all(abs(got[n][0] - t) < 1e-6 and got[n][1] is None for n, t in known.items()) and abs(got[10**7][0] - 1.959964) < 1e-6
+    rows = spark.createDataFrame([("a", float(i % 2)) for i in range(122)] + [("b", 1.0)], "f string, x double")
+    r = {x["f"]: x for x in governance.upper_bound(rows, ["f"], "x").collect()}
+    assert abs(r["a"]["upper"] - (0.5 + 1.979763763 * (0.25 / 121) ** 0.5)) < 1e-6 and r["b"]["upper"] is None
+
+
 def test_correlation_of_a_constant_is_zero(spark):
     d = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", None, 4.0)], "g string, x double, y double")
     r = {x["g"]: (x["n"], x["r"]) for x in governance.pearson_or_zero(d, ["g"], "x", "y").collect()}
