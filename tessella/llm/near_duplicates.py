@@ -38,8 +38,6 @@ WORD = re.compile(r"[A-Za-z0-9_]+")
 FREQUENT = 0.004
 #: Segments per class, as a share of its largest size.
 CUT = 0.40
-#: A class of equal sets with more members is listed as pairs with its first member only.
-EXPAND_MOST = 1_000
 #: Candidate ids are sent to all tasks up to this number, beyond it they are joined.
 SEND_IDS = 500_000
 #: Copies of one set that make it worth to keep one record of each first.

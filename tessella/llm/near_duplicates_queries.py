@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.near_duplicates import EXPAND_MOST, near_duplicates
+from tessella.llm.near_duplicates import near_duplicates
 from tessella.sources.tables import table
 
+#: Members of a class that meet in one key; a larger class is paired block by block.
+BLOCK = 500
+
 
 def _alike(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(table(spark, d, "units"), "unit_id", "payload")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of units that are alike.
+def _within(members: DataFrame) -> DataFrame:
+    """All pairs x < y of members of one class; pairs of blocks spread a large class over tasks."""
+    sized = members.join(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class_id")
+    blocks = sized.withColumn("k", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
+    left = blocks.select("class_id", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("k") - 1)).alias("j"), F.col("id").alias("x"))
+    right = blocks.select("class_id", F.explode(F.sequence(F.lit(0).cast("bigint"), "own")).alias("i"), F.col("own").alias("j"), F.col("id").alias("y"))
+    return left.join(right, ["class_id", "i", "j"]).where("i < j or x < y").select("x", "y")
 
-    Units of one class (equal word sets) are listed as all pairs, of a class
-    with more than EXPAND_MOST members as pairs with its first member;
-    p2_classes has the membership.
-    """
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of units that are alike; those of one class (equal word sets) too, all of them whatever its size."""
     members, links = _alike(spark, d)
     a = members.select(F.col("class_id").alias("class_a"), F.col("id").alias("x"))
     b = members.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    across = links.join(a, "class_a").join(b, "class_b").select("x", "y")
-    sized = members.join(members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "class_id")
-    left = sized.where((F.col("n") <= EXPAND_MOST) | (F.col("id") == F.col("class_id"))).select("class_id", F.col("id").alias("x"))
-    within = left.join(sized.select("class_id", F.col("id").alias("y")), "class_id").where("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("unit_id_a"), F.greatest("x", "y").alias("unit_id_b")).distinct()
+    across = links.join(a, "class_a").join(b, "class_b").where("x <> y").select("x", "y")
+    pairs = across.unionByName(_within(members)).select(F.least("x", "y").alias("unit_id_a"), F.greatest("x", "y").alias("unit_id_b"))
+    # a pair comes twice only if a unit has texts of several classes
+    several = members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return pairs.distinct() if several else pairs
 
 
 def p2_classes(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tessella.llm import near_duplicates as nd
+from tessella.llm.near_duplicates_queries import p2_found
 
 
 def words(text):
@@ -60,6 +61,14 @@ def test_copies_beyond_the_limit_meet_once(spark, monkeypatch):
     assert members.where("class_id = 0").count() == 40
 
 
+def test_pairs_of_a_large_class_are_all_listed(spark, tmp_path):
+    n = 1_150
+    rows = [(i, "a b c d e f g h i j" if i % 2 else f"j i h g{' ' * (i % 5 + 1)}f e d c b a") for i in range(n)] + [(n, "a b c d e f g h i k"), (n + 1, "x y z"), (n, "a b c d e f g h i k")]
+    spark.createDataFrame(rows, "unit_id bigint, payload string").write.parquet(str(tmp_path / "units.parquet"))
+    got = [tuple(r) for r in p2_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for b in range(n + 1) for a in range(b)}
+
+
 def test_nulls_repeats_long_texts_and_other_columns(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None, "x"), (None, "a b c", "x"), (2, "", "x"), (3, "", "x"), (4, "!!", "x"), (5, "a b c", "x"), (5, "a b c", "x"), (6, long, "x"), (7, long + " more", "x")]
