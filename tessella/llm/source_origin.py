@@ -41,8 +41,11 @@ COPIED = re.compile(
     re.I,
 )
 COMMENT = re.compile(r"\s*(?:#|//|--|/\*|\*|/-|<!--|;|%|\"\"\"|''')")
-#: Lines at the top of a file that may hold such a statement.
+#: Lines at the top of a file whose comments may hold such a statement, even if code stands between them.
 HEAD_LINES = 15
+# Beginnings of comments over several lines, with their ends.
+BLOCK = re.compile(r"\s*(/\*|/-|<!--|\"\"\"|''')")
+BLOCK_END = {"/*": "*/", "/-": "-/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 
 NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?!\w)|(?<=\")\d[\d,.;]{5,}|(?<![A-Za-z\d])\d[\d,.]{5,}")
 ENCODED = re.compile(r"[A-Za-z0-9+/]{48,}={0,2}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:0x[0-9a-fA-F]{2},?\s?){16,}|[0-9a-fA-F]{64,}")
@@ -81,9 +84,33 @@ def layout(text: str) -> tuple[float, ...]:
     )
 
 
+def _head(text: str) -> Iterator[str]:
+    """Comment lines of the first HEAD_LINES lines and of the leading run of comment and blank lines, however long.
+
+    The inner lines of a comment of several lines count too; those of a doc
+    string only if they look like comment lines themselves.
+    """
+    begin, n, run, end, doc = 0, 0, True, "", False
+    while begin <= len(text) and (run or n < HEAD_LINES):
+        at = LINE_END.search(text, begin)
+        line = text[begin : at.start() if at else len(text)]
+        begin = at.end() if at else len(text) + 1
+        n += 1
+        opened = None if end else BLOCK.match(line)
+        if COMMENT.match(line) or (end and run and not doc):
+            yield line
+        elif line.strip() and not end:
+            run = False
+        if opened:
+            end = BLOCK_END[opened[1]]
+            doc = opened[1] in ('"""', "'''") or line[opened.start(1) :].startswith(("/--", "/-!"))
+        if end and end in line[opened.end() if opened else 0 :]:
+            end = ""
+
+
 def statements(text: str) -> tuple[bool, bool]:
     """Whether the comment lines at the top say that the file is generated, or a copy."""
-    head = [x for x in LINE_END.split(text[:8000])[:HEAD_LINES] if COMMENT.match(x)]
+    head = list(_head(text))
     return any(GENERATED.search(x) for x in head), any(COPIED.search(x) for x in head)
 
 

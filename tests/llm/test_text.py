@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.llm import encoding, personal_info
 from tessella.llm.lexicon import Lexicon, build
 from tessella.llm.mixing import mix
-from tessella.llm.source_origin import layout, origins
+from tessella.llm.source_origin import layout, origins, statements
 
 ODD = ["", " ", "a", "it's I'll  two  spaces\n\n\ttab ", "naïve café ☕ 日本語 👩‍💻", "<|endoftext|> <|pad|>", "x" * 5000, "ab" * 3000 + "1" * 999, "\r\n\r\n a\u00a0b", "0123456789" * 40, "don't DON'T 's", "\x00\x01", "é" * 700]
 
@@ -147,6 +147,21 @@ def test_many_bad_files_do_not_move_the_limits(spark, share, repeated):
     assert got == {r[0] for r in rows if r[0] >= 10_000}
 
 
+@pytest.mark.parametrize("licence", ["# A licence line.\n" * 40, "// " + "x" * 9_000 + "\n", "/*\n" + "  A licence line.\n\n" * 200 + "*/\n\n", "/-\n" + "A licence line.\n" * 30 + "-/\n", '"""\n' + "A licence line.\n" * 30 + '"""\n'])
+def test_statements_behind_a_long_licence(licence):
+    assert statements(licence + "// Code generated by toolgen.\n" + HAND) == (True, False)
+    assert statements(licence + "# Taken verbatim from the foo distribution.\n" + HAND) == (False, True)
+    assert statements(licence + HAND * 3 + "# Code generated by toolgen.\n") == (False, False)
+    assert statements(licence + HAND) == (False, False)
+
+
+def test_statements_inside_comments():
+    notice = "Code generated by toolgen.\n"
+    assert statements("/*\n" + "A licence line.\n" * 30 + notice + "*/\n")[0]
+    assert not statements('"""Rows.\n\nThey are ' + notice + '"""\n' + HAND)[0]
+    assert not statements("x = 1\n" * 20 + "# " + notice)[0] and statements("package x\n# " + notice)[0]
+
+
 def test_layout_of_odd_texts():
     assert layout("") == (0, 0, 0, 0, 0, 0, 0) and layout(" \r\n ")[1] == 0
     assert layout("ab\r\ncd\rxyz\n")[1:3] == (3, 7 / 3)
