@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.curves import HOLDOUT_SPLIT, LN2, MIN_BIN_WINDOWS, N_BINS
+from tessella.scratch import Scratch
 
 #: Largest mean relative error on the held-out bins.
 HOLDOUT_ERROR = 0.05
@@ -116,25 +119,68 @@ def bootstrap_gain(nll: np.ndarray, size: np.ndarray, decade: list[int], top: in
             skipped += 1
             continue
         gains.append(n[decade].sum() / LN2 / b[decade].sum() - n[top] / LN2 / b[top])
+    return *_percentiles(gains), skipped
+
+
+def _percentiles(gains: list[float]) -> tuple[float | None, float | None]:
     if len(gains) <= 20:
-        return None, None, skipped
+        return None, None
     low, high = np.percentile(gains, [2.5, 97.5])
-    return float(low), float(high), skipped
+    return float(low), float(high)
+
+
+# Chances that a Poisson(1) variable is at most 0, 1, ...
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def multiplicities(units: np.ndarray, seed: int, replicates: int = REPLICATES) -> np.ndarray:
+    """How often each unit (a 64-bit hash) is drawn in each replicate: Poisson(1), from hashes alone, so the same for any partitioning."""
+    u = np.uint64
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> u(30))) * u(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> u(27))) * u(0x94D049BB133111EB)
+        return x ^ (x >> u(31))
+
+    salt = mix(np.arange(1, replicates + 1, dtype=np.uint64) + (u(seed) << u(32)))
+    h = mix(mix(units.astype(np.int64).view(np.uint64))[:, None] ^ salt[None, :])
+    return np.searchsorted(_POISSON, (h >> u(11)).astype(float) / 2.0**53, side="right")
+
+
+def _replicate_sums(key: str, seed: int) -> Callable:
+    """Per task, cell and replicate the sums of nd, bd, nt, bt over units drawn by multiplicities()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            cells = np.array(batch.column(0).to_pylist(), object)
+            hashes, *parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            values = np.column_stack(parts).astype(float)
+            for at in range(0, len(cells), 2_000):
+                m = multiplicities(hashes[at : at + 2_000], seed).astype(float)
+                for c in set(cells[at : at + 2_000]):
+                    mine = cells[at : at + 2_000] == c
+                    sums[c] = sums.get(c, 0.0) + m[mine].T @ values[at : at + 2_000][mine]
+        for c, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(s)), pa.array(np.arange(len(s), dtype=np.int32)), *[pa.array(s[:, i]) for i in range(4)]], names=[key, "replicate", "nd", "bd", "nt", "bt"])
+
+    return run
 
 
 def gain_intervals(nll_units: DataFrame, byte_units: DataFrame, bins: DataFrame, unit: str, key: str = "cell_name", seed: int = 7, floor: int = MIN_BIN_WINDOWS, most_units: int = 200_000) -> DataFrame:
     """Bootstrap interval of the gain per key, from unit-by-bin sums.
 
-    Only the sums of a cell meet in one task: units x 19 numbers. Cells with
-    more than ``most_units`` units are folded into that many blocks of units
-    first, which resamples blocks instead of units.
+    Only the sums of a cell meet in one task: units x 19 numbers. A cell with
+    more than ``most_units`` units is resampled where its units are: each unit
+    counts Poisson(1) times in a replicate, and only the sums of replicates
+    meet. Units are never merged.
     """
     cols = [f"b{b}" for b in range(N_BINS)]
-    block = F.pmod(F.xxhash64(unit), F.lit(most_units))
-    fold = lambda df, p: df.withColumn("__u", block).groupBy(key, "__u").agg(*[F.sum(c).cast("double").alias(f"{p}{c}") for c in cols])
-    units = fold(nll_units, "n_").join(fold(byte_units, "s_"), [key, "__u"])
+    named = lambda df, p: df.select(key, F.col(unit).alias("__u"), *[F.col(c).cast("double").alias(f"{p}{c}") for c in cols])
+    units = Scratch(bins.sparkSession).cut(named(nll_units, "n_").join(named(byte_units, "s_"), [key, "__u"]), "units")
     support = bins.where(F.col("n_windows") >= floor).groupBy(key).agg(F.collect_list(F.when(F.col("mid").between(16, 255.999999), F.col("bin"))).alias("decade"), F.max("bin").alias("top"))
-    rows = units.join(F.broadcast(support), key)  # one row per cell of the grid
+    counted = Scratch(bins.sparkSession).cut(units.groupBy(key).agg(F.count(F.lit(1)).alias("n_units")).join(support, key), "counted")
+    rows = units.join(F.broadcast(counted), key)  # one row per cell of the grid
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__u")
@@ -146,4 +192,25 @@ def gain_intervals(nll_units: DataFrame, byte_units: DataFrame, bins: DataFrame,
             low, high, skipped = bootstrap_gain(nll, size, decade, top, seed)
         return pd.DataFrame([{key: pdf[key].iloc[0], "n_units": len(pdf), "gain_low": low, "gain_high": high, "skipped": skipped}])
 
-    return rows.groupBy(key).applyInPandas(run, f"{key} string, n_units bigint, gain_low double, gain_high double, skipped bigint")
+    schema = f"{key} string, n_units bigint, gain_low double, gain_high double, skipped bigint"
+    out = rows.where(F.col("n_units") <= most_units).drop("n_units").groupBy(key).applyInPandas(run, schema)
+    if not counted.where(F.col("n_units") > most_units).limit(1).count():
+        return out
+
+    def of_replicates(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = high = None
+        skipped = 0
+        if pdf["any_decade"].iloc[0]:
+            # in a fixed order, so that sums are the same again
+            s = pdf.sort_values(["replicate", "nd", "bd", "nt", "bt"]).groupby("replicate")[["nd", "bd", "nt", "bt"]].sum()
+            ok = s[(s.bt > 0) & (s.bd > 0)]
+            skipped = len(s) - len(ok)
+            low, high = _percentiles(list(ok.nd / LN2 / ok.bd - ok.nt / LN2 / ok.bt))
+        return pd.DataFrame([{key: pdf[key].iloc[0], "n_units": pdf["n_units"].iloc[0], "gain_low": low, "gain_high": high, "skipped": skipped}])
+
+    decade = lambda p: sum((F.when(F.array_contains("decade", b), F.col(f"{p}{c}")).otherwise(0.0) for b, c in enumerate(cols)), F.lit(0.0))
+    top = lambda p: F.element_at(F.array(*[f"{p}{c}" for c in cols]), F.col("top").cast("int") + 1)
+    many = rows.where(F.col("n_units") > most_units).select(key, F.xxhash64("__u").alias("h"), decade("n_").alias("nd"), decade("s_").alias("bd"), top("n_").alias("nt"), top("s_").alias("bt"))
+    sums = many.mapInArrow(_replicate_sums(key, seed), f"{key} string, replicate int, nd double, bd double, nt double, bt double")
+    of = counted.select(key, "n_units", (F.size("decade") > 0).alias("any_decade"))
+    return out.unionByName(sums.join(F.broadcast(of), key).groupBy(key).applyInPandas(of_replicates, schema))

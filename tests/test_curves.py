@@ -84,3 +84,30 @@ def test_bootstrap_is_reproducible():
     nll, size = rng.random((30, 19)), np.ones((30, 19))
     a = fits.bootstrap_gain(nll, size, [4, 5], 8, 7)
     assert a == fits.bootstrap_gain(nll, size, [4, 5], 8, 7) and a[0] < a[1]
+
+
+def test_bootstrap_merges_no_units(spark):
+    n = 3_000
+    rng = np.random.default_rng(1)
+    cols = [f"b{b}" for b in range(19)]
+    nll = pd.DataFrame(rng.random((2 * n, 19)), columns=cols).assign(cell_name=["a", "b"] * n, u=np.arange(2 * n) // 2)
+    size = pd.DataFrame(rng.integers(1, 4, (2 * n, 19)), columns=cols).assign(cell_name=nll.cell_name, u=nll.u)
+    units = [spark.createDataFrame(x) for x in (nll, size)]
+    b = spark.createDataFrame([(c, i, float(m), 10) for c in "ab" for i, m in ((4, 22), (5, 45), (8, 724))], "cell_name string, bin int, mid double, n_windows int")
+    run = lambda k, parts: {r["cell_name"]: r for r in fits.gain_intervals(*[x.repartition(parts) for x in units], b, "u", most_units=k).collect()}
+    whole, spread = run(200_000, 3), run(500, 3)
+    for c in "ab":
+        low, high = (whole[c][x] for x in ("gain_low", "gain_high"))
+        mine = nll[nll.cell_name == c].sort_values("u")[cols].to_numpy(), size[size.cell_name == c].sort_values("u")[cols].to_numpy(float)
+        assert (low, high, 0) == fits.bootstrap_gain(*mine, [4, 5], 8, 7)
+        assert whole[c]["n_units"] == spread[c]["n_units"] == n
+        assert abs((spread[c]["gain_high"] - spread[c]["gain_low"]) / (high - low) - 1) < 0.25
+        assert abs(spread[c]["gain_low"] + spread[c]["gain_high"] - low - high) < 0.5 * (high - low)
+    again = run(500, 5)
+    assert all(abs(again[c][x] - spread[c][x]) < 1e-9 for c in "ab" for x in ("gain_low", "gain_high"))
+
+
+def test_multiplicities_are_poisson():
+    m = fits.multiplicities(np.arange(2_000) * 7919 - 5_000, 7)
+    assert m.shape == (2_000, 300) and abs(m.mean() - 1) < 0.01 and abs(m.var() - 1) < 0.02
+    assert abs(np.corrcoef(m[:, 0], m[:, 1])[0, 1]) < 0.1
