@@ -55,7 +55,7 @@ LINE_END = re.compile(r"\r\n|\r|\n")
 REACH = 12.0
 #: Distances count as at least this share of the median.
 LEAST_SPREAD = 0.15
-#: A language with fewer files than this takes the thresholds of all files.
+#: With so many distinct files a language's own thresholds count as much as those of all files; with more, more.
 LEAST_FILES = 30
 #: No threshold is drawn tighter than this.
 LOOSEST = {"mean_line": 110.0, "max_line": 250.0, "numeric": 0.07, "encoded": 0.30, "space": 0.06, "alnum": 0.90}
@@ -172,10 +172,13 @@ def origins(files: DataFrame, commits: DataFrame) -> DataFrame:
         rows.mapInArrow(_measure, f"file_id {kind}, lang string, first_commit string, vendor_path boolean, text_key bigint, {fields}, says_generated boolean, says_copied boolean"), "layout"
     )
     limits = scratch.cut(tuned(measured), "limits")
-    own = limits.where(F.col("files") >= LEAST_FILES).drop("files")
     rest = limits.where("lang = '*'").first()
+    pooled = {c: F.lit(rest[f"t_{c}"] if rest else LOOSEST[c]) for c in ("mean_line", "max_line", "numeric", "space")}
+    # blended by count, so that one more file never switches the limits of a language
+    share = F.col("files") / (F.col("files") + LEAST_FILES)
+    own = limits.where("lang <> '*'").select("lang", *[(share * F.col(f"t_{c}") + (1 - share) * pooled[c]).alias(f"t_{c}") for c in pooled])
     held = lookup_join(measured, own, ["lang"])
-    t = {c: F.coalesce(F.col(f"t_{c}"), F.lit(rest[f"t_{c}"] if rest else LOOSEST[c])) for c in ("mean_line", "max_line", "numeric", "space")}
+    t = {c: F.coalesce(F.col(f"t_{c}"), pooled[c]) for c in pooled}
     minified = (F.col("mean_line") > t["mean_line"]) & (F.col("max_line") > t["max_line"])
     data = (F.col("numeric") > t["numeric"]) | (F.col("encoded") > LOOSEST["encoded"]) | ((F.col("space") < t["space"]) & (F.col("alnum") > LOOSEST["alnum"]))
     told = (

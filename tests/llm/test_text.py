@@ -147,6 +147,18 @@ def test_many_bad_files_do_not_move_the_limits(spark, share, repeated):
     assert got == {r[0] for r in rows if r[0] >= 10_000}
 
 
+def test_one_more_file_does_not_switch_the_limits(spark):
+    wide = [(k, f"src/w{k}.lean", "theorem x : " + "a + " * (14 + k % 9) + "\n" + "b\n" * (k % 2) + "lemma y : " + "c + " * (20 + k % 5) + f"{k}\n", None) for k in range(300)]
+    own = [(1_000 + k, f"src/a{k}.js", HAND * (3 + k % 4) + f"# {k}\n", None) for k in range(29)]
+    edge = (2_000, "src/e.js", ("x" * 60 + " " + "y" * 59 + "\n") * 20 + "z" * 255 + "\n", None)
+    told = spark.createDataFrame([], "commit_sha string, subject string, n_files_added int")
+    got = set()
+    for more in ([], [own[0]], [(3_000, "src/n.js", HAND, None)]):
+        files = spark.createDataFrame(wide + own[:28] + [edge] + more, "file_id bigint, rel string, text string, first_commit string")
+        got.add(origins(files, told).where("file_id = 2000").first()["minified"])
+    assert len(got) == 1
+
+
 @pytest.mark.parametrize("licence", ["# A licence line.\n" * 40, "// " + "x" * 9_000 + "\n", "/*\n" + "  A licence line.\n\n" * 200 + "*/\n\n", "/-\n" + "A licence line.\n" * 30 + "-/\n", '"""\n' + "A licence line.\n" * 30 + '"""\n'])
 def test_statements_behind_a_long_licence(licence):
     assert statements(licence + "// Code generated by toolgen.\n" + HAND) == (True, False)
