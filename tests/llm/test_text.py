@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.llm import encoding, personal_info
 from tessella.llm.lexicon import Lexicon, build
 from tessella.llm.mixing import mix
-from tessella.llm.source_origin import layout, origins, statements
+from tessella.llm.source_origin import code_key, layout, origins, statements, tuned
 
 ODD = ["", " ", "a", "it's I'll  two  spaces\n\n\ttab ", "naïve café ☕ 日本語 👩‍💻", "<|endoftext|> <|pad|>", "x" * 5000, "ab" * 3000 + "1" * 999, "\r\n\r\n a\u00a0b", "0123456789" * 40, "don't DON'T 's", "\x00\x01", "é" * 700]
 
@@ -91,6 +91,32 @@ def test_mix_meets_its_targets(spark):
     assert small <= large or large <= small  # ranges from one end
 
 
+@pytest.mark.parametrize("budget", [10**12, 10**13, 10**14, 9 * 10**18])
+def test_mix_of_trillions_of_tokens(spark, budget):
+    docs = [(i, "big", budget // 1000 + i, "x") for i in range(500)] + [(1000 + i, "small", budget // 10**6, "x") for i in range(10)]
+    total = sum(n for _, s, n, _ in docs if s == "big")
+    uses, report = mixed(spark, docs, [("a", "big", 900_001, budget, 2_000_000), ("a", "small", 99_999, budget, 7)])
+    big, small = report["a", "big"], report["a", "small"]
+    want = 900_001 * budget // 10**6
+    assert not big["short"] and abs(big["actual_tokens"] - want) <= budget // 1000 + 500 and abs(big["target_tokens"] / want - 1) < 1e-9
+    assert small["short"] and small["actual_tokens"] == 70 * (budget // 10**6) and big["available_tokens"] == total
+    assert {k for _, s, _, k in uses if s == "big"} <= {want // total, want // total + 1}
+
+
+def test_shares_reported_are_those_of_the_uses(spark):
+    rnd = random.Random(3)
+    docs = [(i, rnd.choice("abc"), rnd.randrange(0, 90), "x") for i in range(3000)]
+    targets = [(m, s, w, b, 3) for m, b in (("m1", 40_000), ("m2", 90_000)) for s, w in (("a", 500_000), ("b", 300_000), ("c", 200_000))]
+    uses, report = mixed(spark, docs, targets)
+    n = {i: t for i, _, t, _ in docs}
+    for (m, s), r in report.items():
+        mine = sum(n[d] * k for a, b, d, k in uses if (a, b) == (m, s))
+        whole = sum(n[d] * k for a, _, d, k in uses if a == m)
+        weight, budget = next((w, b) for a, c, w, b, _ in targets if (a, c) == (m, s))
+        assert r["actual_tokens"] == mine and r["actual_ppm"] == round(mine * 1e6 / whole)
+        assert abs(r["actual_ppm"] - weight) <= 90 * 1e6 / budget
+
+
 def test_mix_of_nothing(spark):
     uses, report = mixed(spark, [], [("a", "x", 1_000_000, 10, 1)])
     assert uses == [] and report["a", "x"]["short"]
@@ -99,13 +125,28 @@ def test_mix_of_nothing(spark):
 
 
 HAND = "def f(x):\n    '''Sum the rows.'''\n    total = 0\n    for row in x:\n        total += row.value\n    return total\n\n\n"
+THEIRS = "def g(y):\n    return [z.key for z in y if z]\n"
 FILES = {
     "src/a.py": (HAND * 4, False),
     "src/long.py": (HAND * 6 + "PATTERN = re.compile('" + "|".join(["alpha_beta", "gamma_delta"] * 12) + "')\n", False),
     "src/talk.py": ("# TODO: do not edit tables in place.\n# Lists records that the runner generated earlier.\n" + HAND * 4, False),
     "src/table.py": (HAND * 5 + "T = [1, 2, 3, 44, 55]\n", False),
     "src/externals/vendor_x.py": (HAND * 4, False),
-    "src/Vendor/b.py": (HAND * 4, True),
+    "src/Vendor/b.py": (HAND * 4 + THEIRS, True),
+    "src/near.py": ("# our own note\n\n" + (HAND * 4 + THEIRS).replace("\n", "\r\n"), True),
+    "src/like.py": (HAND * 5 + THEIRS, False),
+    "node_modules/x/b.py": (HAND * 2, True),
+    "a/ThirdParty/b.py": (HAND * 2, True),
+    "a/third-party/b.py": (HAND * 2, True),
+    "_vendor/b.py": (HAND * 2, True),
+    "a/Vendored/b.py": (HAND * 2, True),
+    "extern/b.py": (HAND * 2, True),
+    "a\\3rdparty\\b.py": (HAND * 2, True),
+    "vendors_api/a.py": (HAND * 3, False),
+    "third_parties_report/a.py": (HAND * 3, False),
+    "internal_external_bridge/a.py": (HAND * 3, False),
+    "generated_names_tests/a.py": (HAND * 3, False),
+    "src/vendor": (HAND * 3, False),
     "src/gen.py": ("# Code generated by toolgen. DO NOT EDIT.\n" + HAND * 4, True),
     "src/copy.py": ("# Taken verbatim from the foo distribution.\n" + HAND * 4, True),
     "src/min.js": ("".join(f"var a{i}=b.c(d,{i});function e{i}(f){{return f?g(f):h}};" for i in range(60)), True),
@@ -132,6 +173,56 @@ def test_hand_written_files_remain(spark):
     assert origins(files.limit(0), told.limit(0)).count() == 0
 
 
+def test_sources_of_vendored_copies_remain(spark):
+    body = HAND * 3 + THEIRS
+    rows = [(1, "ann/solver", "src/a.py", body, None), (2, "bob/app", "vendor/solver/a.py", "# as of June\n" + body, None), (3, "cy/tool", "lib/a.py", body, None), (4, None, "a.py", body, None), (5, "d/e", "vendor/z.py", "import z\n", None), (6, "d/f", "z.py", "import z\n", None)]
+    files = spark.createDataFrame(rows, "file_id bigint, repo string, rel string, text string, first_commit string")
+    told = spark.createDataFrame([], "commit_sha string, subject string, n_files_added int")
+    got = {r["file_id"]: (r["vendor_path"], r["copied"]) for r in origins(files, told).collect()}
+    assert got == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, True), 5: (True, False), 6: (False, False)}
+
+
+def test_code_key_ignores_comments_and_blank_lines():
+    body = HAND * 3
+    key = code_key(body)
+    assert key is not None and key == code_key("# x\n" + body.replace("\n", "  \r\n") + "\n\n// end") == code_key("/* a\n b\n*/\n" + body) == code_key("/* a */\n" + body)
+    assert key != code_key(body + "x = 1") and code_key("") is None and code_key("# x\n" * 100) is None and code_key("/* " + body) is None
+
+
+def test_limits_are_those_of_the_language(spark):
+    line = {"cc": "  x += y.f({});\n", "lean": "  have h{} : a ∈ b := by simpa using (c.d e f) ▸ (g.h i j) ▸ (k.l m n) ▸ (o.p q r)\n", "py": "    total_{} = [row.value for row in rows if row.value is not None and row.key in keys]\n"}
+    stats = ("n_chars", "max_line", "mean_line", "space", "alnum", "numeric", "encoded")
+    rows = [(lang, k, *layout("".join(x.format(k * 7 + i) for i in range(20 + k % 5)))) for lang, x in line.items() for k in range(40)]
+    t = {r["lang"]: r for r in tuned(spark.createDataFrame(rows, "lang string, text_key bigint, " + ", ".join(f"{c} double" for c in stats))).collect()}
+    assert len({r["t_mean_line"] for r in t.values()}) > 2 and len({r["t_alnum"] for r in t.values()}) > 2 and len({r["t_max_line"] for r in t.values()}) > 2
+    assert t["cc"]["t_mean_line"] < t["py"]["t_mean_line"]
+
+
+def test_planted_files_are_found(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(3))
+    code = {
+        "py": lambda: "".join(f"def {word()}({word()}, {word()}):\n    {word()} = {word()}.{word()}({rnd.randrange(90)})\n    return [{word()} for {word()} in {word()}]\n\n" for _ in range(rnd.randrange(4, 12))),
+        "cc": lambda: "".join(f"int {word()}(const {word()}& {word()}) {{\n  auto {word()} = {word()}.{word()}({rnd.randrange(90)});\n  return {word()};\n}}\n\n" for _ in range(rnd.randrange(4, 12))),
+        "js": lambda: "".join(f"function {word()}({word()}) {{\n  const {word()} = {word()}.map((v) => v + {rnd.randrange(9)});\n  return {word()};\n}}\n\n" for _ in range(rnd.randrange(4, 12))),
+    }
+    tight = lambda: "".join(f"{rnd.choice('abc')}&&(e={rnd.choice('fgh')}[{rnd.randrange(99)}]||0);function {rnd.choice('xyz')}(t){{return t?g(t-{rnd.randrange(9)}):t}};" for _ in range(40))
+    digits = lambda: "x = [\n" + "".join("  " + ", ".join(f"{rnd.uniform(-9, 9):.6f}" for _ in range(8)) + ",\n" for _ in range(30)) + "]\n"
+    runs = lambda: 'x = (\n' + "".join('  "' + "".join(rnd.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(76)) + '"\n' for _ in range(25)) + ")\n"
+    rows, bad = [], set()
+    for i in range(1500):
+        lang, kind = rnd.choice(list(code)), rnd.choice(["hand"] * 7 + ["tight", "digits", "runs", "bundled"])
+        text = {"hand": code[lang], "tight": tight, "digits": digits, "runs": runs, "bundled": code[lang]}[kind]()
+        if kind == "hand" and i % 5 == 0:
+            text += "words = '" + "|".join(word() for _ in range(50)) + "'\n"  # one long line
+        rows.append((i, "r/q", f"{'third-party/' if kind == 'bundled' else ''}src/{word()}.{lang}", text, None))
+        bad |= {i} if kind != "hand" else set()
+    files = spark.createDataFrame(rows, "file_id bigint, repo string, rel string, text string, first_commit string")
+    told = spark.createDataFrame([], "commit_sha string, subject string, n_files_added int")
+    got = {r["file_id"] for r in origins(files, told).where("not_hand_written").collect()}
+    assert len(got & bad) >= 0.98 * len(bad) and len(got - bad) <= 0.01 * len(got)
+
+
 @pytest.mark.parametrize("share", [0.2, 0.4, 0.7])
 @pytest.mark.parametrize("repeated", [False, True])
 def test_many_bad_files_do_not_move_the_limits(spark, share, repeated):
