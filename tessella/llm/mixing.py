@@ -17,6 +17,8 @@ from tessella.joins import lookup_join
 from tessella.scratch import Scratch
 
 BITS, STEP = 60, 10
+# products of weights, budgets and token counts are taken in decimals: they leave 64 bits at some ten trillion tokens
+WIDE = "decimal(38,0)"
 
 
 def label(c: str) -> F.Column:
@@ -55,13 +57,17 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     level = BITS - STEP
     hist = scratch.cut(docs.groupBy("label", F.shiftright("h", level).alias("p")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "hist")
     totals = hist.groupBy("label").agg(F.sum("n").alias("total"))
-    need = F.col("weight_ppm") * F.col("budget_tokens")  # in millionths of a token
     plan = wanted.join(totals, "label", "left").withColumn("total", F.coalesce("total", F.lit(0).cast("bigint")))
-    plan = plan.withColumns({"want": (need / 1_000_000).cast("double"), "short": F.col("max_repeats") * F.col("total") * 1_000_000 < need})
-    rounds = F.when(F.col("short") | (F.col("total") == 0), F.col("max_repeats")).otherwise(F.least(F.expr("weight_ppm * budget_tokens div 1000000 div greatest(total, 1)"), "max_repeats"))
+    # a target is kept as whole tokens and millionths of a token
+    parts = {"need": F.expr(f"cast(weight_ppm as {WIDE}) * budget_tokens"), "most": F.expr(f"cast(max_repeats as {WIDE}) * total")}
+    plan = plan.withColumns(parts).withColumns({"whole": F.expr("need div 1000000"), "part": F.expr("cast(need % 1000000 as bigint)")})
+    plan = plan.withColumns({"want": F.col("whole").cast("double") + F.col("part") / 1e6, "short": (F.col("most") < F.col("whole")) | ((F.col("most") == F.col("whole")) & (F.col("part") > 0))})
+    rounds = F.when(F.col("short") | (F.col("total") == 0), F.col("max_repeats")).otherwise(F.least(F.expr("whole div greatest(total, 1)"), "max_repeats"))
     plan = plan.withColumn("rounds", rounds)
-    rest = F.when(F.col("short") | (F.col("rounds") >= F.col("max_repeats")), 0.0).otherwise(F.col("want") - F.col("rounds") * F.col("total"))
-    plan = scratch.cut(plan.withColumn("rest", rest), "plan")
+    # what is left of the target after whole rounds is less than one round
+    left = F.expr("whole - rounds * total").cast("double") + F.col("part") / 1e6
+    rest = F.when(F.col("short") | (F.col("rounds") >= F.col("max_repeats")), 0.0).otherwise(left)
+    plan = scratch.cut(plan.withColumn("rest", rest).drop("need", "most", "whole", "part"), "plan")
 
     # each open row looks for the end of its range inside the hash prefix ``p`` of length BITS - level
     open_rows = plan.where("rest > 0").select("mix_id", "source", "label", "rest", F.lit(0).cast("bigint").alias("p"))
@@ -99,9 +105,9 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[DataFr
     by_label = plan.groupBy("label").agg(F.collect_list(F.struct("mix_id", "source", "rounds", "limit")).alias("mixes"))
     used = lookup_join(docs, by_label, ["label"], "inner", rows=n_plan).select("doc_id", "h", "n", F.explode("mixes").alias("m"))
     uses = used.select("m.mix_id", "m.source", "doc_id", "n", (F.col("m.rounds") + (F.col("h") < F.col("m.limit")).cast("bigint")).alias("n_uses")).where("n_uses > 0")
-    actual = uses.groupBy("mix_id", "source").agg(F.sum(F.col("n") * F.col("n_uses")).alias("actual_tokens"))
-    report = plan.join(actual, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0).cast("bigint")))
-    whole = F.sum("actual_tokens").over(Window.partitionBy("mix_id"))
+    actual = uses.groupBy("mix_id", "source").agg(F.sum(F.expr(f"cast(n as {WIDE}) * n_uses")).cast(WIDE).alias("actual_tokens"))
+    report = plan.join(actual, ["mix_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual_tokens", F.lit(0)).cast("bigint"))
+    whole = F.sum(F.col("actual_tokens").cast(WIDE)).over(Window.partitionBy("mix_id")).cast("double")
     report = report.select(
         "mix_id",
         "source",
