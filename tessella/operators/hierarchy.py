@@ -6,16 +6,18 @@ whose number grows with the logarithm of the depth or of the tree size:
 1. Leaves are peeled, 2**k layers in round k: a node survives N rounds of
    leaf peeling exactly if it is the N-th ancestor of some node, so squaring
    the parent map peels as many layers as all rounds before it. Nodes that
-   reach a parentless node are in trees; what survives once the image stops
-   shrinking is the set of cycle members.
+   reach a parentless node are in trees and leave the loop; what survives once
+   the image stops shrinking is the set of cycle members.
 2. Every cycle is contracted into its smallest member, and an Euler tour
    (enter and exit arc of each node, siblings by id) is linked up. Sibling
    links come from a range-partitioned sort, so a parent with millions of
    children is spread over tasks.
-3. List ranking by pointer jumping gives each arc its position; a tree leaves
-   the loop as soon as the jumps cover it.
+3. List ranking by pointer jumping gives each arc its distance from the end of
+   its list, the number of nodes it lies below, and the last arc, which is the
+   one that leaves the root. An arc that has reached the end leaves the loop.
 
-A node u is an ancestor of v (u != v) exactly if both have the same ``tour``
+Roots, depths and sizes come from the ranked tours, paths and descendants from
+their intervals. A node u is an ancestor of v (u != v) exactly if both have the same ``tour``
 and enter(u) <= enter(v) and exit(u) >= exit(v). Members of one cycle share
 one interval, which makes each an ancestor of the others.
 """
@@ -29,9 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.joins import split_join
 from tessella.scratch import Scratch
 
 MAX_ROUNDS = 62
+#: Blocks of at most 2**TOP positions in the search for ancestors.
+TOP = 12
 
 
 def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, with_path: bool = False) -> DataFrame:
@@ -48,51 +53,67 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, with_path: bool =
     spark = nodes.sparkSession
     scratch = Scratch(spark)
     base = nodes.select(F.col(id_col).cast("bigint").alias("id"), F.col(parent_col).cast("bigint").alias("parent")).where("id is not null")
-    known = base.select(F.col("id").alias("known"))
-    links = scratch.cut(base.join(known, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("parent")), "links")
-
-    state = _peel(links, scratch, with_path)
-    tours = _tours(links, state, scratch)
-    return _assemble(links, state, tours, with_path)
-
-
-def _jumped(state: DataFrame, with_path: bool) -> DataFrame:
-    s, t = state.alias("s"), state.alias("t")
-    done = F.col("s.done")
-    cols = [
-        F.col("s.id").alias("id"),
-        F.when(done, F.col("s.jump")).otherwise(F.col("t.jump")).alias("jump"),
-        (F.col("s.done") | F.col("t.done")).alias("done"),
-        F.least(F.col("s.low"), F.col("t.low")).alias("low"),
-        (~F.col("s.done") & F.col("t.done")).alias("fresh"),
-    ]
+    known = base.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    links = scratch.cut(split_join(base, known, ["parent"], "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent")), "links")
+
+    settled, cycles = _peel(links, scratch)
+    tours = _tours(links, settled, cycles, scratch)
+    tree = _assemble(links, cycles, tours)
     if with_path:
-        cols.append(F.when(done, F.col("s.above")).otherwise(F.concat(F.col("t.above"), F.col("s.above"))).alias("above"))
-    return s.join(t, F.col("s.jump") == F.col("t.id")).select(cols)
+        tree = scratch.cut(tree, "tree")
+        up = ancestors(tree).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "ancestor"))).alias("up"))
+        path = F.concat(F.coalesce(F.transform("up", lambda x: x["ancestor"]), F.array().cast("array<bigint>")), F.array("id"))
+        tree = tree.join(up, "id", "left").withColumn("path", F.when(F.col("depth").isNotNull(), path)).drop("up")
+    return tree
 
 
-def _peel(links: DataFrame, scratch: Scratch, with_path: bool) -> DataFrame:
-    """id, jump, done, low: the root (done) or a cycle member far above (not done), and the least id passed."""
-    cols = [
-        "id",
-        F.coalesce("parent", "id").alias("jump"),
-        F.col("parent").isNull().alias("done"),
-        F.coalesce("parent", "id").alias("low"),
-        F.lit(True).alias("fresh"),
-    ]
-    if with_path:
-        cols.append(F.when(F.col("parent").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("parent")).alias("above"))
-    state = scratch.cut(links.select(cols), "peel")
-    for _ in range(MAX_ROUNDS):
-        new = scratch.cut(_jumped(state, with_path), "peel")
-        n_fresh, n_stuck = new.agg(F.count_if("fresh"), F.count_if(~F.col("done"))).first()
-        scratch.free(state)
-        state = new
-        if not n_stuck or not n_fresh:
+def ancestors(tree: DataFrame) -> DataFrame:
+    """Pairs (id, ancestor, at, distance) of the nodes of trees, from the intervals; ``at`` is where the ancestor is entered.
+
+    The inside of an ancestor's interval is cut into blocks of 2**k positions,
+    a node lies in one block of each size, and the two are joined by equality:
+    each pair meets once, and no block holds more than 2**TOP nodes.
+    """
+    inside = tree.where("depth is not null").select("id", "tour", "enter", "exit", "depth")
+    # the blocks of [enter + 1, exit): at each size at most one at either end, at the largest all that are left
+    low, high = "shiftright(enter + shiftleft(1L, k), k)", "shiftright(exit, k)"
+    end = f"array_compact(array(if({low} < {high} and {low} % 2 = 1, struct(k, {low} as b), null), if({low} < {high} and {high} % 2 = 1, struct(k, {high} - 1 as b), null)))"
+    low_top, high_top = low.replace("k)", f"{TOP})"), high.replace("k)", f"{TOP})")
+    whole = f"if({low_top} < {high_top}, transform(sequence({low_top}, {high_top} - 1), b -> struct({TOP} as k, b)), array())"
+    blocks = F.expr(f"concat(flatten(transform(sequence(0, {TOP - 1}), k -> {end})), {whole})")
+    up = inside.where("exit - enter > 1").select("tour", F.col("id").alias("ancestor"), F.col("enter").alias("at"), F.col("depth").alias("a_depth"), F.explode(blocks).alias("x")).select("tour", "ancestor", "at", "a_depth", "x.k", "x.b")
+    down = inside.where("depth > 0").select("tour", "id", "depth", F.explode(F.expr(f"transform(sequence(0, {TOP}), k -> struct(k, shiftright(enter, k) as b))")).alias("x")).select("tour", "id", "depth", "x.k", "x.b")
+    return down.join(up, ["tour", "k", "b"]).select("id", "ancestor", "at", (F.col("depth") - F.col("a_depth")).alias("distance"))
+
+
+def _jumped(open_rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The open rows of a round with what they find where they jump to."""
+    to = targets.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("done"), F.col("low").alias("t_low"))
+    return split_join(open_rows.select("id", "jump", "low"), to, ["jump"]).select("id", F.col("further").alias("jump"), "done", F.least("low", "t_low").alias("low"))
+
+
+def _peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Settled nodes (id, jump: the root of their tree), and the nodes on or below a cycle (id, cycle_of, in_cycle; None if there are none).
+
+    A cycle is named by its least member. Only open nodes are joined; a round
+    in which none is settled leaves those of cycles.
+    """
+    start = links.select("id", F.coalesce("parent", "id").alias("jump"), F.col("parent").isNull().alias("done"), F.coalesce("parent", "id").alias("low"))
+    settled = scratch.cut(start.where("done"), "settled")
+    open_rows = scratch.cut(start.where("not done"), "open")
+    n_open = open_rows.count()
+    while n_open:
+        new = scratch.cut(_jumped(open_rows, open_rows.unionByName(settled)), "peel")
+        scratch.free(open_rows)
+        open_rows = new.where("not done")
+        settled = settled.unionByName(new.where("done"))
+        n_still = open_rows.count()
+        if n_still == n_open:
             break
-    if not n_stuck:
-        return state
-    stuck = scratch.cut(state.where("not done").select("id", "jump", "done", "low", "fresh"), "stuck")
+        n_open = n_still
+    if not n_open:
+        return settled.select("id", "jump"), None
+    stuck = scratch.cut(open_rows, "stuck")
     size, lows = -1, None
     for _ in range(MAX_ROUNDS):
         core = stuck.select(F.col("jump").alias("id")).distinct()
@@ -100,15 +121,14 @@ def _peel(links: DataFrame, scratch: Scratch, with_path: bool) -> DataFrame:
         if (now[0], now[1]) == (size, lows):
             break
         size, lows = now
-        new = scratch.cut(_jumped(stuck, False), "stuck")
+        new = scratch.cut(_jumped(stuck, stuck), "stuck")
         scratch.free(stuck)
         stuck = new
     # jump is a cycle member; its low is the least member of that cycle
-    core = stuck.select(F.col("jump").alias("id")).distinct().join(stuck, "id").select(F.col("id").alias("member"), F.col("low").alias("cycle"))
-    stuck = stuck.join(core, F.col("jump") == F.col("member")).select("id", F.col("cycle").alias("cycle_of"))
-    inside = core.select(F.col("member").alias("id"), F.lit(True).alias("in_cycle"))
-    marked = state.join(stuck, "id", "left").join(inside, "id", "left")
-    return scratch.cut(marked, "marked")
+    core = scratch.cut(stuck.select(F.col("jump").alias("id")).distinct().join(stuck, "id").select(F.col("id").alias("jump"), F.col("low").alias("cycle_of")), "core")
+    inside = core.select(F.col("jump").alias("id"), F.lit(True).alias("in_cycle"))
+    marked = split_join(stuck.select("id", "jump"), core, ["jump"]).join(inside, "id", "left")
+    return settled.select("id", "jump"), scratch.cut(marked.select("id", "cycle_of", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle")), "cycles")
 
 
 def _siblings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,23 +158,16 @@ def _rows(ids, ups, nxt, first: bool, last: bool) -> pa.RecordBatch:
     )
 
 
-def _tours(links: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, tour, enter, exit, depth, size of each node that is its own tour node."""
+def _tours(links: DataFrame, settled: DataFrame, cycles: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """id, tour, enter, exit, depth of each node that is its own tour node; ``tour`` is the node whose exit ends the list."""
     spark = links.sparkSession
-    if "cycle_of" in state.columns:
-        up = state.select(F.col("id").alias("pid"), "cycle_of", "in_cycle")
-        tree = (
-            links.join(state.select("id", F.col("jump"), F.col("cycle_of").alias("mine"), F.col("in_cycle").alias("me")), "id")
-            .join(up, F.col("parent") == F.col("pid"), "left")
-            .where("me is null or id = mine")
-            .select(
-                "id",
-                F.when(F.col("me"), None).when(F.col("in_cycle"), F.col("cycle_of")).otherwise(F.col("parent")).alias("up"),
-                F.coalesce("mine", "jump").alias("tour"),
-            )
-        )
-    else:
-        tree = links.join(state.select("id", F.col("jump").alias("tour")), "id").select("id", F.col("parent").alias("up"), "tour")
+    # group tells the lists apart, so that a finished one leaves the ranking as a whole
+    tree = links.join(settled, "id").select("id", F.col("parent").alias("up"), F.col("jump").alias("group"))
+    if cycles is not None:
+        above = cycles.select(F.col("id").alias("parent"), F.when(F.col("in_cycle"), F.col("cycle_of")).alias("merged"))
+        caught = split_join(links.join(cycles, "id").where("not in_cycle or id = cycle_of"), above, ["parent"], "left")
+        up = F.when(~F.col("in_cycle"), F.coalesce("merged", "parent"))
+        tree = tree.unionByName(caught.select("id", up.alias("up"), F.col("cycle_of").alias("group")))
     tree = scratch.cut(tree, "tree")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -180,51 +193,43 @@ def _tours(links: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
         fix = spark.createDataFrame(patch, "id bigint, fixed bigint")
         nxt = nxt.join(F.broadcast(fix), "id", "left").select("id", F.coalesce("next", "fixed").alias("next"))
     firsts = tree.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.min("id").alias("child"))
-    sizes = tree.groupBy("tour").agg(F.count(F.lit(1)).alias("size"))
+    sizes = tree.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     wide = tree.join(firsts, "id", "left").join(nxt, "id", "left")
-    # arc 2v enters v, arc 2v + 1 leaves it; -1 as successor ends the list
+    # arc 2v enters v, arc 2v + 1 leaves it; the list ends with null
     arcs = wide.select(
-        "tour",
+        "group",
         F.explode(
             F.array(
                 F.struct((F.col("id") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("id") * 2 + 1).alias("to"), F.lit(1).alias("w")),
                 F.struct((F.col("id") * 2 + 1).alias("arc"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("to"), F.lit(-1).alias("w")),
             )
         ).alias("a"),
-    ).select(
-        "tour",
-        "a.arc",
-        F.col("a.to").alias("to"),
-        F.lit(1).cast("bigint").alias("dist"),
-        F.col("a.w").cast("bigint").alias("open"),
-    )
-    arcs = arcs.join(sizes, "tour")
-    active = scratch.cut(arcs, "arcs")
+    ).select("group", "a.arc", F.col("a.to").alias("to"), F.coalesce("a.to", "a.arc").alias("last"), F.lit(1).cast("bigint").alias("dist"), F.col("a.w").cast("bigint").alias("open"))
+    active = scratch.cut(split_join(arcs, sizes, ["group"]), "arcs")
+    names = ["group", "arc", "to", "last", "dist", "open", "size"]
     ranked, reach = [], 1
     while True:
-        s, t = active.alias("s"), active.select("arc", "to", "dist", "open").alias("t")
-        stepped = s.join(t, F.col("s.to") == F.col("t.arc"), "left").select(
-            F.col("s.tour").alias("tour"),
-            F.col("s.arc").alias("arc"),
-            F.col("t.to").alias("to"),
-            (F.col("s.dist") + F.coalesce("t.dist", F.lit(0))).alias("dist"),
-            (F.col("s.open") + F.coalesce("t.open", F.lit(0))).alias("open"),
-            F.col("s.size").alias("size"),
+        # arcs at the end of their list stay as they are; every other has a successor of its own, so no key is hot
+        t = active.select(F.col("arc").alias("to"), F.col("to").alias("t_to"), F.col("last").alias("t_last"), F.col("dist").alias("t_dist"), F.col("open").alias("t_open"))
+        moved = active.where("to is not null").join(t, "to").select(
+            "group", "arc", F.col("t_to").alias("to"), F.col("t_last").alias("last"), (F.col("dist") + F.col("t_dist")).alias("dist"), (F.col("open") + F.col("t_open")).alias("open"), "size"
         )
-        new = scratch.cut(stepped, "arcs")
+        new = scratch.cut(moved.unionByName(active.where("to is null").select(names)), "arcs")
         scratch.free(active)
         reach *= 2
         ranked.append(new.where(F.col("size") * 2 <= reach))
-        if not new.where(F.col("size") * 2 > reach).limit(1).count():
+        active = new.where(F.col("size") * 2 > reach)
+        if not active.limit(1).count():
             break
-        active = scratch.cut(new.where(F.col("size") * 2 > reach), "arcs")
+        active = scratch.cut(active, "arcs")
     whole = ranked[0]
     for part in ranked[1:]:
         whole = whole.unionByName(part)
     even = F.pmod("arc", F.lit(2)) == 0
     place = F.col("size") * 2 - F.col("dist")
     return scratch.cut(
-        whole.groupBy(F.shiftright("arc", 1).alias("id"), "tour").agg(
+        whole.groupBy(F.shiftright("arc", 1).alias("id")).agg(
+            F.max(F.shiftright("last", 1)).alias("tour"),
             F.min(F.when(even, place)).alias("enter"),
             F.min(F.when(~even, place)).alias("exit"),
             F.min(F.when(even, -F.col("open"))).alias("depth"),
@@ -233,33 +238,30 @@ def _tours(links: DataFrame, state: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-def _assemble(links: DataFrame, state: DataFrame, tours: DataFrame, with_path: bool) -> DataFrame:
-    cyclic = "cycle_of" in state.columns
-    if not cyclic:
-        state = state.withColumns({"cycle_of": F.lit(None).cast("bigint"), "in_cycle": F.lit(None).cast("boolean")})
+def _assemble(links: DataFrame, cycles: DataFrame | None, tours: DataFrame) -> DataFrame:
+    free = F.lit(None)
+    rows = links.withColumns({"cycle_of": free.cast("bigint"), "in_cycle": F.lit(False)}) if cycles is None else links.join(cycles, "id", "left")
     inside = F.coalesce("in_cycle", F.lit(False))
-    owned = state.withColumn("owner", F.when(inside, F.col("cycle_of")).otherwise(F.col("id")))
-    out = owned.join(links, "id").join(tours.withColumnRenamed("id", "owner"), "owner", "left")
+    rows = rows.withColumn("owner", F.when(inside, F.col("cycle_of")).otherwise(F.col("id")))
+    out = split_join(rows, tours.withColumnRenamed("id", "owner"), ["owner"], "left")
     below = ((F.col("exit") - F.col("enter") + 1) / 2).cast("bigint") - 1
-    if cyclic:
-        lengths = state.where("in_cycle").groupBy("cycle_of").agg(F.count(F.lit(1)).alias("length"))
-        out = out.join(lengths, "cycle_of", "left")
+    if cycles is not None:
+        lengths = cycles.where("in_cycle").groupBy("cycle_of").agg(F.count(F.lit(1)).alias("length"))
+        out = split_join(out, lengths, ["cycle_of"], "left")
         below = F.when(inside, below + F.col("length") - 1).otherwise(below)
-    cols = [
+    tree = F.col("cycle_of").isNull()
+    return out.select(
         "id",
         "parent",
-        F.when(F.col("done"), F.col("jump")).otherwise(F.lit(-1)).cast("bigint").alias("root"),
-        F.when(F.col("done"), F.col("depth")).alias("depth"),
+        F.when(tree, F.col("tour")).otherwise(F.lit(-1)).cast("bigint").alias("root"),
+        F.when(tree, F.col("depth")).alias("depth"),
         inside.alias("in_cycle"),
-        (~F.col("done") & ~inside).alias("below_cycle"),
+        (~tree & ~inside).alias("below_cycle"),
         "tour",
         "enter",
         "exit",
         below.alias("n_descendants"),
-    ]
-    if with_path:
-        cols.append(F.when(F.col("done"), F.concat("above", F.array("id"))).alias("path"))
-    return out.select(cols)
+    )
 
 
 def order_violations(orders: DataFrame, order_col: str, list_col: str, tree: DataFrame) -> DataFrame:

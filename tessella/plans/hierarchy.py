@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.hierarchy import hierarchy, order_violations
+from tessella.operators.hierarchy import ancestors, hierarchy, order_violations
 from tessella.scratch import Scratch
 from tessella.sources.tables import table
 
@@ -91,13 +91,9 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
     The rows are as many as the depths of all nodes together.
     """
-    _, tree = _tree(spark, d, True)
-    return (
-        tree.where("path is not null")
-        .select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("level", "ancestor_id"))
-        .where("ancestor_id <> descendant_id")
-        .select("ancestor_id", "descendant_id", (F.col("depth") - F.col("level")).alias("distance"))
-    )
+    _, tree = _tree(spark, d, False)
+    pairs = ancestors(Scratch(spark).cut(tree.select("id", "tour", "enter", "exit", "depth"), "tree"))
+    return pairs.select(F.col("ancestor").alias("ancestor_id"), F.col("id").alias("descendant_id"), "distance")
 
 
 def p4_orders(spark: SparkSession, d: str) -> DataFrame:

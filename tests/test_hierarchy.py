@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-from tessella.operators.hierarchy import hierarchy, order_violations
+from pyspark.sql import functions as F
+
+from tessella.joins import hot_keys, split_join
+from tessella.operators.hierarchy import ancestors, hierarchy, order_violations
 from tessella.plans.hierarchy import declarations
 
 
@@ -99,3 +102,30 @@ def test_latest_run_holds_and_names_are_cleaned(spark):
         "decl_id bigint, repo string, module_name string, decl string, decl_kind string, parent_decl string, run_no int, extracted_at timestamp",
     )
     assert {r["decl_id"]: r["parent_id"] for r in declarations(rows).collect()} == {1: None, 2: 1, 3: None, 4: None}
+
+
+def test_star_with_hot_parent_and_cycle(spark, monkeypatch):
+    """Every key of more than 20 rows counts as hot: the splitting of joins changes nothing."""
+    monkeypatch.setattr("tessella.joins.HOT_ROWS", 20)
+    parent = {0: None, 1: 2, 2: 1, **{v: v % 3 for v in range(3, 120)}, 200: 150, 150: 7}
+    check(spark, parent)
+
+
+def test_ancestors_of_a_chain_and_a_star_come_once(spark, monkeypatch):
+    monkeypatch.setattr("tessella.operators.hierarchy.TOP", 2)
+    parent = {v: v - 1 if 0 < v < 40 else (0 if v else None) for v in range(70)}
+    tree = hierarchy(spark.createDataFrame(list(parent.items()), "id bigint, parent bigint"), "id", "parent")
+    got = sorted((r["id"], r["ancestor"], r["distance"]) for r in ancestors(tree).collect())
+    up = brute(parent)
+    assert got == sorted((v, a, k + 1) for v, above in up.items() for k, a in enumerate(above))
+
+
+def test_no_key_of_a_split_join_is_hot(spark, monkeypatch):
+    monkeypatch.setattr("tessella.joins.HOT_ROWS", 100)
+    big = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 == 1, None).otherwise(F.col("id")).alias("k"))
+    small = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x")).union(spark.createDataFrame([(7, 14)], "k bigint, x bigint"))
+    assert [r["k"] for r in hot_keys(big, ["k"]).collect()] == [7]
+    for how in ("inner", "left"):
+        got = split_join(big, small, ["k"], how)
+        want = big.join(small, ["k"], how)
+        assert sorted(map(str, got.select("id", "k", "x").collect())) == sorted(map(str, want.select("id", "k", "x").collect()))
