@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.joins import split_join
 from tessella.scratch import Scratch
 
 
@@ -48,7 +49,7 @@ def prefix_resolve(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return imports.join(hit, ["scope", "id", "name"], "left")
 
 
-def reachable(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Pairs (src, dst, dist) with dst reachable from src in one step or more; the shortest distance.
 
     From every node, or from ``roots`` (column src). On a cycle a node reaches
@@ -69,12 +70,14 @@ def reachable(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int
             new = scratch.cut(step.groupBy("src", "dst").agg(F.min("dist").alias("dist")).join(known, ["src", "dst"], "left_anti"), "reach")
             if not new.limit(1).count():
                 return known
-            known = scratch.cut(known.unionByName(new), "known")
+            more = scratch.cut(known.unionByName(new), "known")
+            scratch.free(known, new)
+            known = more
             reach *= 2
     e = e.select("src", "dst")
     found = scratch.cut(e.join(roots.select("src").distinct(), "src", "left_semi").withColumn("dist", F.lit(1)), "reach")
     frontier, parts, k = found, [found], 1
-    while k < max_rounds:
+    while True:
         k += 1
         step = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select(F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
         known = parts[0]
@@ -85,7 +88,9 @@ def reachable(edges: DataFrame, roots: DataFrame | None = None, max_rounds: int
             break
         parts.append(frontier)
         if len(parts) > 8:  # keep the union short
-            parts = [scratch.cut(known.unionByName(frontier), "reach")]
+            whole = scratch.cut(known.unionByName(frontier), "reach")
+            scratch.free(*parts[:-1])
+            parts = [whole]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -116,52 +121,154 @@ def fold_parents(refs: DataFrame, parents: DataFrame, known: DataFrame, hops: in
 def components(edges: DataFrame) -> DataFrame:
     """Strongly connected components: node and the least member of its component.
 
-    Nodes without an edge in or out of what is left are peeled off as
-    components of their own. Then each node takes the largest node that
-    reaches it (colour); within a colour, what reaches the colour's node is
-    its component. Repeated on the rest.
+    Nodes that no edge enters or leaves are peeled off as components of their
+    own. Nodes with a single way out are contracted into the first node on
+    that way that has several, by doubling, so chains and trees of any depth
+    take rounds in the logarithm of it; then the same against the arrows. In
+    what is left, where every node has two ways in and out, each node takes
+    the largest node that reaches it (colour), and within a colour what
+    reaches the colour's node is its component. Repeated on the rest.
     """
     scratch = Scratch(edges.sparkSession)
-    left = scratch.cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc")
-    nodes = scratch.cut(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct(), "nodes")
+    all_edges = scratch.cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct(), "scc")
+    nodes = scratch.cut(all_edges.select(F.col("src").alias("node")).union(all_edges.select("dst")).distinct(), "nodes")
+    found, undo = [], []
+    left = scratch.cut(all_edges.where("src <> dst"), "left")
+    n = left.count()
+    flip = lambda e: e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    while n:
+        before = n
+        for backward in (False, True):
+            out, forest, cycles = _contract(flip(left) if backward else left, scratch)
+            if cycles is not None:
+                found.append(cycles)
+            if forest is None:
+                continue
+            undo.append((forest, left, backward))
+            left = scratch.cut(flip(out) if backward else out, "left")
+        ends = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        ends = scratch.cut(ends, "core")
+        kept = left.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        left = scratch.cut(kept, "left")
+        n = left.count()
+        if n and n == before:
+            part = _coloured(left, ends, scratch)
+            found.append(part)
+            left = scratch.cut(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), "left")
+            n = left.count()
     groups = None
-    left = left.where("src <> dst")
+    for part in found:
+        groups = part if groups is None else groups.unionByName(part)
+    if groups is None:
+        groups = nodes.where("false").select("node", F.col("node").alias("component"))
+    groups = scratch.cut(groups, "groups")
+    for forest, was, backward in reversed(undo):
+        more = _joined(forest, flip(was) if backward else was, groups, scratch)
+        groups = scratch.cut(groups.unionByName(more), "groups")
+    least = groups.groupBy("component").agg(F.min("node").alias("least"))
+    groups = groups.join(least, "component").select("node", F.col("least").alias("component"))
+    return nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _contract(left: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges between nodes with several ways out or none, the contracted nodes with where they end, and cycles among them.
+
+    A node with a single way out goes where that leads: node, step (where its
+    edge leads) and jump (the first node of the other kind on its way).
+    """
+    ways = left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("ways"), F.min("dst").alias("step"))
+    single = scratch.cut(ways.where("ways = 1").select("node", "step"), "single")
+    if not single.limit(1).count():
+        return left, None, None
+    state = scratch.cut(single.select("node", F.col("step").alias("jump"), F.col("step").alias("low")), "jumps")
+    n_open, settled = state.count(), None
     while True:
-        while True:  # peel
-            core = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            core = scratch.cut(core, "core")
-            kept = left.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-            before = left.count()
-            left = scratch.cut(kept, "scc")
-            if left.count() == before:
-                break
-        if not left.limit(1).count():
+        to = state.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low"))
+        if settled is not None:
+            to = to.unionByName(settled.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low")))
+        new = scratch.cut(split_join(state, to, ["jump"], "left").select("node", F.coalesce("further", "jump").alias("jump"), F.least("low", "t_low").alias("low"), F.col("further").isNull().alias("there")), "jumps")
+        done = new.where("there").drop("there")
+        settled = done if settled is None else settled.unionByName(done)
+        scratch.free(state)
+        state = new.where("not there").drop("there")
+        n_now = state.count()
+        if not n_now or n_now == n_open:
             break
-        colour = scratch.cut(core.withColumn("colour", F.col("node")), "colour")
-        while True:
-            seen = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
-            new = scratch.cut(colour.join(seen, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.coalesce("c", F.col("colour")) > F.col("colour")).alias("moved")), "colour")
-            moved = new.where("moved").limit(1).count()
-            colour = new.select("node", "colour")
-            if not moved:
-                break
-        same = left.join(colour.withColumnsRenamed({"node": "src", "colour": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "cd"}), "dst").where("cs = cd")
-        inner = scratch.cut(same.select("src", "dst", F.col("cs").alias("colour")), "inner")
-        back = scratch.cut(colour.where("node = colour").select("node", "colour"), "back")
-        found = back
+        n_open = n_now
+    cycles = None
+    if n_now:  # what never ends goes round: members are what is jumped to once jumps stop losing nodes
+        stuck, size, lows = scratch.cut(state, "stuck"), -1, None
         while True:
-            step = inner.join(back.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(found, "node", "left_anti")
-            back = scratch.cut(step, "back")
-            if not back.limit(1).count():
+            core = stuck.select(F.col("jump").alias("node")).distinct()
+            now = tuple(core.join(stuck, "node").agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first())
+            if now == (size, lows):
                 break
-            found = scratch.cut(found.unionByName(back), "found")
-        low = found.groupBy("colour").agg(F.min("node").alias("component"))
-        part = scratch.cut(found.join(low, "colour").select("node", "component"), "part")
-        groups = part if groups is None else groups.unionByName(part)
-        left = scratch.cut(left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), "scc")
-    if groups is None:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            size, lows = now
+            to = stuck.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low"))
+            new = scratch.cut(split_join(stuck, to, ["jump"]).select("node", F.col("further").alias("jump"), F.least("low", "t_low").alias("low")), "stuck")
+            scratch.free(stuck)
+            stuck = new
+        cycles = scratch.cut(core.join(stuck, "node").select("node", F.col("low").alias("component")), "cycles")
+    ended = settled.select("node", "jump") if settled is not None else single.where("false").select("node", F.col("step").alias("jump"))
+    ended = scratch.cut(ended, "ended")
+    # nodes that run into a cycle reach nothing else; those on one are their component already
+    goes = ended.select(F.col("node").alias("dst"), F.col("jump").alias("to"), F.lit(True).alias("gone"))
+    gone = goes if not n_now else goes.unionByName(state.select(F.col("node").alias("dst"), F.lit(None).cast(dict(state.dtypes)["jump"]).alias("to"), F.lit(True).alias("gone")))
+    rest = left.join(single.select(F.col("node").alias("src")), "src", "left_anti")
+    moved = split_join(rest, gone, ["dst"], "left").select("src", F.when(F.col("gone"), F.col("to")).otherwise(F.col("dst")).alias("dst"))
+    return scratch.cut(moved.where("dst is not null and src <> dst").distinct(), "contracted"), scratch.cut(ended.join(single, "node"), "forest"), cycles
+
+
+def _joined(forest: DataFrame, was: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """Contracted nodes that belong to the component of where they end: those on a way from a member of it.
+
+    Also the node in which such a way begins and ends, if it had no component
+    yet. Marks move on along the single ways by doubling.
+    """
+    known = groups.select(F.col("node").alias("src"), F.col("component").alias("from"))
+    ends = groups.select(F.col("node").alias("jump"), F.col("component").alias("at"))
+    first = was.join(forest.select(F.col("node").alias("dst"), "jump"), "dst").join(forest.select(F.col("node").alias("src")), "src", "left_anti")
+    first = split_join(first.join(known, "src", "left"), ends, ["jump"], "left")
+    # a node outside of every component is one of its own
+    first = first.withColumns({"from": F.coalesce("from", "src"), "at": F.coalesce("at", "jump")}).where("from = at")
+    marks = scratch.cut(first.select(F.col("dst").alias("node"), F.col("at").alias("component")).distinct(), "marks")
+    hops = scratch.cut(forest.select("node", F.col("step").alias("hop")), "hops")
+    while marks.limit(1).count():
+        moved = marks.join(hops, "node").select(F.col("hop").alias("node"), "component").join(forest.select("node"), "node", "left_semi")
+        more = scratch.cut(marks.unionByName(moved).distinct(), "marks")
+        to = hops.select(F.col("node").alias("hop"), F.col("hop").alias("further"))
+        hops = scratch.cut(split_join(hops, to, ["hop"]).select("node", F.col("further").alias("hop")), "hops")
+        marks = more
+        if not hops.limit(1).count():
+            break
+    own = first.where(F.col("from") == F.col("src")).select(F.col("src").alias("node"), F.col("at").alias("component")).distinct().join(groups.select("node"), "node", "left_anti")
+    return scratch.cut(marks.unionByName(own), "joined")
+
+
+def _coloured(left: DataFrame, core: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of the colours' own nodes."""
+    colour = scratch.cut(core.withColumn("colour", F.col("node")), "colour")
+    while True:
+        seen = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
+        new = scratch.cut(colour.join(seen, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), (F.coalesce("c", F.col("colour")) > F.col("colour")).alias("moved")), "colour")
+        scratch.free(colour)
+        colour = new.select("node", "colour")
+        if not new.where("moved").limit(1).count():
+            break
+    same = left.join(colour.withColumnsRenamed({"node": "src", "colour": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "colour": "cd"}), "dst").where("cs = cd")
+    inner = scratch.cut(same.select("src", "dst", F.col("cs").alias("colour")), "inner")
+    back = scratch.cut(colour.where("node = colour").select("node", "colour"), "back")
+    found = back
+    while True:
+        step = inner.join(back.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct().join(found, "node", "left_anti")
+        back = scratch.cut(step, "back")
+        if not back.limit(1).count():
+            break
+        more = scratch.cut(found.unionByName(back), "found")
+        scratch.free(found)
+        found = more
+    low = found.groupBy("colour").agg(F.min("node").alias("component"))
+    return scratch.cut(found.join(low, "colour").select("node", "component"), "part")
 
 
 def kahn(n_nodes: list, edges: list[tuple]) -> tuple[list, int]:

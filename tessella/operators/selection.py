@@ -63,12 +63,35 @@ def greedy_fill(files: DataFrame, stream: str, key: str, size: str, order: str,
     return out.withColumnsRenamed({"stream": stream, "key": key, "size": size})
 
 
-def exact_dedup(files: DataFrame, text: str, order: list) -> DataFrame:
-    """One file per content, the first in the given order; null contents are left out."""
-    names = files.columns
+def exact_dedup(files: DataFrame, digest: str, order: list) -> DataFrame:
+    """One file per content, the first in the given order, with the number of its copies.
+
+    ``digest`` is a column with the hash of the content, so that no content is
+    shuffled; whoever wants it joins it to the kept files. Rows without a hash
+    are left out.
+    """
+    names = [c for c in files.columns if c != digest]
     first = F.min(F.struct(*order, *[c for c in names if c not in order]))
-    rows = files.where(F.col(text).isNotNull()).groupBy(F.sha1(text).alias("sha1")).agg(first.alias("r"), F.count(F.lit(1)).alias("copies"))
-    return rows.select("sha1", "copies", *[F.col(f"r.{c}").alias(c) for c in names])
+    rows = files.where(F.col(digest).isNotNull()).groupBy(digest).agg(first.alias("r"), F.count(F.lit(1)).alias("copies"))
+    return rows.select(digest, "copies", *[F.col(f"r.{c}").alias(c) for c in names])
+
+
+#: Lengths of the prefixes by which hashes are folded into one; a fold takes at most 16**3 parts beyond the first.
+DIGEST_LEVELS = (9, 6, 3, 0)
+
+
+def set_digest(rows: DataFrame, group: list[str], digest: str) -> DataFrame:
+    """One hash per group for its hex hashes, whatever their order; repeated ones count. Columns: ``group, digest``.
+
+    Hashes are folded by prefix, from long to short: each fold is the sha256
+    of what shares the prefix, in order. So no task ever holds all hashes of a
+    group.
+    """
+    level = rows.where(F.col(digest).isNotNull()).select(*group, F.col(digest).alias("p"), F.col(digest).alias("h"))
+    for n in DIGEST_LEVELS:
+        parts = level.select(*group, F.substring("p", 1, n).alias("q"), "p", "h").groupBy(*group, "q").agg(F.array_sort(F.collect_list(F.struct("p", "h"))).alias("x"))
+        level = parts.select(*group, F.col("q").alias("p"), F.sha2(F.array_join(F.transform("x", lambda y: y["h"]), ""), 256).alias("h"))
+    return level.select(*group, F.col("h").alias("digest"))
 
 
 def holdout(files: DataFrame, group: list[str], order: list) -> DataFrame:

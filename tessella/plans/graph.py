@@ -13,9 +13,9 @@ from tessella.sources.tables import table
 
 
 def _imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _files(spark, d).select("file_id", "repo", "rel", "ext", G.imports_of("text", "ext").alias("names"))
+    f = _files(spark, d, names=G.imports_of("text", "ext")).select("file_id", "repo", "rel", "ext", "names")
     # a module is named from any folder of its path on, so that short imports can meet it
-    tail = F.expr("transform(sequence(1, size(split(m, '[.]'))), k -> array_join(slice(split(m, '[.]'), k, 1000), '.'))")
+    tail = F.expr("transform(sequence(1, size(split(m, '[.]'))), k -> array_join(slice(split(m, '[.]'), k, size(split(m, '[.]'))), '.'))")
     modules = f.withColumn("m", G.module_of("rel")).select(F.col("repo").alias("scope"), F.explode(tail).alias("module"), "file_id").groupBy("scope", "module").agg(F.min("file_id").alias("module_id"))
     imports = f.select(F.col("repo").alias("scope"), F.col("file_id").alias("id"), F.explode("names").alias("name"))
     return imports, modules
@@ -115,11 +115,11 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _I = f"""{_F}, im AS (SELECT DISTINCT repo, file_id, unnest(CASE ext WHEN 'lean' THEN regexp_extract_all(text, '(?m)^import\\s+(?:all\\s+)?([\\w.«»'']+)', 1)
   WHEN 'py' THEN regexp_extract_all(text, '(?m)^(?:from|import)\\s+([\\w.]+)', 1) WHEN 'cc' THEN regexp_extract_all(text, '(?m)^#include\\s+"([^"]+)"', 1) ELSE [] END) AS name FROM f),
   mo AS (SELECT repo, file_id, regexp_replace(replace(regexp_replace(rel, '\\.[A-Za-z0-9]+$', ''), '/', '.'), '\\.__init__$', '') AS m FROM f),
-  mt AS (SELECT repo, array_to_string(list_slice(string_split(m, '.'), k, 1000), '.') AS module, min(file_id) AS module_id FROM mo, (SELECT unnest(range(1, 40)) AS k) WHERE k <= len(string_split(m, '.')) GROUP BY 1, 2),
-  pr AS (SELECT repo, file_id, name, k, array_to_string(list_slice(string_split(name, '.'), 1, k), '.') AS module FROM im, (SELECT unnest(range(1, 40)) AS k) WHERE k <= len(string_split(name, '.'))),
+  mk AS (SELECT *, unnest(range(1, len(string_split(m, '.')) + 1)) AS k FROM mo), mt AS (SELECT repo, array_to_string(list_slice(string_split(m, '.'), k, len(string_split(m, '.'))), '.') AS module, min(file_id) AS module_id FROM mk GROUP BY 1, 2),
+  pk AS (SELECT *, unnest(range(1, len(string_split(name, '.')) + 1)) AS k FROM im), pr AS (SELECT repo, file_id, name, k, array_to_string(list_slice(string_split(name, '.'), 1, k), '.') AS module FROM pk),
   hit AS (SELECT pr.repo, pr.file_id, pr.name, arg_max(module_id, k) AS module_id FROM pr JOIN mt ON pr.repo = mt.repo AND pr.module = mt.module GROUP BY 1, 2, 3)"""
 _BFS = f"""{_DECLS}, bfs AS (SELECT id AS src, parent AS dst, 1 AS dist FROM links WHERE parent IS NOT NULL UNION SELECT b.src, l.parent, b.dist + 1 FROM bfs b JOIN links l ON b.dst = l.id
-  WHERE l.parent IS NOT NULL AND b.dist < 400), best AS (SELECT src, dst, min(dist) AS dist FROM bfs GROUP BY src, dst)"""
+  WHERE l.parent IS NOT NULL AND b.dist < (SELECT max(n) FROM (SELECT count(*) AS n FROM last GROUP BY repo, module_name))), best AS (SELECT src, dst, min(dist) AS dist FROM bfs GROUP BY src, dst)"""
 
 ORACLE = {
     "import_edges": f"WITH {_I} SELECT im.repo, im.file_id, im.name, CASE WHEN module_id <> im.file_id THEN module_id END AS resolved_id FROM im LEFT JOIN hit ON im.repo = hit.repo AND im.file_id = hit.file_id AND im.name = hit.name",

@@ -129,7 +129,7 @@ def k2_local_prefix(spark, d):
 
 def pool_priority(spark, d):
     """Seeded shuffle of the deduplicated pool: the order is that of the hash."""
-    pool = selection.exact_dedup(_files(spark, d).select("repo", "rel", "file_id", "text"), "text", ["repo", "rel"])
+    pool = selection.exact_dedup(_files(spark, d, sha1=F.sha1("text")).select("repo", "rel", "file_id", "sha1"), "sha1", ["repo", "rel"])
     return pool.select("file_id", selection.priority(20260807, "sha1").alias("h"))
 
 

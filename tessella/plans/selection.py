@@ -15,12 +15,19 @@ CAP, BASE_CAP, CLEAN_FLOOR = 40_000, 15_000, 15_000
 VENDOR_SUBJECT = r"(?i)\b(vendor|port(ed|ing)?\b|import(ed)? from|copied|migrat(e|ed|ion)|upstream)\b"
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    """One row per file: path, language, bytes of the text with a final line feed, earliest date."""
-    f = table(spark, d, "source_files").where("text is not null and rel is not null")
-    one = f.groupBy("file_id", "repo", "rel").agg(F.min("text").alias("text"), F.min("add_date").alias("date"), F.max("provenance_flag").alias("flag"), F.min("first_commit").alias("first_commit"))
+def _files(spark: SparkSession, d: str, **of_text) -> DataFrame:
+    """One row per file: path, language, bytes of the text with a final line feed, earliest date.
+
+    ``of_text`` names further columns that are computed from text and ext. Of
+    several texts the one of least sha256 holds; texts themselves are never
+    shuffled, only what is computed from them.
+    """
+    f = table(spark, d, "source_files").where("text is not null and rel is not null").withColumn("ext", F.lower(F.regexp_extract("rel", r"\.([A-Za-z0-9]+)$", 1)))
     lf = F.when(F.col("text").endswith("\n"), 0).otherwise(1)
-    return one.withColumns({"bytes": (F.octet_length("text") + lf).cast("bigint"), "ext": F.lower(F.regexp_extract("rel", r"\.([A-Za-z0-9]+)$", 1)), "prio": S.priority(SELECT_SEED, "rel")})
+    held = F.struct(F.sha2("text", 256).alias("sha256"), (F.octet_length("text") + lf).cast("bigint").alias("bytes"), *[c.alias(n) for n, c in of_text.items()])
+    rows = f.select("file_id", "repo", "rel", "ext", "add_date", "provenance_flag", "first_commit", held.alias("t"))
+    one = rows.groupBy("file_id", "repo", "rel", "ext").agg(F.min_by("t", "t.sha256").alias("t"), F.min("add_date").alias("date"), F.max("provenance_flag").alias("flag"), F.min("first_commit").alias("first_commit"))
+    return one.select("file_id", "repo", "rel", "t.bytes", *[f"t.{n}" for n in of_text], "date", "flag", "first_commit", "ext").withColumn("prio", S.priority(SELECT_SEED, "rel"))
 
 
 def corpus_scan(spark, d):
@@ -55,7 +62,7 @@ def xl_nested_fill(spark, d):
 
 def stream_manifest_offsets(spark, d):
     """Spans of the files of each repo laid end to end in path order."""
-    return S.running_spans(_files(spark, d).drop("text"), ["repo"], ["rel", "file_id"], "bytes").select("repo", "file_id", "start", "end")
+    return S.running_spans(_files(spark, d), ["repo"], ["rel", "file_id"], "bytes").select("repo", "file_id", "start", "end")
 
 
 def manifest_contiguity(spark, d):
@@ -70,19 +77,19 @@ def manifest_contiguity(spark, d):
 def doc_set_hash(spark, d):
     """Hash of a set of files, whatever their order."""
     h = _files(spark, d).select("repo", F.sha2(F.concat_ws(":", F.col("file_id").cast("string"), "prio"), 256).alias("h"))
-    return h.groupBy("repo").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("set_sha256"))
+    return S.set_digest(h, ["repo"], "h").withColumnRenamed("digest", "set_sha256")
 
 
 def exact_dedup_pool(spark, d):
-    return S.exact_dedup(_files(spark, d).select("repo", "rel", "file_id", "text"), "text", ["repo", "rel"]).select("sha1", "copies", "file_id")
+    return S.exact_dedup(_files(spark, d, sha1=F.sha1("text")).select("repo", "rel", "file_id", "sha1"), "sha1", ["repo", "rel"]).select("sha1", "copies", "file_id")
 
 
 def holdout_split(spark, d):
-    return S.holdout(_files(spark, d).drop("text"), ["ext"], ["prio", "file_id"]).select("ext", "file_id", "position", "held_out")
+    return S.holdout(_files(spark, d), ["ext"], ["prio", "file_id"]).select("ext", "file_id", "position", "held_out")
 
 
 def stride_thinning(spark, d):
-    return S.stride_thin(_files(spark, d).drop("text"), ["ext"], ["prio", "file_id"], "bytes", 20_000).where("kept").select("ext", "file_id", "position", "step")
+    return S.stride_thin(_files(spark, d), ["ext"], ["prio", "file_id"], "bytes", 20_000).where("kept").select("ext", "file_id", "position", "step")
 
 
 def clean_leakage(spark, d):
@@ -196,7 +203,7 @@ stride_thinning clean_leakage byte_match_tolerance tercile_cutpoints tercile_ass
 tree_summary snapshot_diff eligibility_waterfall""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
-_F = f"""f AS (SELECT file_id, repo, rel, min(text) AS text, min(add_date) AS date, bool_or(provenance_flag) AS flag, cast(octet_length(encode(min(text))) + CASE WHEN min(text) LIKE '%' || chr(10) THEN 0 ELSE 1 END AS BIGINT) AS bytes,
+_F = f"""f AS (SELECT file_id, repo, rel, arg_min(text, sha256(text)) AS text, min(add_date) AS date, bool_or(provenance_flag) AS flag, cast(octet_length(encode(arg_min(text, sha256(text)))) + CASE WHEN arg_min(text, sha256(text)) LIKE '%' || chr(10) THEN 0 ELSE 1 END AS BIGINT) AS bytes,
   lower(regexp_extract(rel, '\\.([A-Za-z0-9]+)$', 1)) AS ext, sha256('{SELECT_SEED}:' || rel) AS prio FROM source_files WHERE text IS NOT NULL AND rel IS NOT NULL GROUP BY file_id, repo, rel)"""
 
 
@@ -236,7 +243,9 @@ ORACLE = {
     "xl_nested_fill": f"WITH RECURSIVE {_FB}, {_fold('a', 'fb', BASE_CAP)}, fx AS (SELECT f.*, coalesce(a.taken, false) AS base FROM f LEFT JOIN a ON a.file_id = f.file_id), {_fold('x', 'fx', CAP)} SELECT repo, file_id, bytes, cast(used AS BIGINT) AS used FROM x WHERE taken",
     "stream_manifest_offsets": f'WITH {_SPANS} SELECT repo, file_id, start, "end" FROM s',
     "manifest_contiguity": f'WITH {_SPANS}, g AS (SELECT *, start - coalesce(lag("end") OVER (PARTITION BY repo ORDER BY start, file_id), 0) AS gap FROM s) SELECT repo, count(*) AS docs, count(*) FILTER (WHERE gap <> 0) AS gaps, max("end") AS stream_bytes, count(*) - count(DISTINCT file_id) AS repeated_ids FROM g GROUP BY repo',
-    "doc_set_hash": f"WITH {_F}, h AS (SELECT repo, sha256(file_id || ':' || prio) AS h FROM f) SELECT repo, sha256(string_agg(h, '' ORDER BY h)) AS set_sha256 FROM h GROUP BY repo",
+    "doc_set_hash": f"WITH {_F}, h0 AS (SELECT repo, sha256(file_id || ':' || prio) AS h, sha256(file_id || ':' || prio) AS p FROM f), "
+    + ", ".join(f"h{i + 1} AS (SELECT repo, substr(p, 1, {n}) AS p, sha256(string_agg(h, '' ORDER BY p, h)) AS h FROM h{i} GROUP BY repo, substr(p, 1, {n}))" for i, n in enumerate(S.DIGEST_LEVELS))
+    + f" SELECT repo, h AS set_sha256 FROM h{len(S.DIGEST_LEVELS)}",
     "exact_dedup_pool": f"WITH {_F} SELECT sha1(text) AS sha1, count(*) AS copies, arg_min(file_id, {{'a': repo, 'b': rel, 'c': file_id}}) AS file_id FROM f GROUP BY sha1(text)",
     "holdout_split": f"WITH {_F}, n AS (SELECT ext, file_id, row_number() OVER (PARTITION BY ext ORDER BY prio, file_id) - 1 AS position FROM f) SELECT *, position % 10 = 7 AS held_out FROM n",
     "stride_thinning": f"""WITH {_F}, n AS (SELECT ext, file_id, bytes, prio, row_number() OVER (PARTITION BY ext ORDER BY prio, file_id) - 1 AS position, sum(bytes) OVER (PARTITION BY ext) AS total FROM f),

@@ -108,14 +108,34 @@ def components_of(n, edges):
     return {v: min(w for w in range(n) if w in reach[v] and v in reach[w]) for v in range(n)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_against_mutual_reachability(spark, seed):
+@pytest.mark.parametrize(("seed", "n", "ways"), [(1, 30, 45), (2, 30, 80), (3, 40, 40), (4, 25, 30)])
+def test_components_against_mutual_reachability(spark, seed, n, ways):
     rnd = random.Random(seed)
-    edges = {(rnd.randrange(30), rnd.randrange(30)) for _ in range(45)}
+    edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(ways)}
+    if seed == 3:  # one way out of each node, as in parent links
+        edges = {(v, rnd.choice([(v + 1) % n, rnd.randrange(n), max(0, v - 1)])) for v in range(n) if v % 9}
     df = spark.createDataFrame(sorted(edges), "src bigint, dst bigint")
-    want = components_of(30, edges)
-    for r in graph.components(df).collect():
-        assert r["component"] == want[r["node"]]
+    want = components_of(n, edges)
+    got = {r["node"]: r["component"] for r in graph.components(df).collect()}
+    assert got == {v: want[v] for e in edges for v in e}
+
+
+def test_components_of_long_ways_take_few_rounds(spark, monkeypatch):
+    n, rounds = 20_000, []
+    cut = graph.Scratch.cut
+    monkeypatch.setattr(graph.Scratch, "cut", lambda self, df, name="t": rounds.append(name) or cut(self, df, name))
+    ring = spark.range(n).select((F.col("id") + n).alias("src"), (n + (F.col("id") + 1) % n).alias("dst"))
+    chain = spark.range(n - 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    sizes = {r["component"]: r["count"] for r in graph.components(chain.union(ring)).groupBy("component").count().where("count > 1").collect()}
+    assert sizes == {n: n} and rounds.count("jumps") + rounds.count("stuck") < 60
+
+
+def test_digest_of_a_set_ignores_order_and_sees_repeats(spark):
+    hexes = [f"{i * 2654435761 % 16**8:08x}" * 8 for i in range(300)]
+    one = lambda rows: selection.set_digest(spark.createDataFrame(rows, "g string, h string"), ["g"], "h").collect()
+    a, b = one([("x", h) for h in hexes]), one([("x", h) for h in reversed(hexes)] + [("x", None)])
+    assert len(a) == 1 and a == b and one([("x", h) for h in hexes] + [("x", hexes[0])]) != a and one([("x", h) for h in hexes[1:]]) != a
+    assert one([("x", None)]) == []
 
 
 def test_reachability_ends_on_cycles(spark):
