@@ -67,9 +67,11 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, with_path: bool =
     return tree
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
+def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Pairs (id, ancestor, at, distance) of the nodes of trees, from the intervals; ``at`` is where the ancestor is entered.
 
+    Of all nodes, or of those in ``of`` (column id).
+
     The inside of an ancestor's interval is cut into blocks of 2**k positions,
     a node lies in one block of each size, and the two are joined by equality:
     each pair meets once, and no block holds more than 2**TOP nodes.
@@ -82,7 +84,10 @@ def ancestors(tree: DataFrame) -> DataFrame:
     whole = f"if({low_top} < {high_top}, transform(sequence({low_top}, {high_top} - 1), b -> struct({TOP} as k, b)), array())"
     blocks = F.expr(f"concat(flatten(transform(sequence(0, {TOP - 1}), k -> {end})), {whole})")
     up = inside.where("exit - enter > 1").select("tour", F.col("id").alias("ancestor"), F.col("enter").alias("at"), F.col("depth").alias("a_depth"), F.explode(blocks).alias("x")).select("tour", "ancestor", "at", "a_depth", "x.k", "x.b")
-    down = inside.where("depth > 0").select("tour", "id", "depth", F.explode(F.expr(f"transform(sequence(0, {TOP}), k -> struct(k, shiftright(enter, k) as b))")).alias("x")).select("tour", "id", "depth", "x.k", "x.b")
+    below = inside.where("depth > 0")
+    if of is not None:
+        below = below.join(of, "id", "left_semi")
+    down = below.select("tour", "id", "depth", F.explode(F.expr(f"transform(sequence(0, {TOP}), k -> struct(k, shiftright(enter, k) as b))")).alias("x")).select("tour", "id", "depth", "x.k", "x.b")
     return down.join(up, ["tour", "k", "b"]).select("id", "ancestor", "at", (F.col("depth") - F.col("a_depth")).alias("distance"))
 
 
