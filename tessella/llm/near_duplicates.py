@@ -31,15 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.joins import lookup_join
 from tessella.scratch import Scratch
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-#: A word is frequent if more than this share of the sets holds it.
-FREQUENT = 0.004
+#: A word is frequent if more than this share of the sets holds it. What counts as frequent changes the candidates, never the result.
+FREQUENT = 0.001
+#: Of these at most so many are told apart, the most frequent ones.
+MOST_FREQUENT = 100_000
+#: Rows of one signature that meet in one task; a larger block is joined block by block, spread over tasks.
+BLOCK = 2_000
 #: Segments per class, as a share of its largest size.
 CUT = 0.40
 #: Candidate ids are sent to all tasks up to this number, beyond it they are joined.
-SEND_IDS = 500_000
+SEND_IDS = 100_000
 #: Copies of one set that make it worth to keep one record of each first.
 HOT = 1_000
 
@@ -285,9 +290,21 @@ _MATCH = (
 )
 
 
-def _meet(rows: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, scratch: Scratch, most: float) -> DataFrame:
+    """Candidate pairs of the signatures; ``most`` bounds the rows of one signature."""
     # symmetric in form, so that both sides are the same exchange
-    return rows.alias("l").join(rows.alias("r"), F.expr(_MATCH)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    pairs = lambda x: x.alias("l").join(x.alias("r"), F.expr(_MATCH)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    if most <= BLOCK:
+        return pairs(rows)
+    rows = scratch.cut(rows, "signatures")
+    large = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k")).where("k > 1")
+    marked = lookup_join(rows, scratch.cut(large, "large"), ["key"])
+    inside = marked.where("k is not null").withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)
+    left = inside.withColumns({"x": F.col("own"), "y": F.explode(parts)}).alias("l")
+    right = inside.withColumns({"y": F.col("own"), "x": F.explode(parts)}).alias("r")
+    spread = left.join(right, F.expr("l.x = r.x and l.y = r.y and " + _MATCH)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return pairs(marked.where("k is null").select("key", "id", "bits", "meta")).unionByName(spread)
 
 
 def near_duplicates(records: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -308,15 +325,16 @@ def near_duplicates(records: DataFrame, id_col: str, text_col: str) -> tuple[Dat
     classes = scratch.cut(owners.groupBy("set_key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("members"), F.max("size").alias("size")), "classes")
     n_sets, most = classes.agg(F.count(F.lit(1)), F.max("members")).first()
     members = scratch.cut(owners.join(classes.select("set_key", "class_id"), "set_key").select("id", "class_id"), "members")
-    found = (
-        survey.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, FREQUENT * n_sets / 2)).collect()
-    )  # at most 2 / FREQUENT words per word of an average set
+    counted = survey.where("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, FREQUENT * n_sets / 2))
+    found = counted.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
     common = np.sort(np.array([(np.int64(r["h"]).view(np.uint64), r["n"]) for r in found], dtype=[("h", "<u8"), ("n", "<u8")]), order="h")
     sc = spark.sparkContext
     frequent = sc.broadcast(common)
     if most and most > HOT:
         base = base.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
-    pairs = scratch.cut(_meet(base.mapInArrow(_signatures(frequent), _SCHEMA)).distinct(), "pairs")
+    # a signature holds at least one rare word, and a set has at most two rows of one signature
+    most = 2 * (int(found[-1]["n"]) if len(found) == MOST_FREQUENT else max(3.0, FREQUENT * n_sets))
+    pairs = scratch.cut(_meet(base.mapInArrow(_signatures(frequent), _SCHEMA), scratch, most).distinct(), "pairs")
     pairs = _with_late(scratch, base, frequent, pairs)
     links = _verify(scratch, base, pairs)
     known = members.select("id", "class_id")
@@ -342,7 +360,7 @@ def _with_late(scratch: Scratch, base: DataFrame, frequent, pairs: DataFrame) ->
     few = probes.limit(SEND_IDS + 1).toPandas()["word"].to_numpy(np.int64)
     sought = base.sparkSession.sparkContext.broadcast(np.sort(few.view(np.uint64))) if len(few) <= SEND_IDS else None
     marked = base.join(late.withColumn("late", F.lit(True)), "id", "left").select("id", "text", "late")
-    return scratch.cut(met.union(_meet(marked.mapInArrow(_first_words(frequent, sought), _SCHEMA))).distinct(), "pairs")
+    return scratch.cut(met.union(_meet(marked.mapInArrow(_first_words(frequent, sought), _SCHEMA), scratch, float("inf"))).distinct(), "pairs")
 
 
 def _verify(scratch: Scratch, base: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -48,15 +48,18 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
 
+# texts without a word are alike only if equal
 _SETS = """
-w AS (SELECT DISTINCT unit_id, unnest(list_distinct(regexp_extract_all(payload, '[A-Za-z0-9_]+'))) AS w FROM units),
-n AS (SELECT unit_id, count(*) AS n, string_agg(w, ' ' ORDER BY w) AS s FROM w GROUP BY unit_id)
+w AS (SELECT DISTINCT unit_id, unnest(list_distinct(regexp_extract_all(payload, '[A-Za-z0-9_]+'))) AS w FROM units WHERE unit_id IS NOT NULL),
+n AS (SELECT unit_id, count(*) AS n, string_agg(w, ' ' ORDER BY w) AS s FROM w GROUP BY unit_id
+  UNION ALL SELECT DISTINCT unit_id, 0, chr(1) || payload FROM units WHERE unit_id IS NOT NULL AND payload IS NOT NULL AND NOT regexp_matches(payload, '[A-Za-z0-9_]'))
 """
 
 ORACLE = {
     "p2_found": f"WITH {_SETS} SELECT a.unit_id AS unit_id_a, b.unit_id AS unit_id_b FROM w a JOIN w b ON a.w = b.w AND a.unit_id < b.unit_id"
     " JOIN n na ON na.unit_id = a.unit_id JOIN n nb ON nb.unit_id = b.unit_id"
-    " GROUP BY a.unit_id, b.unit_id, na.n, nb.n HAVING 10 * count(*) >= 7 * (na.n + nb.n - count(*))",
+    " GROUP BY a.unit_id, b.unit_id, na.n, nb.n HAVING 10 * count(*) >= 7 * (na.n + nb.n - count(*))"
+    " UNION SELECT a.unit_id, b.unit_id FROM n a JOIN n b ON a.s = b.s AND a.n = 0 AND b.n = 0 AND a.unit_id < b.unit_id",
     "p2_classes": f"WITH {_SETS}, c AS (SELECT s, min(unit_id) AS class_id, min(n) AS n FROM n GROUP BY s),"
     " p AS (SELECT ca.class_id AS x, cb.class_id AS y FROM c ca JOIN w a ON a.unit_id = ca.class_id JOIN w b ON b.w = a.w JOIN c cb ON cb.class_id = b.unit_id"
     " WHERE ca.class_id <> cb.class_id GROUP BY ca.class_id, cb.class_id, ca.n, cb.n HAVING 10 * count(*) >= 7 * (ca.n + cb.n - count(*)))"

@@ -36,9 +36,11 @@ def corpus(seed, n=220):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "frequent"), [(1, 0.004), (2, 0.3), (3, 0.02)])
-def test_no_link_is_lost(spark, seed, frequent, monkeypatch):
+@pytest.mark.parametrize(("seed", "frequent", "most", "block"), [(1, 0.001, 100_000, 2_000), (2, 0.3, 100_000, 7), (3, 0.02, 5, 3)])
+def test_no_link_is_lost(spark, seed, frequent, most, block, monkeypatch):
     monkeypatch.setattr(nd, "FREQUENT", frequent)
+    monkeypatch.setattr(nd, "MOST_FREQUENT", most)
+    monkeypatch.setattr(nd, "BLOCK", block)
     texts = corpus(seed)
     sets = {i: words(t) for i, t in enumerate(texts)}
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").repartition(3)
