@@ -10,31 +10,32 @@ votes, shape and neighbouring words is trained; it decides on every
 candidate.
 
 Two gazetteers come from the corpus: surnames (words that follow a given
-name) and ordinary words (seen in lower case). Both are the most frequent
-GAZETTEER words of counts over all documents.
+name) and ordinary words (seen in lower case), from counts over all documents
+and without a limit to their number. They are files of sorted 64-bit hashes,
+eight bytes a word, which the workers of a machine map into memory together.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.scratch import Scratch
+from tessella.scratch import Scratch, write_bytes
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
-#: Words in each corpus gazetteer at most.
-GAZETTEER = 20_000
 #: Candidates the classifier is trained on at most.
 SAMPLE = 20_000
 DIMENSIONS = 1 << 14
@@ -114,7 +115,7 @@ ADDRESS = re.compile(
 ADDRESS_TAIL = re.compile(
     rf"(?:, (?:Apt\.?|Flat|Unit|Suite) ?\d+)?(?:, \dº ?[A-Z])?(?:,? (?:[A-Z]{{1,2}}-)?\d{{4,5}})?(?:(?:,|(?<=\d)) [{UP}][\w'-]+)?(?:,? (?:[A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}}|\d{{4,5}}))?"
 )
-ADDRESS_BEFORE = re.compile(r"(?:disks to|badge to|stays at|lives at|address:?|ship .{0,20} to|adresse d'envoi :|versand:|wohnt in|discos a|row: .{3,45},|deliver to|;|,)\s*$", re.I)
+ADDRESS_BEFORE = re.compile(r"(?:\b(?:to|at|from|near|opposite|visit|address:?)|adresse d'envoi :|versand:|wohnt in|discos a|row: .{3,45},|;|,)\s*$", re.I)
 ADDRESS_AFTER = re.compile(r"(?:\s*$|\s*[\n\r]|\s+please\b|,? (?:[A-Z]{1,2}-)?\d{4,5}\b|, (?:Apt|Flat|[" + UP + r"])|[.;)\"]|, \dº)")
 
 
@@ -132,14 +133,67 @@ def is_given(word: str) -> bool:
     return word in GIVEN or (len(word) > 2 and word in _GIVEN_UPPER)
 
 
-@dataclass
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class Words:
+    """A set of words as sorted hashes; what was asked lately is remembered."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = memoryview(hashes).cast("B").cast("Q") if len(hashes) else memoryview(b"").cast("Q")
+        self.asked: dict[str, bool] = {}
+
+    def __contains__(self, word: str) -> bool:
+        known = self.asked.get(word)
+        if known is None:
+            if len(self.asked) >= 50_000:
+                self.asked.clear()
+            h = _word_hash(word)
+            at = bisect_left(self.hashes, h)
+            known = self.asked[word] = at < len(self.hashes) and self.hashes[at] == h
+        return known
+
+
+#: Lists of a gazetteer file: surnames, surnames as in mail names, ordinary words.
+LISTS = ("surnames", "bare", "ordinary")
+
+
 class Gazetteers:
-    surnames: frozenset[str] = frozenset()
-    ordinary: frozenset[str] = frozenset()
-    bare: frozenset[str] = field(init=False)
+    """The word lists of a file that was sent to all executors; opened where they are first used."""
+
+    def __init__(self, name: str | None):
+        self.name = name
+        self._lists: dict[str, Words] | None = None
+
+    def __getstate__(self):
+        return self.name
+
+    def __setstate__(self, name):
+        self.__init__(name)
 
-    def __post_init__(self):
-        self.bare = frozenset(_bare(s) for s in self.surnames)
+    def _words(self, which: str) -> Words:
+        if self._lists is None:
+            if self.name is None:
+                parts = [np.empty(0, np.uint64)] * len(LISTS)
+            else:
+                data = np.memmap(SparkFiles.get(self.name), np.uint64, "r")
+                sizes = data[: len(LISTS)].astype(np.int64)
+                parts = np.split(data[len(LISTS) :], np.cumsum(sizes)[:-1])
+            self._lists = dict(zip(LISTS, map(Words, parts)))
+        return self._lists[which]
+
+    @property
+    def surnames(self) -> Words:
+        return self._words("surnames")
+
+    @property
+    def bare(self) -> Words:
+        return self._words("bare")
+
+    @property
+    def ordinary(self) -> Words:
+        return self._words("ordinary")
 
     def is_surname(self, word: str) -> bool:
         return all(p.capitalize() in self.surnames for p in re.split(r"[-’']", word))
@@ -186,7 +240,7 @@ def _phones(text: str) -> Iterator[Span]:
         bad = bool(NOT_PHONE.search(before[-30:]))
         yield Span(
             "phone", m.start(), m.end(),
-            (_sign(form and not other, not form or other), _sign(bool(PHONE_BEFORE.search(before)), bad), _sign(bool(PHONE_AFTER.match(after)), bool(NOT_PHONE_AFTER.match(after))), _sign(9 <= n <= 14, n < 9 or n > 14), -1 if bad else 0),
+            (_sign(form and not other, not form or other), _sign(bool(PHONE_BEFORE.search(before)), bad), _sign(bool(PHONE_AFTER.match(after)), bool(NOT_PHONE_AFTER.match(after))), _sign(9 <= n <= 14, n < 9 or n > 14), -1 if bad or ID_BARE.fullmatch(value) else 0),
         )
 
 
@@ -265,8 +319,13 @@ def candidates(text: str, g: Gazetteers) -> list[Span]:
     mails = list(_emails(text, g))
     out = [*mails, *_ids(text), *_phones(text), *_addresses(text, g)]
     locals_ = " ".join(_bare(text[m.start : m.end].split("@")[0]) for m in mails)
+    mails.sort(key=lambda m: m.start)
+    starts, ends = [m.start for m in mails], []
+    for m in mails:  # the farthest end of those so far
+        ends.append(max(m.end, ends[-1] if ends else 0))
     for s in _names(text, g, locals_):
-        if not any(m.start <= s.start < m.end for m in mails):
+        at = bisect_right(starts, s.start)
+        if not at or ends[at - 1] <= s.start:
             out.append(s)
     return out
 
@@ -286,12 +345,17 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[
     """Likelihood of a true case for each pattern of votes, by expectation-maximisation.
 
     Starts from the majority of votes; labelers are independent given the
-    truth, each with its own chance of every vote in either case.
+    truth, each with its own chance of every vote in either case. A pattern of
+    two or more votes on one side and none on the other isn't turned against
+    them: where nearly all candidates are true, or none, the estimate would
+    otherwise make up the missing case.
     """
     patterns = list(counts)
     votes = np.array(patterns)
     n = np.array([counts[p] for p in patterns], float)
     good = 1 / (1 + np.exp(-1.5 * votes.sum(1)))
+    least = np.where((votes.min(1) >= 0) & (votes.sum(1) >= 2), good, 0.0)
+    most = np.where((votes.max(1) <= 0) & (votes.sum(1) <= -2), good, 1.0)
     for _ in range(rounds):
         share = np.clip((n * good).sum() / n.sum(), 0.02, 0.98)
         score = np.full(len(patterns), np.log(share / (1 - share)))
@@ -304,7 +368,7 @@ def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 60) -> dict[
                 # a vote never counts against what it says
                 step = max(step, 0.0) if v > 0 else min(step, 0.0) if v < 0 else step
                 score[at] += step
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        new = np.clip(1 / (1 + np.exp(-np.clip(score, -30, 30))), least, most)
         if np.abs(new - good).max() < 1e-6:
             break
         good = new
@@ -356,7 +420,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 gap = text[last : m.start()]
                 for part in re.split(r"[-’']", word):
-                    if len(part) > 3:
+                    if len(part) > 1:
                         part = part.capitalize()
                         tally["seen", part] += 1
                         if given and (gap == " " or re.fullmatch(r" (?:[A-Z]\. ?){1,2}", gap)):
@@ -367,15 +431,37 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _list_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows list, hash of the words of the gazetteers."""
+    for batch in batches:
+        rows = []
+        for word, surname, ordinary in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if surname:
+                rows += [(0, _word_hash(word)), (1, _word_hash(_bare(word)))]
+            if ordinary:
+                rows.append((2, _word_hash(word)))
+        which, h = zip(*rows) if rows else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], names=["list", "h"])
+
+
 def gazetteers(texts: DataFrame) -> Gazetteers:
-    """From the counts of all texts (columns key, text)."""
+    """From the counts of all texts (columns key, text).
+
+    A surname follows a given name twice or more, and in a fifth of the places
+    where it is seen; an ordinary word stands in three texts in lower case.
+    """
+    spark = texts.sparkSession
+    scratch = Scratch(spark)
     rows = texts.mapInArrow(_count_words, "kind string, word string, n bigint")
     total = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k)
     counts = rows.groupBy("word").agg(total("lower"), total("seen"), total("after")).where("lower >= 3 or after >= 2")
-    words = Scratch(texts.sparkSession).cut(counts, "words")
-    sur = words.where("after >= 2 and after * 5 >= seen").orderBy(F.desc("after"), "word").limit(GAZETTEER).select("word").collect()
-    low = words.where("lower >= 3").orderBy(F.desc("lower"), "word").limit(GAZETTEER).select("word").collect()
-    return Gazetteers(frozenset(r["word"] for r in sur), frozenset(r["word"] for r in low))
+    chosen = counts.select("word", F.expr("after >= 2 and after * 5 >= seen").alias("surname"), F.expr("lower >= 3").alias("ordinary")).where("surname or ordinary")
+    hashes = chosen.mapInArrow(_list_hashes, "list int, h bigint").distinct().toPandas()  # twelve bytes a word, no texts
+    lists = [np.sort(hashes.loc[hashes["list"] == i, "h"].to_numpy(np.int64).view(np.uint64)) for i in range(len(LISTS))]
+    path = scratch.path("gazetteers") + ".bin"
+    write_bytes(spark, path, np.concatenate([np.array([len(x) for x in lists], np.uint64), *lists]).tobytes())
+    spark.sparkContext.addFile(path)
+    return Gazetteers(path.rsplit("/", 1)[1])
 
 
 #: A document's candidates: parallel lists, features flat with FEATURES each.
@@ -430,10 +516,14 @@ class Model:
 def settled(found: list[Span], scores: list[float]) -> list[Span]:
     """Spans with a positive score; of overlapping ones the likelier stays."""
     out: list[Span] = []
+    starts: list[int] = []  # of the accepted spans, which don't overlap
     for _, s in sorted(((c, s) for c, s in zip(scores, found) if c > 0), key=lambda x: (-x[0], x[1].start)):
-        if all(s.end <= o.start or s.start >= o.end for o in out):
-            out.append(s)
-    return sorted(out, key=lambda s: s.start)
+        at = bisect_left(starts, s.end)
+        if not at or out[at - 1].end <= s.start:
+            at = bisect_left(starts, s.start)
+            starts.insert(at, s.start)
+            out.insert(at, s)
+    return out
 
 
 def fitted(documents: DataFrame, key_col: str, text_col: str) -> tuple[Model, DataFrame]:

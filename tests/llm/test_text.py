@@ -8,6 +8,7 @@ from tessella.llm import encoding, personal_info
 from tessella.llm.lexicon import Lexicon, build
 from tessella.llm.mixing import mix
 from tessella.llm.source_origin import code_key, layout, origins, statements, tuned
+from tests.llm import planted
 
 ODD = ["", " ", "a", "it's I'll  two  spaces\n\n\ttab ", "naïve café ☕ 日本語 👩‍💻", "<|endoftext|> <|pad|>", "x" * 5000, "ab" * 3000 + "1" * 999, "\r\n\r\n a\u00a0b", "0123456789" * 40, "don't DON'T 's", "\x00\x01", "é" * 700]
 
@@ -290,6 +291,33 @@ def test_personal_data_is_found_and_masked(spark):
     assert masks[900] is None and masks[901] == "" and "Marta" not in masks[1] and masks[1].count("[PERSON_NAME]") == 5 and "The Brellovan lemma" in masks[1]
 
 
+def test_personal_data_in_other_wording(spark):
+    rows, truth = planted.documents(1500, 7)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {(r["doc_id"], r["kind"], r["start_char"]) for r in personal_info.find(df, "doc_id").collect()}
+    for kind, (n, recall, precision) in planted.score(got, truth).items():
+        assert n > 100 and precision >= 0.97 and recall >= (0.7 if "not listed" in kind else 0.97), (kind, recall, precision)
+
+
+def test_word_lists_have_no_limit_and_short_names(spark):
+    rows = [(i, f"Thanks to Anna {'Kim' if i % 2 else 'Lee'} and Paul Nam{i // 4:05d}a for it.".replace("0", "o").replace("1", "i")) for i in range(400)]
+    g = personal_info.gazetteers(spark.createDataFrame(rows, "key bigint, text string"))
+    assert g.is_surname("Kim") and g.is_surname("LEE") and not g.is_surname("Thanks") and "thanks" not in g.ordinary and "for" in g.ordinary and "kim" in g.bare
+    none = personal_info.Gazetteers(None)
+    assert "for" not in none.ordinary and not none.is_surname("Kim")
+
+
+def test_overlapping_spans_are_settled_by_score():
+    rnd = random.Random(6)
+    spans = [personal_info.Span("phone", a, a + rnd.randrange(1, 12), ()) for a in (rnd.randrange(500) for _ in range(200))]
+    scores = [rnd.uniform(-1, 3) for _ in spans]
+    want = []
+    for _, s in sorted(((c, s) for c, s in zip(scores, spans) if c > 0), key=lambda x: (-x[0], x[1].start)):
+        if all(s.end <= o.start or s.start >= o.end for o in want):
+            want.append(s)
+    assert personal_info.settled(spans, scores) == sorted(want, key=lambda s: s.start)
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert personal_info.find(df, "doc_id").count() == 0
