@@ -8,7 +8,10 @@ null result with the reason.
 from __future__ import annotations
 
 import ast
+import hashlib
 import io
+import json
+import keyword
 import re
 import tokenize
 from bisect import bisect_right
@@ -158,10 +161,37 @@ def lexical(records: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [r for r in records if r[0] not in ("NEWLINE", "INDENT", "DEDENT", "LAYOUT")]
 
 
-def renamed(records: list[tuple[str, str]], keywords: frozenset[str] = frozenset()) -> list[tuple[str, str]]:
-    """Identifiers that are no keywords replaced by the rank of their first appearance."""
+def renamed(records: list[tuple[str, str]], keywords: frozenset[str] = frozenset()) -> list[tuple[str, str | int]]:
+    """Identifiers that are no keywords replaced by ("IDRANK", rank of their first appearance)."""
     seen: dict[str, int] = {}
-    return [(k, str(seen.setdefault(v, len(seen)))) if k in ("NAME", "IDENT") and v not in keywords else (k, v) for k, v in records]
+    return [("IDRANK", seen.setdefault(v, len(seen))) if k in ("NAME", "IDENT") and v not in keywords else (k, v) for k, v in records]
+
+
+# Words of Lean that are no identifiers.
+LEAN_KEYWORDS = frozenset(
+    """abbrev axiom by calc class def deriving do else end example extends for from fun have if import in inductive infix infixl infixr instance lemma let macro match
+    mutual namespace nomatch notation opaque open postfix prefix private protected return section set_option show structure syntax then theorem universe variable where with""".split()
+)
+#: Lexical records in a gram.
+GRAM = 5
+
+
+def _json_sha256(value) -> str:
+    return hashlib.sha256(json.dumps(value, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def fingerprint(text: str, lang: str) -> dict:
+    """Numbers of records, hashes of the records as they are and with renamed identifiers, 64-bit hashes of the distinct grams.
+
+    Hashes are the sha256 of the compact JSON of [[kind, value], ...]; grams
+    are runs of GRAM lexical records, layout left out.
+    """
+    rows = python_records(text) if lang == "python" else lean_records(text)
+    lex = [json.dumps(r, ensure_ascii=False) for r in lexical(rows)]
+    runs = {"\0".join(lex[i : i + GRAM]) for i in range(len(lex) - GRAM + 1)}
+    grams = [int.from_bytes(hashlib.blake2b(r.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for r in runs]
+    keywords = frozenset(keyword.kwlist) if lang == "python" else LEAN_KEYWORDS
+    return {"n_records": len(rows), "n_lexical": len(lex), "verbatim": _json_sha256(rows), "normalized": _json_sha256(renamed(rows, keywords)), "grams": sorted(grams)}
 
 
 _LEAN_CLASS = {"IDENT": "word", "NUM": "literal", "STR": "literal", "CHAR": "literal", "OP": "symbol"}
@@ -296,6 +326,12 @@ def typed_records(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return _table(df, key, text, lang, kernel, {"pos": ("int", pa.int32()), "kind": ("string", pa.string()), "value": ("string", pa.string())})
 
 
+def fingerprint_table(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
+    """One row per text with its ``fingerprint``; a text that doesn't lex has the reason in ``error`` and nulls."""
+    spec = {"n_records": ("int", pa.int32()), "n_lexical": ("int", pa.int32()), "verbatim": ("string", pa.string()), "normalized": ("string", pa.string()), "grams": ("array<bigint>", pa.list_(pa.int64()))}
+    return _table(df, key, text, lang, lambda t, g: [fingerprint(t, g)], spec)
+
+
 def span_table(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     kernel = lambda t, g: ({"cls": c, "start": a, "end": b} for c, a, b in source_spans(t, "lean" if g == "lean" else "python"))
     return _table(df, key, text, lang, kernel, {"cls": ("string", pa.string()), "start": ("bigint", pa.int64()), "end": ("bigint", pa.int64())})

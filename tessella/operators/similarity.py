@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.joins import split_join
 from tessella.scratch import Scratch
 
 # Length of a gram, least number of records, the ratio 7/10 and the bins above it.
@@ -102,6 +103,18 @@ def member_pair(units: DataFrame, groups: DataFrame, scope: list[str], norm: str
     return rest.groupBy(*scope, norm).agg(F.max(F.col(f"f.{key}")).alias("left_id"), F.min(F.struct("rank_hash", key))[key].alias("right_id"))
 
 
+def adjacency(units: DataFrame, pairs: DataFrame, key: str, verb: str, norm: str) -> DataFrame:
+    """``a, b, reasons``: units that are verbatim twins, normalised twins or alike (``pairs`` a, b), in both directions.
+
+    Twins are linked to the first of their kind, which keeps a group of copies
+    linear. Null hashes are no twins.
+    """
+    hub = lambda c: units.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(key).alias("hub"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    star = lambda c: split_join(units.select(key, c), hub(c), [c]).where(F.col("hub") != F.col(key)).select(F.col("hub").alias("a"), F.col(key).alias("b"))
+    one = star(verb).unionByName(star(norm)).unionByName(pairs.select("a", "b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("reasons"))
+    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "reasons"))
+
+
 def bm25(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Scores of all (query, document) pairs with a term in common.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.plans import assembly, audits, curves, governance, graph, hierarchy, provenance, selection, similarity
+from tessella.plans import arms, assembly, audits, curves, governance, graph, hierarchy, provenance, selection, similarity
 
-_MODULES = (curves, selection, hierarchy, graph, similarity, governance, assembly, provenance, audits)
+_MODULES = (curves, selection, hierarchy, graph, similarity, governance, assembly, provenance, audits, arms)
 FLAGSHIP = curves.bin_table
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import lexers
 from tessella.operators import selection
 from tessella.operators import similarity as S
 from tessella.scratch import Scratch
@@ -74,11 +75,38 @@ def near_dup_adjacency(spark, d):
     Twins are linked to the first of their kind, which keeps a group of copies linear.
     """
     u = Scratch(spark).cut(_hashed(spark, d), "units")
-    star = lambda c, why: u.join(u.groupBy(c).agg(F.min("unit_id").alias("hub")), c).where("hub <> unit_id").select(F.col("hub").alias("a"), F.col("unit_id").alias("b"), F.lit(why).alias("reason"))
-    alike = jaccard_pairs(spark, d).select("a", "b", F.lit("jaccard").alias("reason"))
-    links = star("verb", "verbatim").unionByName(star("norm", "normalized")).unionByName(alike)
-    one = links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("reasons"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "reasons"))
+    return S.adjacency(u, jaccard_pairs(spark, d), "unit_id", "verb", "norm")
+
+
+def _typed(spark, d):
+    """Fingerprints of the units from the lexer of their language; those without a language are read as Lean."""
+    u = table(spark, d, "units").where("unit_id is not null and payload is not null").groupBy("unit_id").agg(F.min(F.struct("payload", "lang")).alias("r"))
+    return Scratch(spark).cut(lexers.fingerprint_table(u.select("unit_id", "r.payload", "r.lang"), "unit_id", "payload", "lang"), "typed")
+
+
+def typed_fingerprints(spark, d):
+    """Records, lexical records, verbatim and normalised hash of each unit, or why it doesn't lex."""
+    return _typed(spark, d).select("unit_id", "n_records", "n_lexical", "verbatim", "normalized", F.size(F.coalesce("grams", F.array().cast("array<bigint>"))).alias("n_grams"), "error")
+
+
+def _typed_pairs(typed):
+    return S.jaccard_pairs(typed.where(F.col("n_lexical") >= S.LEAST_RECORDS), "unit_id", "grams")
+
+
+def typed_jaccard_pairs(spark, d):
+    """Pairs of representatives of equal gram sets of typed records that are alike."""
+    return _typed_pairs(_typed(spark, d))
+
+
+def typed_collision_groups(spark, d):
+    """Normalised hashes of typed records shared by units with different verbatim hashes."""
+    return S.collisions(_typed(spark, d).where("error is null"), [], "normalized", "verbatim")
+
+
+def typed_adjacency(spark, d):
+    """Units that are verbatim twins, normalised twins or alike, by typed records."""
+    t = _typed(spark, d)
+    return S.adjacency(t, _typed_pairs(t), "unit_id", "verbatim", "normalized")
 
 
 def audit_pack_round_robin(spark, d):
@@ -135,7 +163,7 @@ def bm25_topk(spark, d):
 
 
 _NAMES = """lexical_records verbatim_hash normalized_hash five_grams jaccard_pairs gram_classes jaccard_bins collision_groups seeded_member_pair near_dup_adjacency audit_pack_round_robin
-jaccard_outcome collision_activation contamination_screen bm25_topk""".split()
+jaccard_outcome collision_activation contamination_screen bm25_topk typed_fingerprints typed_jaccard_pairs typed_collision_groups typed_adjacency""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _U = f"""p AS (SELECT unit_id, min({{'p': payload, 'r': repo, 'l': lang}}) AS r FROM units WHERE payload IS NOT NULL GROUP BY unit_id),
