@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.joins import split_join
+from tessella.joins import HOT_ROWS, split_join
 from tessella.scratch import Scratch
 
 # Length of a gram, least number of records, the ratio 7/10 and the bins above it.
@@ -127,11 +127,13 @@ def bm25(queries: DataFrame, postings: DataFrame, sizes: DataFrame, k1: float =
     n, avg = total["n"], total["avg"] or 1.0
     terms = queries.select("term").distinct()
     mine = postings.join(terms, "term", "left_semi")
-    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a term of many documents is cut into parts, to each of which its queries go
+    df = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("parts", F.ceil(F.col("df") / HOT_ROWS))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = queries.join(df, "term").withColumn("w", F.col("qtf") * idf)
+    weighted = queries.join(df, "term").withColumn("w", F.col("qtf") * idf).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts")
+    mine = split_join(mine, df.select("term", "parts"), ["term"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     norm = k1 * (1 - b + b * F.col("size") / avg)
-    hits = weighted.join(mine, "term").join(sizes, "id").where("id <> query")
+    hits = weighted.join(mine, ["term", "part"]).join(sizes, "id").where("id <> query")
     part = F.round(F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm), 9)
     return hits.groupBy("query", "id").agg(F.sum(part.cast("decimal(28,9)")).cast("double").alias("score"))
 
