@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many rows.
@@ -15,26 +15,27 @@ HOT_ROWS = 50_000
 HOT_KEYS = 1_000
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The hot keys of ``df``, at most HOT_KEYS rows, held by the driver; null keys aren't counted."""
+def hot_keys(df: DataFrame, keys: list[str]) -> list[Row]:
+    """The hot keys of ``df``, at most HOT_KEYS; null keys aren't counted."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS)
     top = counts.where(reduce(and_, [F.col(k).isNotNull() for k in keys])).orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys)
-    return df.sparkSession.createDataFrame(top.collect(), top.schema)
+    return top.collect()
 
 
-def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join a table to one in which ``keys`` are unique, where neither is small.
 
     Rows with a hot key meet the few entries of hot keys by broadcast, all
     others by a shuffle in which no key is hot. Null keys match nothing and
-    stay out of the shuffle. ``how`` is inner or left.
+    stay out of the shuffle. ``how`` is inner or left. Who knows the number of
+    rows of ``big`` gives it: too few for a hot key need no search for one.
     """
     known = big.where(reduce(and_, [F.col(k).isNotNull() for k in keys]))
-    hot = hot_keys(big.select(*keys), keys)
-    if hot.isEmpty():
+    hot = [] if rows is not None and rows <= HOT_ROWS else hot_keys(big.select(*keys), keys)
+    if not hot:
         out = known.join(small, keys, how)
     else:
-        few = F.broadcast(hot)
+        few = F.broadcast(big.sparkSession.createDataFrame(hot, big.select(*keys).schema))
         out = known.join(few, keys, "left_anti").join(small, keys, how)
         out = out.unionByName(known.join(few, keys, "left_semi").join(F.broadcast(small.join(few, keys, "left_semi")), keys, how))
     if how == "inner":

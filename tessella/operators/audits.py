@@ -96,3 +96,25 @@ def blind(pairs: DataFrame, a: str, b: str, role: str, seed: str) -> DataFrame:
         "roles",
         F.size("roles").alias("n_roles"),
     )
+
+
+def overlap_class(overlaps: DataFrame, key: list[str], cls: str, core: tuple[str, ...]) -> DataFrame:
+    """``key, class`` from the classes that a key overlaps: the one core class, ``mixed_core``, or ``comment_layout``, ``comment`` or ``layout``."""
+    kind = F.col(cls)
+    mine = F.when(kind.isin(*core), kind)
+    per = overlaps.groupBy(*key).agg(F.count_distinct(mine).alias("n"), F.max(mine).alias("one"), F.max(kind == "comment").alias("comment"), F.max(kind == "layout").alias("layout"))
+    rest = first_of([("mixed_core", F.col("n") > 1), ("comment_layout", F.col("comment") & F.col("layout")), ("comment", F.col("comment"))], "layout")
+    return per.select(*key, F.when(F.col("n") == 1, F.col("one")).otherwise(rest).alias("class"))
+
+
+def ledger(groups: DataFrame, key: list[str], start: str, size: str, body: str) -> DataFrame:
+    """Groups ``before``, ``inside`` and ``across`` the byte at which the body starts, and the bytes on either side."""
+    end = F.col(start) + F.col(size)
+    head = F.greatest(F.least(end, F.col(body)) - F.col(start), F.lit(0))
+    return groups.groupBy(*key).agg(
+        F.count_if(end <= F.col(body)).alias("before"),
+        F.count_if((end > F.col(body)) & (F.col(start) >= F.col(body))).alias("inside"),
+        F.count_if((end > F.col(body)) & (F.col(start) < F.col(body))).alias("across"),
+        F.sum(head).cast("bigint").alias("prefix_bytes"),
+        (F.sum(size) - F.sum(head)).cast("bigint").alias("body_bytes"),
+    )

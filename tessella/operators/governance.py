@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.curves import exact_sum
 from tessella.scratch import Scratch
 
 # T quantiles at 0.975 for 1 to 19 degrees of freedom.
@@ -72,17 +71,21 @@ def t_quantile(df: Column) -> Column:
     return F.when(inside, F.try_element_at(F.array(*map(F.lit, T_0975)), F.when(inside, df).otherwise(F.lit(1)).cast("int")))
 
 
-def t_quantile_any(df: Column) -> Column:
-    """t at 0.975 for any whole df from 1: the table, beyond it the expansion in 1 / df about the normal quantile (within 1e-6 there); null below 1."""
+def t_terms() -> tuple[float, ...]:
+    """Coefficients of 1 / df, 1 / df**2 and so on in the expansion of t at 0.975."""
     z = Z_0975
-    terms = (
+    return (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
-    beyond = F.lit(z)
-    for i, c in enumerate(terms, 1):
+
+
+def t_quantile_any(df: Column) -> Column:
+    """t at 0.975 for any whole df from 1: the table, beyond it the expansion in 1 / df about the normal quantile (within 1e-6 there); null below 1."""
+    beyond = F.lit(Z_0975)
+    for i, c in enumerate(t_terms(), 1):
         beyond = beyond + F.try_divide(F.lit(c), F.pow(df.cast("double"), F.lit(float(i))))
     return F.when(df > len(T_0975), beyond).otherwise(t_quantile(df))
 
@@ -198,5 +201,3 @@ def average_rank(rows: DataFrame, group: list[str], value: str) -> Column:
     w = Window.partitionBy(*group)
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math", "exact_sum")]

@@ -186,7 +186,7 @@ def _contract(left: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
         to = state.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low"))
         if settled is not None:
             to = to.unionByName(settled.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low")))
-        new = scratch.cut(split_join(state, to, ["jump"], "left").select("node", F.coalesce("further", "jump").alias("jump"), F.least("low", "t_low").alias("low"), F.col("further").isNull().alias("there")), "jumps")
+        new = scratch.cut(split_join(state, to, ["jump"], "left", n_open).select("node", F.coalesce("further", "jump").alias("jump"), F.least("low", "t_low").alias("low"), F.col("further").isNull().alias("there")), "jumps")
         done = new.where("there").drop("there")
         settled = done if settled is None else settled.unionByName(done)
         scratch.free(state)
@@ -205,7 +205,7 @@ def _contract(left: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
                 break
             size, lows = now
             to = stuck.select(F.col("node").alias("jump"), F.col("jump").alias("further"), F.col("low").alias("t_low"))
-            new = scratch.cut(split_join(stuck, to, ["jump"]).select("node", F.col("further").alias("jump"), F.least("low", "t_low").alias("low")), "stuck")
+            new = scratch.cut(split_join(stuck, to, ["jump"], rows=n_open).select("node", F.col("further").alias("jump"), F.least("low", "t_low").alias("low")), "stuck")
             scratch.free(stuck)
             stuck = new
         cycles = scratch.cut(core.join(stuck, "node").select("node", F.col("low").alias("component")), "cycles")
@@ -233,11 +233,12 @@ def _joined(forest: DataFrame, was: DataFrame, groups: DataFrame, scratch: Scrat
     first = first.withColumns({"from": F.coalesce("from", "src"), "at": F.coalesce("at", "jump")}).where("from = at")
     marks = scratch.cut(first.select(F.col("dst").alias("node"), F.col("at").alias("component")).distinct(), "marks")
     hops = scratch.cut(forest.select("node", F.col("step").alias("hop")), "hops")
+    n_hops = hops.count()
     while marks.limit(1).count():
         moved = marks.join(hops, "node").select(F.col("hop").alias("node"), "component").join(forest.select("node"), "node", "left_semi")
         more = scratch.cut(marks.unionByName(moved).distinct(), "marks")
         to = hops.select(F.col("node").alias("hop"), F.col("hop").alias("further"))
-        hops = scratch.cut(split_join(hops, to, ["hop"]).select("node", F.col("further").alias("hop")), "hops")
+        hops = scratch.cut(split_join(hops, to, ["hop"], rows=n_hops).select("node", F.col("further").alias("hop")), "hops")
         marks = more
         if not hops.limit(1).count():
             break

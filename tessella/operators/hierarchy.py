@@ -55,10 +55,11 @@ def hierarchy(nodes: DataFrame, id_col: str, parent_col: str, with_path: bool =
     base = nodes.select(F.col(id_col).cast("bigint").alias("id"), F.col(parent_col).cast("bigint").alias("parent")).where("id is not null")
     known = base.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     links = scratch.cut(split_join(base, known, ["parent"], "left").select("id", F.when(F.col("known"), F.col("parent")).alias("parent")), "links")
+    n = links.count()
 
     settled, cycles = _peel(links, scratch)
-    tours = _tours(links, settled, cycles, scratch)
-    tree = _assemble(links, cycles, tours)
+    tours = _tours(links, settled, cycles, scratch, n)
+    tree = _assemble(links, cycles, tours, n)
     if with_path:
         tree = scratch.cut(tree, "tree")
         up = ancestors(tree).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "ancestor"))).alias("up"))
@@ -91,10 +92,10 @@ def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return down.join(up, ["tour", "k", "b"]).select("id", "ancestor", "at", (F.col("depth") - F.col("a_depth")).alias("distance"))
 
 
-def _jumped(open_rows: DataFrame, targets: DataFrame) -> DataFrame:
+def _jumped(open_rows: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """The open rows of a round with what they find where they jump to."""
     to = targets.select(F.col("id").alias("jump"), F.col("jump").alias("further"), F.col("done"), F.col("low").alias("t_low"))
-    return split_join(open_rows.select("id", "jump", "low"), to, ["jump"]).select("id", F.col("further").alias("jump"), "done", F.least("low", "t_low").alias("low"))
+    return split_join(open_rows.select("id", "jump", "low"), to, ["jump"], rows=n).select("id", F.col("further").alias("jump"), "done", F.least("low", "t_low").alias("low"))
 
 
 def _peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -108,7 +109,7 @@ def _peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
     open_rows = scratch.cut(start.where("not done"), "open")
     n_open = open_rows.count()
     while n_open:
-        new = scratch.cut(_jumped(open_rows, open_rows.unionByName(settled)), "peel")
+        new = scratch.cut(_jumped(open_rows, open_rows.unionByName(settled), n_open), "peel")
         scratch.free(open_rows)
         open_rows = new.where("not done")
         settled = settled.unionByName(new.where("done"))
@@ -126,13 +127,13 @@ def _peel(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | No
         if (now[0], now[1]) == (size, lows):
             break
         size, lows = now
-        new = scratch.cut(_jumped(stuck, stuck), "stuck")
+        new = scratch.cut(_jumped(stuck, stuck, n_open), "stuck")
         scratch.free(stuck)
         stuck = new
     # jump is a cycle member; its low is the least member of that cycle
     core = scratch.cut(stuck.select(F.col("jump").alias("id")).distinct().join(stuck, "id").select(F.col("id").alias("jump"), F.col("low").alias("cycle_of")), "core")
     inside = core.select(F.col("jump").alias("id"), F.lit(True).alias("in_cycle"))
-    marked = split_join(stuck.select("id", "jump"), core, ["jump"]).join(inside, "id", "left")
+    marked = split_join(stuck.select("id", "jump"), core, ["jump"], rows=n_open).join(inside, "id", "left")
     return settled.select("id", "jump"), scratch.cut(marked.select("id", "cycle_of", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle")), "cycles")
 
 
@@ -163,14 +164,14 @@ def _rows(ids, ups, nxt, first: bool, last: bool) -> pa.RecordBatch:
     )
 
 
-def _tours(links: DataFrame, settled: DataFrame, cycles: DataFrame | None, scratch: Scratch) -> DataFrame:
+def _tours(links: DataFrame, settled: DataFrame, cycles: DataFrame | None, scratch: Scratch, n: int) -> DataFrame:
     """id, tour, enter, exit, depth of each node that is its own tour node; ``tour`` is the node whose exit ends the list."""
     spark = links.sparkSession
     # group tells the lists apart, so that a finished one leaves the ranking as a whole
     tree = links.join(settled, "id").select("id", F.col("parent").alias("up"), F.col("jump").alias("group"))
     if cycles is not None:
         above = cycles.select(F.col("id").alias("parent"), F.when(F.col("in_cycle"), F.col("cycle_of")).alias("merged"))
-        caught = split_join(links.join(cycles, "id").where("not in_cycle or id = cycle_of"), above, ["parent"], "left")
+        caught = split_join(links.join(cycles, "id").where("not in_cycle or id = cycle_of"), above, ["parent"], "left", n)
         up = F.when(~F.col("in_cycle"), F.coalesce("merged", "parent"))
         tree = tree.unionByName(caught.select("id", up.alias("up"), F.col("cycle_of").alias("group")))
     tree = scratch.cut(tree, "tree")
@@ -210,7 +211,7 @@ def _tours(links: DataFrame, settled: DataFrame, cycles: DataFrame | None, scrat
             )
         ).alias("a"),
     ).select("group", "a.arc", F.col("a.to").alias("to"), F.coalesce("a.to", "a.arc").alias("last"), F.lit(1).cast("bigint").alias("dist"), F.col("a.w").cast("bigint").alias("open"))
-    active = scratch.cut(split_join(arcs, sizes, ["group"]), "arcs")
+    active = scratch.cut(split_join(arcs, sizes, ["group"], rows=2 * n), "arcs")
     names = ["group", "arc", "to", "last", "dist", "open", "size"]
     ranked, reach = [], 1
     while True:
@@ -243,16 +244,16 @@ def _tours(links: DataFrame, settled: DataFrame, cycles: DataFrame | None, scrat
     )
 
 
-def _assemble(links: DataFrame, cycles: DataFrame | None, tours: DataFrame) -> DataFrame:
+def _assemble(links: DataFrame, cycles: DataFrame | None, tours: DataFrame, n: int) -> DataFrame:
     free = F.lit(None)
     rows = links.withColumns({"cycle_of": free.cast("bigint"), "in_cycle": F.lit(False)}) if cycles is None else links.join(cycles, "id", "left")
     inside = F.coalesce("in_cycle", F.lit(False))
     rows = rows.withColumn("owner", F.when(inside, F.col("cycle_of")).otherwise(F.col("id")))
-    out = split_join(rows, tours.withColumnRenamed("id", "owner"), ["owner"], "left")
+    out = split_join(rows, tours.withColumnRenamed("id", "owner"), ["owner"], "left", n)
     below = ((F.col("exit") - F.col("enter") + 1) / 2).cast("bigint") - 1
     if cycles is not None:
         lengths = cycles.where("in_cycle").groupBy("cycle_of").agg(F.count(F.lit(1)).alias("length"))
-        out = split_join(out, lengths, ["cycle_of"], "left")
+        out = split_join(out, lengths, ["cycle_of"], "left", n)
         below = F.when(inside, below + F.col("length") - 1).otherwise(below)
     tree = F.col("cycle_of").isNull()
     return out.select(

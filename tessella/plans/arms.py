@@ -69,6 +69,21 @@ def arm_universe(spark, d):
     )
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 of each target's words against every unit that shares one, statistics over all units."""
+    words = _units(spark, d).select("unit", F.explode("words").alias("term"))
+    posts = Scratch(spark).cut(words.select(F.col("unit").alias("id"), "term", F.lit(1).alias("tf")), "postings")
+    wanted = posts.where("id % 50 = 0").select(F.col("id").alias("query"), "term", F.col("tf").alias("qtf"))
+    return similarity.bm25(wanted, posts, posts.groupBy("id").agg(F.sum("tf").alias("size"))).select(F.col("query").alias("target"), F.col("id").alias("unit"), "score")
+
+
+def ranked_arm(spark, d):
+    """The universe of each target by ascending score: the best unit stands last, nearest to the target."""
+    shown = _marked(spark, d).where(_SHOWN).select("target", "unit")
+    scored = shown.join(_scores(spark, d), ["target", "unit"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return A.ranked_order(scored).select("target", "unit", "position")
+
+
 def _arms(spark: SparkSession, d: str) -> DataFrame:
     """arm, seed, target, unit, size and place, the nearest to the target first."""
     m = _marked(spark, d)
@@ -78,11 +93,7 @@ def _arms(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("int").alias("seed")
     k4 = m.where("hops is not null").select(F.lit("k4").alias("arm"), none, "target", "unit", "size", "hops").withColumn("place", place("hops", "unit"))
     k5 = shown.where("hops is null").select(F.lit("k5").alias("arm"), F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"), "target", "unit", "size").withColumn("place", place(priority("k5", "seed", "target", "unit"), "unit"))
-    words = _units(spark, d).select("unit", F.explode("words").alias("term"))
-    posts = Scratch(spark).cut(words.select(F.col("unit").alias("id"), "term", F.lit(1).alias("tf")), "postings")
-    wanted = posts.where("id % 50 = 0").select(F.col("id").alias("query"), "term", F.col("tf").alias("qtf"))
-    scores = similarity.bm25(wanted, posts, posts.groupBy("id").agg(F.sum("tf").alias("size"))).select(F.col("query").alias("target"), F.col("id").alias("unit"), "score")
-    k6 = shown.join(scores, ["target", "unit"], "left").select(F.lit("k6").alias("arm"), none, "target", "unit", "size", F.coalesce("score", F.lit(0.0)).alias("score")).withColumn("place", place(F.desc("score"), priority("k6tie", "target", "unit"), "unit"))
+    k6 = shown.join(_scores(spark, d), ["target", "unit"], "left").select(F.lit("k6").alias("arm"), none, "target", "unit", "size", F.coalesce("score", F.lit(0.0)).alias("score")).withColumn("place", place(F.desc("score"), priority("k6tie", "target", "unit"), "unit"))
     return k4.select(*base, "place").unionByName(k5.select(*base, "place")).unionByName(k6.select(*base, "place"))
 
 
@@ -103,7 +114,7 @@ def arm_budgets(spark, d):
     )
 
 
-QUERIES = {"unit_references": unit_references, "arm_universe": arm_universe, "arm_members": arm_members, "arm_budgets": arm_budgets}
+QUERIES = {"ranked_arm": ranked_arm, "unit_references": unit_references, "arm_universe": arm_universe, "arm_members": arm_members, "arm_budgets": arm_budgets}
 
 _E = f"""{_SETS}, au AS (SELECT unit_id AS unit, min(repo) AS repo, min(relpath) AS path, min(json_extract_string(identity, '$[1]')) AS name, cast(min(octet_length(encode(regexp_replace(payload, chr(10) || '+$', '') || chr(10)))) AS BIGINT) AS size,
     min(list_sort(list_distinct(regexp_extract_all(payload, '[A-Za-z_][A-Za-z0-9_]*')))) AS words FROM units WHERE unit_id IS NOT NULL AND payload IS NOT NULL AND repo IS NOT NULL GROUP BY unit_id),
@@ -126,6 +137,7 @@ ORACLE = {
     "unit_references": f"WITH {_E} SELECT src, dst FROM ae",
     "arm_universe": f"""WITH RECURSIVE {_A} SELECT target, count(*) AS all_units, count(*) FILTER (WHERE same_file) AS same_file, count(*) FILTER (WHERE near) AS near, count(*) FILTER (WHERE dependent) AS dependents,
       count(*) FILTER (WHERE NOT (same_file OR dependent OR near)) AS universe, count(*) FILTER (WHERE hops IS NOT NULL) AS closure, count(*) FILTER (WHERE NOT (same_file OR dependent OR near) AND hops IS NULL) AS pool FROM am GROUP BY target""",
+    "ranked_arm": f"WITH RECURSIVE {_ARMS} SELECT sh.target, sh.unit, cast(row_number() OVER (PARTITION BY sh.target ORDER BY coalesce(score, 0), sha256('k6tie:' || sh.target || ':' || sh.unit) DESC, sh.unit) AS INT) AS position FROM sh LEFT JOIN sc ON sc.target = sh.target AND sc.unit = sh.unit",
     "arm_members": f"WITH RECURSIVE {_ARMS} SELECT arm, seed, target, unit, cast(place AS INT) AS place FROM ar WHERE place <= 20",
     "arm_budgets": f"""WITH RECURSIVE {_ARMS}, b AS (SELECT ar.*, budget, sum(size) OVER (PARTITION BY arm, seed, target, budget ORDER BY place ROWS UNBOUNDED PRECEDING) AS upto FROM ar, (VALUES {", ".join(f"({b})" for b in A.BUDGETS)}) v(budget)),
       c AS (SELECT *, greatest(least(budget - (upto - size), size), 0) AS inside FROM b)

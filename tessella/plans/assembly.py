@@ -49,11 +49,6 @@ def random_arm(spark, d):
     return A.nearest_random(_pool(spark, d), 0, 50).select("target", "unit", "nearest")
 
 
-def ranked_arm(spark, d):
-    """Order by a score (size modulo 7), best last."""
-    return A.ranked_order(_pool(spark, d).withColumn("score", F.pmod("size", F.lit(7)))).select("target", "unit", "score", "position")
-
-
 def removed_mass(spark, d):
     """What is left out of each target's pool and why: same file, or same size."""
     u = Scratch(spark).cut(_units(spark, d).where("repo is not null").select(F.col("unit_id").alias("unit"), "repo", "relpath", F.octet_length("payload").cast("bigint").alias("size")), "pool")
@@ -153,7 +148,7 @@ def masked_families(spark, d):
     return o.select("repo", "arm", scalars.masked_id("fam", b"salt", "mask", "repo", "arm").alias("family"))
 
 
-_NAMES = """payload_normalization rendered_chunks identity_keys random_arm ranked_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets lean_declarations generated_bodies assembled_cells iso_stamps
+_NAMES = """payload_normalization rendered_chunks identity_keys random_arm removed_mass cell_grid empty_arms typed_records source_spans span_conservation python_targets lean_declarations generated_bodies assembled_cells iso_stamps
 path_guards masked_families""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -168,7 +163,6 @@ ORACLE = {
       s AS (SELECT *, cast(sum(size) OVER (PARTITION BY scope ORDER BY relpath, unit_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM c) SELECT scope, unit_id, e - size AS start, e AS "end" FROM s""",
     "identity_keys": r"""WITH c AS (SELECT unit_id, regexp_replace(identity, '("(?:[^"\\]|\\.)*")|\s+', '\1', 'g') AS i FROM units) SELECT unit_id, min(i) AS identity, count(DISTINCT i) AS spellings FROM c GROUP BY unit_id""",
     "random_arm": f"WITH {_POOL}, o AS (SELECT target, unit, row_number() OVER (PARTITION BY target ORDER BY sha256('k5:0:' || target || ':' || unit), unit) AS nearest FROM pl) SELECT target, unit, cast(nearest AS INT) AS nearest FROM o WHERE nearest <= 50",
-    "ranked_arm": f"WITH {_POOL} SELECT target, unit, size % 7 AS score, cast(row_number() OVER (PARTITION BY target ORDER BY size % 7, sha256('k6tie:' || target || ':' || unit) DESC, unit) AS INT) AS position FROM pl",
     "removed_mass": f"""WITH {_U}, w AS (SELECT unit_id AS unit, repo, relpath, octet_length(encode(payload)) AS size FROM u WHERE repo IS NOT NULL), q AS (SELECT t.unit AS target, w.unit, w.size, w.relpath = t.relpath AS f, w.size = t.size AS z FROM w t JOIN w ON t.repo = w.repo AND t.unit % 50 = 0 AND w.unit <> t.unit)
       SELECT 'same_file' AS reason, count(*) AS pairs, cast(sum(size) AS BIGINT) AS bytes, count(*) FILTER (WHERE f AND z) AS shared FROM q WHERE f HAVING count(*) > 0 UNION ALL SELECT 'same_size', count(*), cast(sum(size) AS BIGINT), count(*) FILTER (WHERE f AND z) FROM q WHERE z HAVING count(*) > 0""",
     "cell_grid": """WITH t AS (SELECT count(DISTINCT target_id) AS n FROM assembly_orders), a(arm, cells, budgets) AS (VALUES ('k1', 1, 0), ('k2', 3, 3), ('k3', 3, 3), ('k4', 3, 3), ('k6', 3, 3), ('k7', 3, 3), ('k4x', 3, 3), ('k3s', 3, 3), ('k4s', 3, 3), ('k5', 9, 3))

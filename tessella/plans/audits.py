@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import audits as A
-from tessella.operators import graph, hierarchy, selection, similarity
+from tessella.operators import graph, hierarchy, selection, similarity, spans
 from tessella.operators.prefix import running
 from tessella.plans.curves import CUTOFFS, _G, _groups, _pairs, _tokens
 from tessella.plans.curves import _PAIRS as _PHASES
 from tessella.plans.governance import ORACLE as _GOVERNANCE
-from tessella.plans.governance import smallest_n
+from tessella.plans.governance import _SRC, smallest_n, span_overlap_attribution
 from tessella.plans.hierarchy import _DECLS, _orders, _tree, declarations
 from tessella.plans.selection import _F, _files
 from tessella.plans.similarity import _COL, _SETS, _hashed
@@ -28,6 +28,7 @@ VOCABULARY = 50_000
 ROOTS, EXCLUDED, ENDINGS = ("src", "lib", "tools"), ("tests", "vendor", "third_party"), ("py", "lean")
 PHASES = (0, 100, 1_000, 10_000)
 COPIES = 8
+WINDOW_TOKENS = 64
 
 
 def _r(c, n=6):
@@ -87,6 +88,25 @@ def order_ablation_sets(spark, d):
     return out.withColumn("equal", (F.col("only_topo") == 0) & (F.col("only_shuffled") == 0))
 
 
+def model_class(spark, d):
+    """Class of each group from the classes of source that it overlaps: its one core class, mixed_core, or what of comment and layout there is."""
+    o = span_overlap_attribution(spark, d).where("bytes > 0")
+    return A.overlap_class(o, ["cell_name", "win", "grp"], "cls", ("word", "literal", "symbol"))
+
+
+def body_ledger(spark, d):
+    """Groups of each window before, in and across the start of the body, here the middle byte; bytes are conserved."""
+    g = _groups(spark, d).select("cell_name", "win", F.col("ctxb").cast("bigint").alias("start"), "blen")
+    g = g.withColumn("body", F.expr("(min(start) over (partition by cell_name, win) + max(start + blen) over (partition by cell_name, win)) div 2"))
+    return A.ledger(g, ["cell_name", "win"], "start", "blen", "body")
+
+
+def group_windows(spark, d):
+    """Windows of 64 tokens over each cell's stream that never split a group."""
+    t = _tokens(spark, d).select("cell_name", F.xxhash64("win", "grp").alias("g"), F.struct("win", "grp").alias("at"))
+    return spans.group_windows(t, "cell_name", "at", "g", WINDOW_TOKENS)
+
+
 # ---- sizes, locks and inventories
 
 
@@ -311,7 +331,7 @@ def blind_roles(spark, d):
     return A.blind(h, "a", "b", "role", "blind:v1").select("pair_id", F.explode("roles").alias("role"))
 
 
-_NAMES = """context_bytes phase_snap causality_partition perturbed_tokens delta_profile duplicate_control order_ablation_sets stream_minimum recorded_bytes optional_streams lock_rule raw_inventory
+_NAMES = """context_bytes phase_snap causality_partition perturbed_tokens delta_profile duplicate_control order_ablation_sets model_class body_ledger group_windows stream_minimum recorded_bytes optional_streams lock_rule raw_inventory
 viability collector_audit cell_done binding_ordinals span_ids identity_coverage identity_drift span_revalidation chain_binding closure_match foreign_declarations external_resolution coverage_means
 renderability_totals repo_n pair_bounds blind_pairs blind_roles""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -343,6 +363,15 @@ ORACLE = {
     "order_ablation_sets": """WITH m AS (SELECT DISTINCT cell_name, model_name, corpus, stream_kind FROM cells_meta WHERE stream_kind IN ('full_topo', 'full_shuffled')),
       x AS (SELECT model_name, corpus, doc, bool_or(stream_kind = 'full_topo') AS t, bool_or(stream_kind = 'full_shuffled') AS s FROM token_dump JOIN m USING (cell_name) WHERE doc >= 0 GROUP BY ALL),
       o AS (SELECT model_name, corpus, count(*) AS docs, count(*) FILTER (WHERE t AND NOT s) AS only_topo, count(*) FILTER (WHERE s AND NOT t) AS only_shuffled FROM x GROUP BY ALL) SELECT *, only_topo = 0 AND only_shuffled = 0 AS equal FROM o""",
+    "model_class": f"""WITH {_SRC}, oc AS (SELECT cell_name, win, grp, count(DISTINCT cls) FILTER (WHERE cls IN ('word', 'literal', 'symbol')) AS n, max(cls) FILTER (WHERE cls IN ('word', 'literal', 'symbol')) AS c, bool_or(cls = 'comment') AS k, bool_or(cls = 'layout') AS l FROM ov WHERE bytes > 0 GROUP BY cell_name, win, grp)
+      SELECT cell_name, win, grp, CASE WHEN n = 1 THEN c WHEN n > 1 THEN 'mixed_core' WHEN k AND l THEN 'comment_layout' WHEN k THEN 'comment' ELSE 'layout' END AS class FROM oc""",
+    "body_ledger": f"""WITH {_G}, b AS (SELECT cell_name, win, ctxb AS s, ctxb + blen AS e, blen, (min(ctxb) OVER w + max(ctxb + blen) OVER w) // 2 AS body FROM g WINDOW w AS (PARTITION BY cell_name, win))
+      SELECT cell_name, win, count(*) FILTER (WHERE e <= body) AS before, count(*) FILTER (WHERE e > body AND s >= body) AS inside, count(*) FILTER (WHERE e > body AND s < body) AS across, cast(sum(greatest(least(e, body) - s, 0)) AS BIGINT) AS prefix_bytes,
+        cast(sum(blen) - sum(greatest(least(e, body) - s, 0)) AS BIGINT) AS body_bytes FROM b GROUP BY cell_name, win""",
+    "group_windows": f"""WITH RECURSIVE {_G}, st AS (SELECT cell_name, cast(sum(n_tokens) OVER w - n_tokens AS BIGINT) AS o, cast(sum(n_tokens) OVER (PARTITION BY cell_name) AS BIGINT) AS n FROM g WINDOW w AS (PARTITION BY cell_name ORDER BY win, grp ROWS UNBOUNDED PRECEDING)),
+      nx AS (SELECT a.cell_name, a.o AS ws, a.n, coalesce(max(b.o) FILTER (WHERE b.o <= a.o + {WINDOW_TOKENS}), min(b.o), a.n) AS nw FROM st a LEFT JOIN st b ON a.cell_name = b.cell_name AND b.o > a.o GROUP BY a.cell_name, a.o, a.n),
+      go AS (SELECT cell_name, ws, CASE WHEN n - ws <= {WINDOW_TOKENS} THEN n ELSE nw END AS we FROM nx), r AS (SELECT * FROM go WHERE ws = 0 UNION ALL SELECT go.* FROM r JOIN go ON go.cell_name = r.cell_name AND go.ws = r.we)
+      SELECT cell_name, ws AS win_start, we AS win_end FROM r""",
     "stream_minimum": f"WITH {_F} SELECT repo, cast(sum(bytes) AS BIGINT) AS bytes, sum(bytes) >= {FULL_FLOOR} AS full_ok, sum(bytes) >= {TARGET_FLOOR} AS target_ok FROM f GROUP BY repo",
     "recorded_bytes": """WITH x AS (SELECT file_id, repo, max(bytes) AS r, max(octet_length(encode(text))) AS a FROM source_files WHERE text IS NOT NULL GROUP BY file_id, repo)
       SELECT repo, CASE WHEN r IS NULL THEN 'unrecorded' WHEN r = a THEN 'match' ELSE 'stale' END AS state, count(*) AS files, cast(sum(abs(r - a)) AS BIGINT) AS off_by FROM x GROUP BY 1, 2""",

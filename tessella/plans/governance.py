@@ -9,6 +9,7 @@ from tessella.operators import governance as G
 from tessella.operators import selection, spans
 from tessella.plans.curves import _groups
 from tessella.plans.selection import _F, _files
+from tessella.scratch import Scratch
 from tessella.sources.tables import table
 
 
@@ -45,11 +46,11 @@ def interval_complement(spark, d):
 
 
 def budget_suffix_units(spark, d):
-    """Units of each assembled order inside the last bytes of its rendering, by the size of the unit with the id of the declaration."""
+    """Units of each assembled order inside the last bytes of its rendering, by the bytes of the unit with that id; ids without a unit are passed over."""
     o = table(spark, d, "assembly_orders").where("order_id is not null").groupBy("order_id").agg(F.min_by("unit_order", "built_at").alias("l"))
-    units = o.select("order_id", F.posexplode("l").alias("pos", "unit"))
-    size = F.pmod(F.col("unit") * 37, F.lit(211)) + 20
-    return spans.suffix_budget(units.withColumn("size", size), ["order_id"], ["pos"], "size", [256, 1024]).select("order_id", "budget", "pos", "unit", "bytes_in", "whole", "eligible")
+    sizes = table(spark, d, "units").where("payload is not null").groupBy(F.col("unit_id").alias("unit")).agg(F.min(F.octet_length("payload")).cast("bigint").alias("size"))
+    units = o.select("order_id", F.posexplode("l").alias("pos", "unit")).join(sizes, "unit")
+    return spans.suffix_budget(units, ["order_id"], ["pos"], "size", [1024, 4096]).select("order_id", "budget", "pos", "unit", "bytes_in", "whole", "eligible")
 
 
 def _manifest(spark, d):
@@ -203,6 +204,19 @@ def reliability_gate(spark, d):
     return split_half_reliability(spark, d).agg(F.min("median").alias("least_median"), F.count(F.lit(1)).alias("arms")).withColumn("meets", F.col("least_median") >= 0.8)
 
 
+def reliability_by_n(spark, d):
+    """For 8, 16 and 32 draws: the least median reliability over arms that have so many, whether it reaches 0.8, and the first n that does."""
+    e = Scratch(spark).cut(_draws(spark, d), "draws")
+    out = None
+    for n in (8, 16, 32):
+        enough = e.groupBy("arm", "target").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= n).drop("k")
+        s = G.split_half(e.join(enough, ["arm", "target"]), ["arm"], "target", "draw", "passed", n, 20, "rel:v1")
+        row = s.agg(F.lit(n).alias("n"), F.count(F.lit(1)).alias("arms"), F.round(F.min("median"), 6).alias("least_median"))
+        out = row if out is None else out.unionByName(row)
+    out = out.withColumn("meets", F.coalesce(F.col("least_median") >= 0.8, F.lit(False)))
+    return out.withColumn("chosen_n", F.min(F.when(F.col("meets"), F.col("n"))).over(Window.partitionBy()))
+
+
 def tier_decision(spark, d):
     e = _full(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("trials"), F.count_if("passed").alias("passes"))
     return e.withColumn("direction", G.tier(F.col("passes"), F.col("trials")))
@@ -312,7 +326,7 @@ def layout_invariance(spark, d):
 
 
 _NAMES = """token_span_islands interval_merge interval_complement budget_suffix_units doc_of_position group_doc_attribution span_overlap_attribution byte_apportioned source_class_contrasts
-paired_contrasts blind_centred_deltas variance_components projected_halfwidth smallest_n pearson_or_zero split_half_reliability reliability_gate tier_decision pass_at_8 holm_correction excess_and_need non_inferiority signed_ranks
+paired_contrasts blind_centred_deltas variance_components projected_halfwidth smallest_n pearson_or_zero split_half_reliability reliability_gate reliability_by_n tier_decision pass_at_8 holm_correction excess_and_need non_inferiority signed_ranks
 expected_grid grid_drift admission execution_classification props_json_extract monotonicity_violations dep_vs_random_context layout_invariance""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -352,7 +366,19 @@ _REL = f"""{_DR}, rs AS (SELECT fu.*, unnest(range(0, 200)) AS resplit FROM fu),
   co AS (SELECT arm, resplit, count(*) AS n, {_COR("l", "r")} AS r FROM ra GROUP BY arm, resplit), sb AS (SELECT *, round(CASE WHEN r <= 0 THEN 0 ELSE least(1.0, 2 * r / (1 + r)) END, 9) AS c FROM co),
   re AS (SELECT arm, max(n) AS n_targets, round(median(c), 6) AS median, round(min(c), 6) AS least, round(max(c), 6) AS largest FROM sb GROUP BY arm)"""
 
+
+
+def _rel_sql(n: int) -> str:
+    """The same as _REL for n draws and 20 resplits, one row."""
+    return f"""(WITH {_DR}, f{n} AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY arm, target) AS m FROM dr) WHERE m >= {n}), rs AS (SELECT f{n}.*, unnest(range(0, 20)) AS resplit FROM f{n}),
+      rk AS (SELECT *, row_number() OVER (PARTITION BY arm, resplit, target ORDER BY sha256('rel:v1:' || arm || ':{n}:' || resplit || ':' || target || ':' || draw), draw) AS place FROM rs),
+      ra AS (SELECT arm, resplit, target, sum(passed::INT) FILTER (WHERE place <= {n // 2}) / {n // 2} AS l, sum(passed::INT) FILTER (WHERE place > {n // 2}) / {n // 2} AS r FROM rk WHERE place <= {n} GROUP BY ALL),
+      co AS (SELECT arm, resplit, {_COR("l", "r")} AS r FROM ra GROUP BY arm, resplit), sb AS (SELECT *, round(CASE WHEN r <= 0 THEN 0 ELSE least(1.0, 2 * r / (1 + r)) END, 9) AS c FROM co), md AS (SELECT arm, median(c) AS m FROM sb GROUP BY arm)
+      SELECT {n} AS n, count(*) AS arms, round(min(m), 6) AS least_median FROM md)"""
+
+
 ORACLE = {
+    "reliability_by_n": f"WITH u AS ({' UNION ALL '.join(_rel_sql(n) for n in (8, 16, 32))}), m AS (SELECT *, coalesce(least_median >= 0.8, false) AS meets FROM u) SELECT *, min(n) FILTER (WHERE meets) OVER () AS chosen_n FROM m",
     "token_span_islands": f"""WITH {_O}, b AS (SELECT *, coalesce(max(e) OVER (PARTITION BY cell_name, win ORDER BY start, e, tok ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM o),
       g AS (SELECT *, sum(CASE WHEN start >= b THEN 1 ELSE 0 END) OVER (PARTITION BY cell_name, win ORDER BY start, e, tok ROWS UNBOUNDED PRECEDING) - 1 AS grp FROM b)
       SELECT cell_name, win, cast(grp AS BIGINT) AS grp, count(*) AS tokens, cast(sum(greatest(e - b, 0)) AS BIGINT) AS bytes FROM g GROUP BY cell_name, win, grp""",
@@ -361,7 +387,7 @@ ORACLE = {
       UNION ALL SELECT ln.cell_name, ln.win, max(m.e), max(length) FROM ln JOIN m ON ln.cell_name = m.cell_name AND ln.win = m.win GROUP BY ln.cell_name, ln.win), k AS (SELECT * FROM a WHERE lo < hi)
       SELECT cell_name, win, lo AS start, hi AS "end", cast(sum(hi - lo) OVER (PARTITION BY cell_name, win ORDER BY lo ROWS UNBOUNDED PRECEDING) - (hi - lo) AS BIGINT) AS output_start FROM k""",
     "budget_suffix_units": """WITH l AS (SELECT order_id, arg_min(unit_order, built_at) AS l FROM assembly_orders GROUP BY order_id), u AS (SELECT order_id, unnest(l) AS unit, cast(generate_subscripts(l, 1) - 1 AS INT) AS pos FROM l),
-      s AS (SELECT *, (unit * 37) % 211 + 20 AS size FROM u), w AS (SELECT *, sum(size) OVER (PARTITION BY order_id) AS total, sum(size) OVER (PARTITION BY order_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM s), b(budget) AS (VALUES (256), (1024)),
+      z AS (SELECT unit_id AS unit, cast(min(octet_length(encode(payload))) AS BIGINT) AS size FROM units WHERE payload IS NOT NULL GROUP BY unit_id), s AS (SELECT u.*, size FROM u JOIN z USING (unit)), w AS (SELECT *, sum(size) OVER (PARTITION BY order_id) AS total, sum(size) OVER (PARTITION BY order_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS e FROM s), b(budget) AS (VALUES (1024), (4096)),
       i AS (SELECT *, cast(least(e - greatest(total - budget, 0), size) AS BIGINT) AS bytes_in FROM w, b) SELECT order_id, budget, pos, unit, bytes_in, bytes_in = size AS whole, total >= budget AS eligible FROM i WHERE bytes_in > 0""",
     "doc_of_position": f"WITH {_MAN}, t AS (SELECT repo, max(e) AS total FROM sp GROUP BY repo), p AS (SELECT repo, unnest(range(0, cast(total + 998 AS BIGINT), 997)) AS pos FROM t) SELECT p.repo, p.pos, coalesce(sp.file_id, -1) AS file_id FROM p LEFT JOIN sp ON p.repo = sp.repo AND p.pos >= sp.s AND p.pos < sp.e",
     "group_doc_attribution": f"""WITH {_MAN}, t AS (SELECT repo, max(e) AS total FROM sp GROUP BY repo), p AS (SELECT repo, total, unnest(range(0, total, 512)) AS lo FROM t)
@@ -393,8 +419,9 @@ ORACLE = {
       g AS (SELECT repo, s2048 - s32768 AS a, s8192 - s32768 AS b, s32768 - s32768 AS c FROM s),
       f AS (SELECT *, CASE WHEN a >= b AND b >= c THEN [a, b, c] WHEN a < b AND (a + b) / 2 >= c THEN [(a + b) / 2, (a + b) / 2, c] WHEN b < c AND a >= (b + c) / 2 THEN [a, (b + c) / 2, (b + c) / 2] ELSE [(a + b + c) / 3, (a + b + c) / 3, (a + b + c) / 3] END AS f FROM g)
       SELECT repo, round((a + 2 * b + c) / 4, 6) AS excess, CASE WHEN f[1] <= 0.05 THEN 2048 WHEN f[2] <= 0.05 THEN 8192 WHEN f[3] <= 0.05 THEN 32768 END AS need FROM f""",
-    "non_inferiority": f"""WITH {_DEL}, tq(df, t) AS (VALUES {", ".join(f"({i + 1}, {t})" for i, t in enumerate(G.T_0975))}), s AS (SELECT contrast, count(*) AS n, avg(delta) AS m, sqrt(var_samp(delta) / count(*)) AS e FROM dl GROUP BY contrast)
-      SELECT contrast, n, round(m, 6) AS mean, round(m + t * e, 6) AS upper, round(m + t * e, 6) <= 0.5 AS holds FROM s LEFT JOIN tq ON tq.df = n - 1""",
+    "non_inferiority": f"""WITH {_DEL}, tq(df, t) AS (VALUES {", ".join(f"({i + 1}, {t})" for i, t in enumerate(G.T_0975))}), s AS (SELECT contrast, count(*) AS n, avg(delta) AS m, sqrt(var_samp(delta) / count(*)) AS e FROM dl GROUP BY contrast),
+      q AS (SELECT s.*, CASE WHEN n - 1 > {len(G.T_0975)} THEN {G.Z_0975!r}::DOUBLE + {" + ".join(f"{c!r}::DOUBLE / pow(n - 1, {i})" for i, c in enumerate(G.t_terms(), 1))} ELSE t END AS t2 FROM s LEFT JOIN tq ON tq.df = n - 1)
+      SELECT contrast, n, round(m, 6) AS mean, round(m + t2 * e, 6) AS upper, round(m + t2 * e, 6) <= 0.5 AS holds FROM q""",
     "signed_ranks": """WITH x AS (SELECT o_orderpriority AS family, o_custkey % 19 AS module, round(round(o_totalprice / 100000 - 1.5, 6), 2) AS v FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY family, module ORDER BY abs(v)) + (count(*) OVER (PARTITION BY family, module, abs(v)) - 1) / 2 AS r FROM x WHERE v <> 0),
       s AS (SELECT family, module, count(*) AS n, coalesce(sum(r) FILTER (WHERE v > 0), 0) AS p, coalesce(sum(r) FILTER (WHERE v < 0), 0) AS q FROM r GROUP BY family, module)
       SELECT family, module, n, round(p, 6) AS w_plus, round(q, 6) AS w_minus, round((p - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0), 6) AS z FROM s""",

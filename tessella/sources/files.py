@@ -137,3 +137,77 @@ def write_once(df: DataFrame, path: str) -> None:
 def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """What is wanted and not done; null keys are never done."""
     return wanted.join(done.select(*key).distinct(), key, "left_anti")
+
+
+def completions(spark: SparkSession, path: str) -> DataFrame:
+    """Completion envelopes, files of key and value lines parted by a tab: path, fields (map), error.
+
+    An envelope without a line, a line without exactly one tab, an empty key
+    and a key given twice are errors; fields are null then.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+    lines = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: x != "")
+    parts = F.transform("lines", lambda x: F.split(x, "\t"))
+    keys = F.transform("parts", lambda p: p[0])
+    bad = F.when(F.size("lines") == 0, "empty").when(F.exists("parts", lambda p: (F.size(p) != 2) | (p[0] == "")), "malformed").when(F.size(F.array_distinct("keys")) != F.size("keys"), "repeated-key")
+    split = rows.withColumn("lines", lines).withColumn("parts", parts).withColumn("keys", keys).withColumn("error", bad)
+    values = F.transform("parts", lambda p: p[1])
+    return split.select("path", F.when(F.col("error").isNull(), F.map_from_arrays("keys", values)).alias("fields"), "error")
+
+
+def token_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Lists of a parser's tokens, one a line: path, tokens, error.
+
+    Lines end with a line feed, the last one too, are not empty, strictly
+    ascending by code units and so without repeats; else ``error`` says why
+    and tokens are null. A list is as long as a language has tokens.
+    """
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
+    lines = F.split(F.regexp_replace("text", "\n$", ""), "\n")
+    bad = (
+        F.when(F.col("text") == "", "empty").when(F.contains("text", F.lit("\r")), "carriage-return").when(~F.endswith("text", F.lit("\n")), "no-final-line-feed")
+        .when(F.array_contains("lines", ""), "empty-line").when(F.size(F.array_distinct("lines")) != F.size("lines"), "repeated").when(F.array_sort("lines") != F.col("lines"), "unsorted")
+    )
+    return rows.withColumn("lines", lines).withColumn("error", bad).select("path", F.when(F.col("error").isNull(), F.col("lines")).alias("tokens"), "error")
+
+
+def bindings(objects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``name, state`` of each wanted artifact: bound, missing, malformed, other-schema or other-hash.
+
+    ``objects``: what ``json_objects`` gives; ``wanted``: name (the file's),
+    schema, sha256. The schema is the object's own ``schema`` field.
+    """
+    have = objects.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("sha256").alias("h"), F.get_json_object("text", "$.schema").alias("s"), "error")
+    j = wanted.join(have, "name", "left")
+    state = (
+        F.when(F.col("h").isNull(), "missing").when(F.col("error").isNotNull(), "malformed").when(~F.col("s").eqNullSafe(F.col("schema")), "other-schema").when(F.col("h") != F.col("sha256"), "other-hash").otherwise("bound")
+    )
+    return j.select("name", state.alias("state"))
+
+
+def rehashed_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Each pair of a source and its index (rel, sha256, index_rel, index_sha256) with whether the files (rel, sha256) are still those: ``state``."""
+    of = lambda a, b: files.select(F.col("rel").alias(a), F.col("sha256").alias(b))
+    j = pairs.join(of("rel", "h1"), "rel", "left").join(of("index_rel", "h2"), "index_rel", "left")
+    state = F.when(F.col("h1").isNull() | F.col("h2").isNull(), "missing").when(F.col("h1") != F.col("sha256"), "source-changed").when(F.col("h2") != F.col("index_sha256"), "index-changed").otherwise("paired")
+    return j.select("rel", "index_rel", state.alias("state"))
+
+
+def write_streams(files: DataFrame, path: str, stream: str, order: list[str], text: str = "text") -> None:
+    """The texts of each stream laid end to end: a folder ``stream=...`` whose parts, in order of their names, are the stream.
+
+    Range-partitioned by stream and order, so a stream of any size spreads
+    over parts; a text without a final line feed gets one. Null texts are left
+    out. The folder must not exist yet.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bare = F.regexp_replace(text, r"\n\z", "")  # the writer ends each row with a line feed
+    rows = files.where(F.col(text).isNotNull()).repartitionByRange(parts, stream, *order).sortWithinPartitions(stream, *order)
+    rows.select(F.col(stream).alias("stream"), bare.alias("value")).write.mode("errorifexists").partitionBy("stream").text(path)
+
+
+def write_reports(df: DataFrame, path: str) -> None:
+    """A report twice: flat columns as CSV with a header under ``csv``, everything as JSON lines under ``json``."""
+    flat = [f.name for f in df.schema.fields if not f.dataType.typeName() in ("array", "map", "struct")]
+    df.select(*flat).write.mode("errorifexists").option("header", "true").csv(f"{path}/csv")
+    df.write.mode("errorifexists").json(f"{path}/json")

@@ -203,3 +203,42 @@ def test_type_trees():
     for bad in (["bvar", -1], ["bvar", True], ["app", ["bvar", 0]], ["lam", ["bvar", 0], ["bvar", 0], "odd"], {"a": 1}, ["const", ["anonymous"], ["zero"]], []):
         assert generated.tree_nodes(json.dumps(bad)) is None
     assert generated.tree_nodes(json.dumps(ok), 5) is None and generated.tree_nodes("no") is None
+
+
+def test_completions_and_token_lists_give_their_faults(spark, tmp_path):
+    texts = {"ok": "state\tdone\nn\t3\n", "twice": "a\t1\na\t2\n", "bad": "a 1\n", "none": "", "crlf": "a\t1\r\nb\t\r\n"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.tsv").write_bytes(text.encode())
+    got = {r["path"].rsplit("/", 1)[1][:-4]: (r["fields"], r["error"]) for r in files.completions(spark, f"file://{tmp_path}/*.tsv").collect()}
+    assert got == {"ok": ({"state": "done", "n": "3"}, None), "twice": (None, "repeated-key"), "bad": (None, "malformed"), "none": (None, "empty"), "crlf": ({"a": "1", "b": ""}, None)}
+    lists = {"ok": "abs\nby\nλ\n", "open": "a\nb", "dos": "a\r\nb\r\n", "gap": "a\n\nb\n", "dup": "a\na\n", "down": "b\na\n", "none": ""}
+    for name, text in lists.items():
+        (tmp_path / f"{name}.txt").write_bytes(text.encode())
+    got = {r["path"].rsplit("/", 1)[1][:-4]: (r["tokens"], r["error"]) for r in files.token_lists(spark, f"file://{tmp_path}/*.txt").collect()}
+    assert got == {"ok": (["abs", "by", "λ"], None), "open": (None, "no-final-line-feed"), "dos": (None, "carriage-return"), "gap": (None, "empty-line"), "dup": (None, "repeated"), "down": (None, "unsorted"), "none": (None, "empty")}
+
+
+def test_artifacts_are_bound_by_schema_and_hash(spark, tmp_path):
+    import hashlib
+
+    text = {"a": '{"schema": "v1", "n": 1}', "b": '{"schema": "v2"}', "c": '{"schema": "v1", "schema": "v1"}', "d": '{"schema": "v1"}'}
+    for name, t in text.items():
+        (tmp_path / f"{name}.json").write_text(t)
+    sha = {n: hashlib.sha256(t.encode()).hexdigest() for n, t in text.items()}
+    wanted = spark.createDataFrame([("a.json", "v1", sha["a"]), ("b.json", "v1", sha["b"]), ("c.json", "v1", sha["c"]), ("d.json", "v1", sha["a"]), ("e.json", "v1", "x")], "name string, schema string, sha256 string")
+    got = {r["name"]: r["state"] for r in files.bindings(files.json_objects(spark, f"file://{tmp_path}/*.json"), wanted).collect()}
+    assert got == {"a.json": "bound", "b.json": "other-schema", "c.json": "malformed", "d.json": "other-hash", "e.json": "missing"}
+    pairs = spark.createDataFrame([("s1", "1", "i1", "2"), ("s2", "1", "i1", "2"), ("s1", "9", "i1", "2"), ("s1", "1", "i1", "9")], "rel string, sha256 string, index_rel string, index_sha256 string")
+    have = spark.createDataFrame([("s1", "1"), ("i1", "2")], "rel string, sha256 string")
+    assert sorted(r["state"] for r in files.rehashed_pairs(pairs, have).collect()) == ["index-changed", "missing", "paired", "source-changed"]
+
+
+def test_streams_are_written_in_order(spark, tmp_path):
+    rows = [("a" if i % 3 else "b", f"f{i:04d}", f"line {i}\nmore" + ("\n" if i % 2 else "")) for i in range(200)] + [("a", "z", None)]
+    df = spark.createDataFrame(rows, "s string, rel string, text string").repartition(5)
+    files.write_streams(df, f"file://{tmp_path}/out", "s", ["rel"])
+    for s in "ab":
+        got = "".join(p.read_text() for p in sorted((tmp_path / "out" / f"stream={s}").glob("part-*")))
+        assert got == "".join(t if t.endswith("\n") else t + "\n" for k, _, t in sorted(rows[:-1]) if k == s)
+    files.write_reports(spark.createDataFrame([(1, [2, 3])], "n int, l array<int>"), f"file://{tmp_path}/rep")
+    assert spark.read.option("header", "true").csv(f"file://{tmp_path}/rep/csv").columns == ["n"] and spark.read.json(f"file://{tmp_path}/rep/json").first()["l"] == [2, 3]
