@@ -142,8 +142,9 @@ def pending(wanted: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
 def completions(spark: SparkSession, path: str) -> DataFrame:
     """Completion envelopes, files of key and value lines parted by a tab: path, fields (map), error.
 
-    An envelope without a line, a line without exactly one tab, an empty key
-    and a key given twice are errors; fields are null then.
+    An envelope of blank lines, a line without exactly one tab, an empty key
+    and a key given twice are errors; fields are null then. A file without a
+    byte has no row: the reader passes over it.
     """
     rows = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
     lines = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: x != "")
@@ -159,13 +160,14 @@ def token_lists(spark: SparkSession, path: str) -> DataFrame:
     """Lists of a parser's tokens, one a line: path, tokens, error.
 
     Lines end with a line feed, the last one too, are not empty, strictly
-    ascending by code units and so without repeats; else ``error`` says why
-    and tokens are null. A list is as long as a language has tokens.
+    ascending by bytes and so without repeats; else ``error`` says why
+    and tokens are null. A list is as long as a language has tokens. A file
+    without a byte has no row.
     """
     rows = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
     lines = F.split(F.regexp_replace("text", "\n$", ""), "\n")
     bad = (
-        F.when(F.col("text") == "", "empty").when(F.contains("text", F.lit("\r")), "carriage-return").when(~F.endswith("text", F.lit("\n")), "no-final-line-feed")
+        F.when(F.contains("text", F.lit("\r")), "carriage-return").when(~F.endswith("text", F.lit("\n")), "no-final-line-feed")
         .when(F.array_contains("lines", ""), "empty-line").when(F.size(F.array_distinct("lines")) != F.size("lines"), "repeated").when(F.array_sort("lines") != F.col("lines"), "unsorted")
     )
     return rows.withColumn("lines", lines).withColumn("error", bad).select("path", F.when(F.col("error").isNull(), F.col("lines")).alias("tokens"), "error")

@@ -206,16 +206,16 @@ def test_type_trees():
 
 
 def test_completions_and_token_lists_give_their_faults(spark, tmp_path):
-    texts = {"ok": "state\tdone\nn\t3\n", "twice": "a\t1\na\t2\n", "bad": "a 1\n", "none": "", "crlf": "a\t1\r\nb\t\r\n"}
+    texts = {"ok": "state\tdone\nn\t3\n", "twice": "a\t1\na\t2\n", "bad": "a 1\n", "none": "\n\n", "nothing": "", "crlf": "a\t1\r\nb\t\r\n"}
     for name, text in texts.items():
         (tmp_path / f"{name}.tsv").write_bytes(text.encode())
     got = {r["path"].rsplit("/", 1)[1][:-4]: (r["fields"], r["error"]) for r in files.completions(spark, f"file://{tmp_path}/*.tsv").collect()}
     assert got == {"ok": ({"state": "done", "n": "3"}, None), "twice": (None, "repeated-key"), "bad": (None, "malformed"), "none": (None, "empty"), "crlf": ({"a": "1", "b": ""}, None)}
-    lists = {"ok": "abs\nby\nλ\n", "open": "a\nb", "dos": "a\r\nb\r\n", "gap": "a\n\nb\n", "dup": "a\na\n", "down": "b\na\n", "none": ""}
+    lists = {"ok": "abs\nby\nλ\n", "open": "a\nb", "dos": "a\r\nb\r\n", "gap": "a\n\nb\n", "dup": "a\na\n", "down": "b\na\n", "nothing": ""}
     for name, text in lists.items():
         (tmp_path / f"{name}.txt").write_bytes(text.encode())
     got = {r["path"].rsplit("/", 1)[1][:-4]: (r["tokens"], r["error"]) for r in files.token_lists(spark, f"file://{tmp_path}/*.txt").collect()}
-    assert got == {"ok": (["abs", "by", "λ"], None), "open": (None, "no-final-line-feed"), "dos": (None, "carriage-return"), "gap": (None, "empty-line"), "dup": (None, "repeated"), "down": (None, "unsorted"), "none": (None, "empty")}
+    assert got == {"ok": (["abs", "by", "λ"], None), "open": (None, "no-final-line-feed"), "dos": (None, "carriage-return"), "gap": (None, "empty-line"), "dup": (None, "repeated"), "down": (None, "unsorted")}
 
 
 def test_artifacts_are_bound_by_schema_and_hash(spark, tmp_path):
