@@ -83,3 +83,26 @@ def test_budgets_score_no_pair_of_two_repos(spark, folder):
     whole = arms.texts.near_dup_adjacency(spark, folder).where("a % 50 = 0")
     near = same(_rows(arms._near(spark, folder, u), "target", "unit"))
     assert near == same(_rows(whole, "a", "b")) and (100, 300) in near and (100, 302) in near
+
+
+@pytest.fixture
+def no_pairs_of_all(monkeypatch):
+    """The joins that meet every unit with every other may not be used."""
+
+    def fail(*_):
+        raise AssertionError("pairs of all units")
+
+    for place, name in ((S, "bm25"), (S, "jaccard_pairs"), (arms.texts, "near_dup_adjacency")):
+        monkeypatch.setattr(place, name, fail)
+
+
+def test_ranked_arm_orders_the_universe_by_score(spark, folder, no_pairs_of_all):
+    score = {(r["target"], r["unit"]): r["score"] for r in arms._scores(arms._units(spark, folder)).collect()}
+    got = _rows(arms.ranked_arm(spark, folder), "target", "position", "unit")
+    by = {t: [(p, u) for x, p, u in got if x == t] for t in {r[0] for r in got}}
+    assert set(by) == {0, 50, 100, 150, 300}
+    for t, rows in by.items():
+        assert [p for p, _ in rows] == list(range(1, len(rows) + 1))
+        order = [score[t, u] for _, u in rows]
+        assert order == sorted(order)
+    assert not {(100, 300), (100, 302), (300, 100)} & {(t, u) for t, rows in by.items() for _, u in rows}
