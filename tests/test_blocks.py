@@ -106,3 +106,16 @@ def test_ranked_arm_orders_the_universe_by_score(spark, folder, no_pairs_of_all)
         order = [score[t, u] for _, u in rows]
         assert order == sorted(order)
     assert not {(100, 300), (100, 302), (300, 100)} & {(t, u) for t, rows in by.items() for _, u in rows}
+
+
+def test_arm_members_are_the_nearest_of_each_arm(spark, folder, no_pairs_of_all):
+    ranked = {}
+    for t, p, u in _rows(arms.ranked_arm(spark, folder), "target", "position", "unit"):
+        ranked.setdefault(t, []).append(u)
+    got = _rows(arms.arm_members(spark, folder).where("arm = 'k6'"), "target", "place", "unit")
+    score = {(r["target"], r["unit"]): r["score"] for r in arms._scores(arms._units(spark, folder)).collect()}
+    for t, units in ranked.items():
+        mine = [u for x, _, u in got if x == t]
+        assert len(mine) == min(20, len(units)) and [score[t, u] for u in mine] == [score[t, u] for u in units[::-1][:20]]
+    seeds = arms.arm_members(spark, folder).where("arm = 'k5'").groupBy("target", "seed").agg(F.max("place").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(seeds) == 3 * len(ranked) and all(r["most"] == r["n"] == min(20, len(ranked[r["target"]])) for r in seeds)
