@@ -76,6 +76,17 @@ def test_large_scopes_are_ranked_alike(spark, odd, monkeypatch):
         _against_sql(spark, odd, "ranked_arm")
 
 
+def test_arm_members_equal_sql_on_odd_units_in_several_blocks(spark, odd, monkeypatch):
+    monkeypatch.setattr(contexts, "LARGE", 30)
+    _against_sql(spark, odd, "arm_members")
+
+
+def test_arm_members_write_no_table_of_pairs(spark, plain, tables):
+    assert arms.arm_members(spark, plain).where("arm = 'k6'").count() == 30 * 20
+    pairs = 30 * 59
+    assert sorted(tables)[-2] <= 60 and max(tables) == 4 * 30 * 20 > pairs  # the largest has the nearest of each order
+
+
 def test_candidates_miss_no_pair_alike(spark, odd):
     """Sets of which one is all but some grams of the other, around the ratio and sizes at its ends."""
     n = lambda k: " ".join(f"t{i}" for i in range(k))
